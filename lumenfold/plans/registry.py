@@ -1,0 +1,6 @@
+"""All registered queries of the engine with their SQL counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
