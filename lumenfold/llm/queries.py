@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import bpe, token_ids
+from lumenfold.llm import bpe, decontaminate, html_text, quality, token_ids, toxicity
 
 QUERIES = {
     "op2_token_ids": token_ids.op2_token_ids,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op7_html": html_text.op7_html,
     "op8_bpe": bpe.op8_bpe,
+    "op9_quality": quality.op9_quality,
 }
 ORACLES: dict[str, str] = {}
