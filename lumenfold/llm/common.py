@@ -91,7 +91,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parts_for(df: DataFrame, bytes_per_part: int, scale: float = 1.0) -> int:
     """Partitions so that each holds about ``bytes_per_part`` of the input as stored, by the optimizer's size."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(200_000, int(size * scale / bytes_per_part)))
 

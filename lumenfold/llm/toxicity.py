@@ -88,12 +88,12 @@ class Toxicity:
         n = np.asarray([len(b) for b in bags])
         gain = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
         past_e, past_w, past_b, bias = np.full(ROWS, 1e-8), np.full((2, DIM), 1e-8), 1e-8, 0.0
-        active = np.ones(len(y), bool)
+        active, size_of = np.ones(len(y), bool), int(np.clip(len(y) // 40, 16, 256))
         for epoch in range(epochs):
             order = rng.permutation(np.flatnonzero(active))
             probs = np.zeros(len(y), np.float32)
-            for at in range(0, len(order), 256):
-                part = order[at : at + 256]
+            for at in range(0, len(order), size_of):
+                part = order[at : at + size_of]
                 ids, size = np.concatenate([bags[k] for k in part]), n[part]
                 mean = np.add.reduceat(embeddings[ids], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
                 u = weights[1] - weights[0]
