@@ -12,6 +12,7 @@ Every operator follows the same layout rules:
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -79,9 +80,17 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Free a staged table that no later plan reads."""
-    drop_path(df.sparkSession, df._staged_path)
+def unstage(*staged: DataFrame) -> None:
+    """Free staged tables that no later plan reads, and shuffle files that nothing refers to any more."""
+    for df in staged:
+        drop_path(df.sparkSession, df._staged_path)
+    gc.collect()
+    staged[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def small(df: DataFrame, rows: int = 400_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` (narrow) rows; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,7 +197,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         new = labels.join(near, "node").join(hop, "label")
         new = stage(new.select("node", F.least("label", "near", "hop").alias("label"), (F.least("near", "hop") < F.col("label")).alias("moved")), f"{name}-labels{k}")
         done = new.where("moved").isEmpty()
-        unstage(labels)
+        drop_path(labels.sparkSession, labels._staged_path)
         labels = new.select("node", "label")
         labels._staged_path = new._staged_path
     unstage(both)
