@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import list_column, map_batches, parts_for, prepare, stage_path, table
+from lumenfold.llm.common import Bounded, list_column, map_batches, parts_for, prepare, stage_path, table
 
 END_ID = 2
 _SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
@@ -59,6 +59,8 @@ def _encoder(path: str, cache: int):
     def whole(text: str) -> bytes:
         return np.asarray(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
+    heads = Bounded(whole, 50_000)
+
     def learn(pieces: list[str]) -> None:
         nonlocal young, old
         if len(young) + len(pieces) > cache:
@@ -98,13 +100,13 @@ def _encoder(path: str, cache: int):
                 learn(list(missing))
                 found = young if young is kept else {**kept, **young}
             for c in cut:
-                out.append(c if isinstance(c, bytes) else whole(c[0]) + b"".join(map(found.__getitem__, c[1:])))
+                out.append(c if isinstance(c, bytes) else heads[c[0]] + b"".join(map(found.__getitem__, c[1:])))
         return out
 
     return encode, kind
 
 
-def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = END_ID, partition_bytes: int = 8 << 20, cache: int = 300_000) -> None:
+def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = END_ID, partition_bytes: int = 8 << 20, cache: int = 450_000) -> None:
     """Encode ``docs`` (doc_id, text) and write ORC files whose rows ascend by doc_id over the files' order.
 
     The range partitioning comes before the encoding, so that sampling its bounds reads texts but encodes
@@ -127,7 +129,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
         return each
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = docs.repartitionByRange(parts_for(docs, partition_bytes), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = docs.repartitionByRange(parts_for(docs, partition_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
     out = map_batches(ranged, make, _SCHEMA).withColumn("part", F.spark_partition_id())
     out.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).orc(path)
 
