@@ -400,14 +400,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes gone from their texts; a column n_chars follows the new text."""
     rows = _handled(docs)
-    found = repeated(rows.select("handle", "text"), length)
+    found, names = repeated(rows.select("handle", "text"), length), docs.columns
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = []
             for raw, codes in zip(binary(batch.column("text")), batch.column("codes").to_pylist(), strict=True):
                 texts.append(kept_bytes(raw, covered(len(raw), codes, length)).decode("utf-8", "ignore") if codes else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in docs.columns), pa.array(texts, pa.string())], names=[*docs.columns, "cut_text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "cut_text"])
 
         return each
 
