@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import bpe, decontaminate, html_text, jaccard, quality, repeats, token_ids, toxicity
+from lumenfold.llm import bpe, decontaminate, html_text, jaccard, language_model, quality, repeats, token_ids, toxicity, vectors
 
 QUERIES = {
+    "op1_embeddings": vectors.op1_embeddings,
     "op2_token_ids": token_ids.op2_token_ids,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_repeats": repeats.op4_repeats,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_language_model": language_model.op6_language_model,
     "op7_html": html_text.op7_html,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality": quality.op9_quality,
