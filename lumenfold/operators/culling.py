@@ -84,9 +84,9 @@ def dimension_collections(df: DataFrame, dimensions: dict[str, Column], score: s
     """For each dimension its largest groups with their best rows in order."""
     parts = []
     for name, value in sorted(dimensions.items()):
-        rows = df.select(F.lit(name).alias("dimension"), value.cast("string").alias("value"), key, score).where("value is not null")
+        rows = df.select(F.lit(name).alias("dimension"), value.cast("string").alias("value"), key, F.col(score).alias("_score")).where("value is not null")
         top = rows.groupBy("dimension", "value").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "value").limit(groups)
-        parts.append(group_top_k(rows.join(F.broadcast(top.select("value")), "value", "left_semi"), ["dimension", "value"], [F.col(score).desc(), F.col(key)], k))
+        parts.append(group_top_k(rows.join(F.broadcast(top.select("value")), "value", "left_semi"), ["dimension", "value"], [F.col("_score").desc(), F.col(key)], k))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

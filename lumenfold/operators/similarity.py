@@ -76,7 +76,7 @@ def tokens(text: str) -> Column:
 def bm25(df: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over the whole table for a few terms: documents stay rows, only term counts are aggregated."""
     t = tokens(text)
-    rows = df.select(key, F.size(t).alias("n"), *(F.size(F.filter(t, lambda x, q=q: x == q)).alias(f"tf{i}") for i, q in enumerate(query)))
+    rows = df.select(key, F.size(t).alias("n"), *((F.size(t) - F.size(F.array_remove(t, q))).alias(f"tf{i}") for i, q in enumerate(query)))
     about = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     score = F.lit(0.0)
     for i in range(len(query)):
