@@ -20,8 +20,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -122,7 +123,33 @@ def list_column(flat: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, type=kind))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+def carried(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns, and all others as one struct ``__rest``, so that no name can clash on the way."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, F.struct(*(rest or [F.lit(0).alias("none")])).alias("__rest"))
+
+
+def restored(df: DataFrame, docs: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` in their order and types: from ``new``, from ``df`` or from its ``__rest``."""
+    held = set(df.columns)
+    pick = lambda f: new.get(f.name, F.col(f.name) if f.name in held and f.name in ("doc_id", "text") else F.col("__rest").getField(f.name))
+    return df.select(*(pick(f).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
+
+
+def with_text(df: DataFrame, docs: DataFrame, cut: str) -> DataFrame:
+    """``docs`` again, with the new text of column ``cut`` where that is not null; n_chars follows the text."""
+    new = {"text": F.coalesce(cut, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(cut).isNotNull(), F.length(cut)).otherwise(F.col("__rest").getField("n_chars"))
+    return restored(df, docs, new)
+
+
+def schema_of(df: DataFrame, keys: list[str], more: str) -> StructType:
+    """The fields ``keys`` of ``df`` and those that ``more`` declares."""
+    return StructType([*(df.schema[k] for k in keys), *StructType.fromDDL(more).fields])
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with state per task: ``make()`` runs once in each task and returns the batch function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

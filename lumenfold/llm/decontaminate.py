@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import binary, map_batches, prepare, table
+from lumenfold.llm.common import binary, carried, map_batches, prepare, schema_of, table, with_text
 
 WINDOW = 13
 #: Words are runs of digits, letters and all bytes beyond ASCII; A-Z count as a-z.
@@ -217,19 +217,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool
 
         return each
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"]) + ", cut_text string" * cut
+    schema = schema_of(docs, keys, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", cut_text string" * cut)
     return map_batches(docs.select(*dict.fromkeys([*keys, "text"])), make, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents over the coverage limit go; the hit spans, which exceed the length limit, are cut from the
     others.  Columns stay as they are; a column n_chars follows the new text."""
-    found = scan(docs, benchmark, cut=True, keys=docs.columns)
-    text = F.coalesce("cut_text", "text")
-    new = {"text": text, "n_chars": F.when(F.col("cut_text").isNotNull(), F.length("cut_text")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    kept = found.where(~F.col("contaminated"))
-    return kept.select(*(new.get(c, F.col(c)).cast(kind).alias(c) for c, kind in docs.dtypes))
+    found = scan(carried(docs, ["text"]), benchmark, cut=True, keys=["text", "__rest"])
+    return with_text(found.where(~F.col("contaminated")), docs, "cut_text")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

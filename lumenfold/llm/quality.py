@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import Bounded, binary, map_batches, mix64, prepare, stage, table
+from lumenfold.llm.common import Bounded, binary, carried, map_batches, mix64, prepare, restored, schema_of, stage, table
 
 BUCKETS = 1 << 14
 #: Sharpness of the weights against Gumbel noise of scale 1; ``SPREAD`` mean log ratios make one step of noise.
@@ -139,8 +139,7 @@ def weigh(docs: DataFrame, model: Importance, keys: list[str]) -> DataFrame:
 
         return each
 
-    kinds = dict(docs.dtypes)
-    return map_batches(docs.select(*dict.fromkeys([*keys, "text"])), make, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", log_ratio double, n_grams bigint, mean_ratio double")
+    return map_batches(docs.select(*dict.fromkeys([*keys, "text"])), make, schema_of(docs, keys, "log_ratio double, n_grams bigint, mean_ratio double"))
 
 
 def top_k_bound(keys: DataFrame, column: str, k: int) -> float:
@@ -163,12 +162,12 @@ def top_k_bound(keys: DataFrame, column: str, k: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
-    """All rows of ``docs`` with log_ratio, mean_ratio, gumbel_key and selected.
+    """All rows of ``docs`` (doc_id, text, all else in __rest) with log_ratio, mean_ratio, gumbel_key and selected.
 
     k follows from the data: as many documents as lie above the cut.  Keys are fixed-point numbers of
     2^-20; equal keys at the bound are all selected."""
     model = fit(docs, labels, per_class)
-    rows = weigh(docs, model, docs.columns)
+    rows = weigh(carried(docs, ["doc_id", "text"]), model, ["doc_id", "text", "__rest"])
     u = (F.pmod(F.xxhash64(F.lit("gumbel"), F.col("doc_id").cast("string")), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
     weight = F.greatest(F.lit(-(2.0**24)), F.least(F.lit(2.0**24), F.when(F.col("n_grams") == 0, F.lit(2.0**24)).otherwise(F.col("mean_ratio") / F.lit(SPREAD))))
     key = F.round((weight - F.log(-F.log(u))) * F.lit(2.0**20)) / F.lit(2.0**20)
@@ -179,6 +178,11 @@ def resample(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataF
     return rows.withColumn("selected", F.col("gumbel_key") >= F.lit(bound))
 
 
+def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the resampling selects."""
+    return restored(resample(docs, labels).where("selected"), docs, {})
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import binary, map_batches, mix64, prepare, stage, table, unstage
+from lumenfold.llm.common import binary, carried, map_batches, mix64, prepare, schema_of, stage, table, unstage, with_text
 
 LENGTH, GRAM, BLOCK = 200, 32, 8
 #: Different records of one bucket in a batch from which it is undecided on the spot.
@@ -399,8 +399,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes gone from their texts; a column n_chars follows the new text."""
-    rows = _handled(docs)
-    found, names = repeated(rows.select("handle", "text"), length), docs.columns
+    rows = _handled(carried(docs, ["doc_id", "text"]))
+    found, names = repeated(rows.select("handle", "text"), length), ["doc_id", "text", "__rest"]
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -411,12 +411,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         return each
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    out = map_batches(_with_texts(rows, found, "left").select(*docs.columns, "codes"), make, kinds + ", cut_text string")
-    new = {"text": F.coalesce("cut_text", "text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("cut_text").isNotNull(), F.length("cut_text")).otherwise(F.col("n_chars"))
-    return out.select(*(new.get(c, F.col(c)).cast(k).alias(c) for c, k in docs.dtypes))
+    joined = _with_texts(rows, found, "left").select(*names, "codes")
+    return with_text(map_batches(joined, make, schema_of(joined, names, "cut_text string")), docs, "cut_text")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
