@@ -40,8 +40,6 @@ LENGTH, GRAM, BLOCK = 200, 32, 8
 CROWD = 8
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 20
-#: Largest packed ranges that are broadcast to where the texts are; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
 _U = np.uint64
 
 
@@ -246,24 +244,27 @@ def _level(rows: DataFrame, keys, buckets: int, last: bool) -> DataFrame:
     return map_batches(rows, make, "bucket int, handle binary, common binary, whole binary, code binary, weight binary")
 
 
-def _by_handle(handle: np.ndarray, codes: np.ndarray, answer: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(handle, kind="stable")
-    handle, codes, answer = handle[order], codes[order], answer[order]
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], handle[1:] != handle[:-1]])), len(handle)).tolist()
-    pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(handle[cuts[:-1]]), pa.array([codes[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([answer[a:b].tobytes() for a, b in pairs], pa.binary())], names=["handle", "code", "answer"])
+def _dealt(handle: np.ndarray, codes: np.ndarray, answer: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Answers, packed by parts of the handles."""
+    to = (handle.view(_U) >> _U(40)).astype(np.int64) % parts
+    by = np.argsort(to, kind="stable")
+    columns, cuts = [c[by] for c in (handle, codes, answer)], np.searchsorted(to[by], np.arange(parts + 1)).tolist()
+    rows = [(k, *(c[x:y].tobytes() for c in columns)) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["part", "handle", "code", "answer"])
 
 
-_ANSWERS = "handle bigint, code binary, answer binary"
+_ANSWERS = "part int, handle binary, code binary, answer binary"
 
 
 def _answers(level: DataFrame, partitions: int, last: bool) -> DataFrame:
-    """Rows (handle, packed ranges, packed answers) of what is not decided as unique."""
+    """Packed rows (part, handles, ranges, answers) of what is not decided as unique."""
+    parts = 4 * partitions
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, c, w in zip(*(batch.column(k).to_pylist() for k in ("handle", "code", "weight")), strict=True):
-                yield _by_handle(np.frombuffer(h, np.int64), np.frombuffer(c, _U), np.frombuffer(w, np.uint8))
+                yield from _dealt(np.frombuffer(h, np.int64), np.frombuffer(c, _U), np.frombuffer(w, np.uint8), parts)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -277,35 +278,43 @@ def _answers(level: DataFrame, partitions: int, last: bool) -> DataFrame:
         held.clear()
         order, answer, _ = judge(common, whole, weight.astype(np.int64), last)
         keep = (answer > 0) & (weight[order] > 0)
-        if keep.any():
-            yield _by_handle(handle[order][keep], codes[order][keep], answer[keep])
+        yield from _dealt(handle[order][keep], codes[order][keep], answer[keep], parts)
 
     local = level.where("bucket = -1").select("handle", "code", "weight").mapInArrow(told, _ANSWERS)
     return level.where("bucket >= 0").repartition(partitions, "bucket").mapInArrow(met, _ANSWERS).union(local)
 
 
-def _merged(answers: DataFrame, wanted: tuple[int, ...]) -> DataFrame:
+def _merged(answers: DataFrame, partitions: int, wanted: tuple[int, ...]) -> DataFrame:
     """One row for each handle: its packed ranges with the wanted answers, sorted and distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            handles, out = [], []
-            for h, codes, answers in zip(*(batch.column(c).to_pylist() for c in ("handle", "codes", "answers")), strict=True):
-                c, a = np.frombuffer(b"".join(codes), _U), np.frombuffer(b"".join(answers), np.uint8)
-                if (hit := np.isin(a, wanted)).any():
-                    handles.append(h)
-                    out.append(np.unique(c[hit]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(handles, pa.int64()), pa.array(out, pa.binary())], names=["handle", "codes"])
+            for h, c, a in zip(*(batch.column(k).to_pylist() for k in ("handle", "code", "answer")), strict=True):
+                hit = np.isin(np.frombuffer(a, np.uint8), wanted)
+                held.append((np.frombuffer(h, np.int64)[hit], np.frombuffer(c, _U)[hit]))
+        if not held:
+            return
+        handle, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        if not len(handle):
+            return
+        order = np.lexsort((codes, handle))
+        handle, codes = handle[order], codes[order]
+        new = np.concatenate([[True], (handle[1:] != handle[:-1]) | (codes[1:] != codes[:-1])])
+        handle, codes = handle[new], codes[new]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], handle[1:] != handle[:-1]])), len(handle)).tolist()
+        for k in range(0, len(cuts) - 1, 4096):
+            part = list(zip(cuts[k : k + 4096], cuts[k + 1 : k + 4097], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array(handle[[x for x, _ in part]]), pa.array([codes[x:y].tobytes() for x, y in part], pa.binary())], names=["handle", "codes"])
 
-    # both lists gather the same rows of an aggregation in the same order
-    grouped = answers.groupBy("handle").agg(F.collect_list(F.struct("code", "answer")).alias("all")).select("handle", F.col("all.code").alias("codes"), F.col("all.answer").alias("answers"))
-    return grouped.mapInArrow(run, "handle bigint, codes binary")
+    return answers.repartition(partitions, "part").mapInArrow(run, "handle bigint, codes binary")
 
 
 def _with_texts(docs: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFrame:
-    """Texts joined to packed ranges, which are broadcast only if they are small."""
-    size = ranges.agg(F.coalesce(F.sum(F.length("codes") + 32), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(ranges) if size <= BROADCAST_BYTES else ranges, "handle", how)
+    """Texts joined to packed ranges.  Both sides are shuffled at every size: nothing bounds the ranges, and copies of
+    one text, which share a handle, are split by adaptive execution."""
+    return docs.join(ranges.hint("merge"), "handle", how)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -340,16 +349,17 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         return keys
 
-    decided, rows, keys = [], docs, first
+    decided, rows, keys, ranges = [], docs, first, None
     for number, step in enumerate(("blocks", "strings", None)):
         level = stage(_level(rows, keys, buckets, step is None), f"level{number}", "none")
-        answers = stage(_answers(level, partitions, step is None), f"answers{number}")
-        unstage(level)
-        decided.append(answers)
+        rows = None
+        decided.append(stage(_answers(level, partitions, step is None), f"answers{number}"))
+        unstage(level, *([ranges] if ranges else []))  # with the texts that were shuffled for this level
         if step:
-            keys, rows = later(step), _with_texts(docs, stage(_merged(answers, (OPEN, WITNESS)), f"open{number}"))
+            ranges = stage(_merged(decided[-1], partitions, (OPEN, WITNESS)), f"open{number}")
+            keys, rows = later(step), _with_texts(docs, ranges)
     found = decided[0].union(decided[1]).union(decided[2])
-    out = stage(_merged(found, (ALL, WITNESS)), "repeated")
+    out = stage(_merged(found, partitions, (ALL, WITNESS)), "repeated")
     unstage(*decided)
     return out
 
