@@ -119,7 +119,7 @@ def quarter_trend(df: DataFrame, ts: str, score: str, gain: float = 0.05) -> Dat
     """Quarterly averages and whether each beats the one before by ``gain``."""
     q = df.groupBy((F.year(ts) * 4 + F.quarter(ts) - 1).alias("q")).agg(F.avg(score).alias("avg"), F.count("*").alias("n"))
     before = F.lag("avg").over(Window.orderBy("q"))  # one row a quarter
-    return q.select("q", "n", F.round("avg", DIGITS).alias("avg_score"), F.coalesce(F.col("avg") >= before * (1 + gain), F.lit(False)).alias("improved"))
+    return q.select("q", "n", F.round("avg", 6).alias("avg_score"), F.coalesce(F.col("avg") >= before * (1 + gain), F.lit(False)).alias("improved"))
 
 
 def folder_rollup(df: DataFrame, path: str, root: str, score: str) -> DataFrame:

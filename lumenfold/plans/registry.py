@@ -160,7 +160,7 @@ def numeric_summary(s, d):
 
 
 @query("""WITH q AS (SELECT year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS q, avg(o_totalprice) AS a, count(*) AS n FROM orders GROUP BY 1)
-SELECT CAST(q AS INTEGER) AS q, n, round(a, 4) AS avg_score, coalesce(a >= lag(a) OVER (ORDER BY q) * 1.05, false) AS improved FROM q""")
+SELECT CAST(q AS INTEGER) AS q, n, round(a, 6) AS avg_score, coalesce(a >= lag(a) OVER (ORDER BY q) * 1.05, false) AS improved FROM q""")
 def quarter_trend(s, d):
     return stats.quarter_trend(_t(s, d, "orders"), "o_orderdate", "o_totalprice")
 
