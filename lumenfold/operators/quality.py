@@ -30,3 +30,26 @@ def null_shares(df: DataFrame) -> DataFrame:
     n = F.count("*")
     row = df.agg(*(F.round(1 - F.count(c) / n, 6).alias(c) for c in df.columns))
     return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("share")) for c in df.columns))).alias("s")).select("s.*")
+
+
+def type_corruption(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Texts in numeric columns that are no numbers."""
+    rows = df.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("raw"), F.col(c).cast("string").try_cast("double").alias("number")) for c in columns))).alias("v")).select(key, "v.*")
+    return rows.where("raw is not null and number is null").select(key, "column", "raw")
+
+
+def flag_violations(df: DataFrame, key: str, flags: list[str]) -> DataFrame:
+    """Flags other than 0, 1 and null."""
+    rows = df.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("long").alias("value")) for c in flags))).alias("v")).select(key, "v.*")
+    return rows.where("value is not null and value not in (0, 1)")
+
+
+def implications(df: DataFrame, key: str, rules: dict[str, tuple]) -> DataFrame:
+    """Rows where a premise holds and its conclusion does not: name -> (premise, conclusion)."""
+    broken = F.array_compact(F.array(*(F.when(p & ~F.coalesce(c, F.lit(False)), F.lit(n)) for n, (p, c) in rules.items())))
+    return df.select(key, F.explode(broken).alias("rule"))
+
+
+def vector_lengths(df: DataFrame, vector: str) -> DataFrame:
+    """How many vectors have each length, the missing ones under null."""
+    return df.groupBy(F.when(F.col(vector).isNotNull(), F.size(vector)).alias("length")).agg(F.count("*").alias("n"))

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.functions import exprs
-from lumenfold.operators import culling, filters, grouping, learning, quality, scoring, similarity, stats, windows
+from lumenfold.functions import exprs, images
+from lumenfold.operators import culling, filters, grouping, learning, persons, quality, scoring, similarity, stats, windows
 from lumenfold.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -600,3 +600,51 @@ def haversine_distance(s, d):
 @query("SELECT l_orderkey, l_linenumber, round(log2(l_quantity * l_quantity / (l_tax + 0.01)) - log2((l_discount + 0.01)), 4) AS ev FROM lineitem")
 def exposure_values(s, d):
     return _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(exprs.exposure_value("l_quantity", F.col("l_tax") + 0.01, (F.col("l_discount") + 0.01) * 100), 4).alias("ev"))
+
+
+_BINS = "(SELECT vec_id, list_transform(list_concat(v, v, v, v), lambda x: abs(x)) AS b FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))"
+
+
+@query(f"SELECT vec_id, round(list_sum(b[1:64]), 6) AS first, round(list_sum(b[193:256]), 6) AS last, round(list_sum(b[1:30]) / list_sum(b), 6) AS shadow FROM {_BINS}")
+def histogram_functions(s, d):
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    rows = _t(s, d, "embeddings").select("vec_id", F.concat(v, v, v, v).alias("b"))
+    four = images.downsampled("b", 4)
+    return rows.select("vec_id", F.round(four[0], 6).alias("first"), F.round(four[3], 6).alias("last"), F.round(images.share("b", 0, 29), 6).alias("shadow"))
+
+
+@query("SELECT s_suppkey AS person_id, s_name AS name, 0 AS is_hidden, count(l_orderkey) AS faces, count(DISTINCT l_orderkey) AS photos FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey % 5 <> 0 GROUP BY ALL")
+def person_list(s, d):
+    p = _t(s, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5 == 0).cast("int").alias("is_hidden"))
+    return persons.people(p, _t(s, d, "lineitem").select(F.col("l_suppkey").alias("person_id"), F.col("l_orderkey").alias("photo")))
+
+
+@query("SELECT CASE WHEN l_suppkey IN (1, 2, 3) THEN 4 ELSE l_suppkey END AS person_id, count(*) AS n FROM lineitem GROUP BY 1")
+def person_merge_chain(s, d):
+    merges = s.createDataFrame([(2, 1), (1, 4), (3, 4)], "source long, target long")
+    return persons.merged(_t(s, d, "lineitem").select(F.col("l_suppkey").alias("person_id")), merges).groupBy("person_id").agg(F.count("*").alias("n"))
+
+
+@query("WITH n AS (SELECT l_partkey % 50 AS cluster, l_suppkey AS owner, count(*) AS n FROM lineitem GROUP BY 1, 2), z AS (SELECT l_partkey % 50 AS cluster, count(*) AS size FROM lineitem GROUP BY 1) SELECT cluster, owner FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, owner) AS rn FROM n) JOIN z USING (cluster) WHERE rn = 1 AND n >= .02 * size")
+def cluster_owner_majority(s, d):
+    return persons.majority_owner(_t(s, d, "lineitem").select((F.col("l_partkey") % 50).alias("cluster"), F.col("l_suppkey").alias("owner")), "cluster", "owner", 0.02)
+
+
+@query("SELECT c_custkey, 'c_mktsegment' AS \"column\", c_mktsegment AS raw FROM customer")
+def dq_type_corruption(s, d):
+    return quality.type_corruption(_t(s, d, "customer"), "c_custkey", ["c_mktsegment", "c_acctbal"])
+
+
+@query("SELECT p_partkey, 'p_size' AS \"column\", CAST(p_size AS BIGINT) AS value FROM part WHERE p_size NOT IN (0, 1)")
+def dq_flags(s, d):
+    return quality.flag_violations(_t(s, d, "part"), "p_partkey", ["p_size"])
+
+
+@query("SELECT o_orderkey, 'finished_is_old' AS rule FROM orders WHERE o_orderstatus = 'F' AND NOT o_orderdate < TIMESTAMP '1997-01-01' UNION ALL SELECT o_orderkey, 'urgent_is_dear' FROM orders WHERE o_orderpriority = '1-URGENT' AND NOT o_totalprice >= 100000")
+def dq_consistency(s, d):
+    return quality.implications(_t(s, d, "orders"), "o_orderkey", {"finished_is_old": (F.col("o_orderstatus") == "F", F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")), "urgent_is_dear": (F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") >= 100000)})
+
+
+@query("SELECT len(embedding) AS length, count(*) AS n FROM embeddings GROUP BY 1")
+def dq_vector_lengths(s, d):
+    return quality.vector_lengths(_t(s, d, "embeddings"), "embedding")
