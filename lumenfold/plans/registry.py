@@ -648,3 +648,79 @@ def dq_consistency(s, d):
 @query("SELECT len(embedding) AS length, count(*) AS n FROM embeddings GROUP BY 1")
 def dq_vector_lengths(s, d):
     return quality.vector_lengths(_t(s, d, "embeddings"), "embedding")
+
+
+# ------------------------------------------------------------------------------------------ more of the above families
+
+
+@query(f"SELECT vec_id, label AS guess, rank FROM (SELECT vec_id, label, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS INTEGER) AS rank, score FROM (SELECT a.vec_id, b.label, max({_COS}) AS score FROM {_E} a JOIN {_E} b ON b.vec_id < 12 GROUP BY 1, 2) WHERE score >= .15) WHERE rank <= 2")
+def zero_shot_tags(s, d):
+    e = _t(s, d, "embeddings")
+    prompts = e.where("vec_id < 12").select("label", F.col("embedding").alias("prompt"))
+    return similarity.top_labels(similarity.zero_shot(e, "vec_id", "embedding", prompts), "vec_id", 0.15, 2).select("vec_id", F.col("label").alias("guess"), "rank")
+
+
+@query(f"""WITH z AS (SELECT a.vec_id, b.label, max({_COS}) AS score FROM {_E} a JOIN {_E} b ON b.vec_id < 12 GROUP BY 1, 2), f AS (SELECT vec_id, min(label) AS none FROM z GROUP BY 1),
+k AS (SELECT vec_id, arg_max(label, score) FILTER (label <> 0) AS best, max(score) FILTER (label <> 0) AS top, max(score) FILTER (label = 0) AS other FROM z GROUP BY 1)
+SELECT vec_id, CASE WHEN top >= .2 AND top - coalesce(other, -1) >= .05 THEN best ELSE 0 END AS kind FROM k""")
+def contrast_classes(s, d):
+    e = _t(s, d, "embeddings")
+    prompts = e.where("vec_id < 12").select("label", F.col("embedding").alias("prompt"))
+    return similarity.contrast_classify(similarity.zero_shot(e, "vec_id", "embedding", prompts), "vec_id", 0, 0.2, 0.05).select("vec_id", F.col("label").alias("kind"))
+
+
+@query(f"SELECT a.vec_id, round((greatest(-1, least(1, {_COS})) + 1) * 5, 6) AS score FROM {_E} a JOIN {_E} b ON b.vec_id = 7")
+def aesthetic_axis(s, d):
+    e = _t(s, d, "embeddings")
+    return e.select("vec_id", F.round(similarity.axis_score("embedding", list(e.where("vec_id = 7").first()["embedding"])), 6).alias("score"))
+
+
+@query("""WITH v AS (SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, l_returnflag AS u, CASE WHEN l_partkey <= l_suppkey THEN 'a' ELSE 'b' END AS w, l_orderkey * 10 + l_linenumber AS t FROM lineitem WHERE l_orderkey < 2000)
+SELECT a, b, u AS user, max(t) AS at, arg_max(w, t) AS winner FROM v GROUP BY 1, 2, 3""")
+def canonical_votes(s, d):
+    v = _t(s, d, "lineitem").where("l_orderkey < 2000").select("l_partkey", "l_suppkey", F.lit("a").alias("w"), F.col("l_returnflag").alias("user"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return learning.canonical_votes(v, "l_partkey", "l_suppkey", "w", "user", "at").select("a", "b", "user", "at", "winner")
+
+
+@query("SELECT a.p_partkey AS winner, b.p_partkey AS loser, a.p_size - b.p_size AS gap FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size > b.p_size ORDER BY 3 DESC, 1, 2 LIMIT 200")
+def rating_pairs(s, d):
+    return learning.rating_pairs(_t(s, d, "part"), "p_brand", "p_partkey", "p_size", 200)
+
+
+@query("SELECT n.p_brand, n.m AS mean, abs(n.m - o.m) > .1 * abs(o.m) AS stale FROM (SELECT p_brand, round(avg(p_size), 4) AS m FROM part GROUP BY 1) n JOIN (SELECT p_brand, round(avg(p_size), 4) AS m FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) o USING (p_brand)")
+def percentile_drift(s, d):
+    p = _t(s, d, "part")
+    mean = lambda x: x.groupBy("p_brand").agg(F.round(F.avg("p_size"), 4).alias("mean"))
+    return scoring.drift(mean(p), mean(p.where("p_partkey % 2 = 0")), ["p_brand"], "mean").select("p_brand", "mean", "stale")
+
+
+@query("SELECT p_partkey, metric, round(value * weight, 4) AS contribution, CASE WHEN value >= 7.5 THEN 'strength' WHEN value < 5 THEN 'weakness' END AS verdict FROM (SELECT p_partkey, 'score' AS metric, score AS value, .6 AS weight FROM " + _PARTS + " UNION ALL SELECT p_partkey, 'size', p_size / 5.0, .4 FROM part)")
+def score_critique(s, d):
+    p = _parts(s, d).withColumn("size", F.col("p_size") / 5.0)
+    return scoring.critique(p, "p_partkey", ["score", "size"], {"score": 0.6, "size": 0.4}).select("p_partkey", "metric", "contribution", "verdict")
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 10 AS g1, hour(ts) AS g2, value FROM events), a AS (SELECT *, count(*) OVER (PARTITION BY g1) AS n, max(value) OVER (PARTITION BY g1) AS best, row_number() OVER (PARTITION BY g1 ORDER BY value DESC, event_id) AS r FROM e WHERE g1 < 5),
+d1 AS (SELECT event_id, r <= 1 OR value >= best - 5 AS keep FROM a WHERE n >= 2), b AS (SELECT *, count(*) OVER (PARTITION BY g2) AS n FROM e WHERE g2 < 12 AND event_id NOT IN (SELECT event_id FROM d1)), c AS (SELECT *, max(value) OVER (PARTITION BY g2) AS best, row_number() OVER (PARTITION BY g2 ORDER BY value DESC, event_id) AS r FROM b WHERE n >= 2)
+SELECT * FROM d1 UNION ALL SELECT event_id, r <= 1 OR value >= best - 5 FROM c""")
+def auto_cull(s, d):
+    e = _t(s, d, "events")
+    first = e.where("user_id % 10 < 5").select("event_id", (F.col("user_id") % 10).alias("g"), "value")
+    second = e.where(F.hour("ts") < 12).select("event_id", F.hour("ts").cast("long").alias("g"), "value")
+    return culling.auto_cull([first, second], "event_id", "g", "value", 0.0)
+
+
+@query("SELECT CAST(round(lat / 20) AS BIGINT) AS y, CAST(round(lon / 20) AS BIGINT) AS x, count(*) AS n FROM " + _CUSTOMERS + " GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY 3 DESC, 1, 2 LIMIT 50")
+def location_grid(s, d):
+    return stats.location_grid(_customers(s, d), "lat", "lon", 20.0, 3, 50)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 0.0 FROM orders WHERE o_orderkey % 3 = 0")
+def partial_upsert(s, d):
+    o = _t(s, d, "orders").select("o_orderkey", "o_totalprice")
+    return tables.upsert(o, o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(0.0).alias("o_totalprice")), "o_orderkey", ["o_totalprice"])
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+def newest_row(s, d):
+    return tables.newest(_t(s, d, "orders").withColumn("at", F.struct("o_orderdate", "o_orderkey")), ["o_custkey"], "at").select("o_custkey", "o_orderkey")
