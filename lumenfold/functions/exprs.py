@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # --- Fixed values: layouts, cut-points and bucket bounds that results depend on -----------------------------
 CAPTURE_LAYOUTS = ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
-HUE_BUCKETS = (("red", 345, 15), ("orange", 15, 45), ("yellow", 45, 70), ("green", 70, 165), ("cyan", 165, 195), ("blue", 195, 255), ("purple", 255, 290), ("pink", 290, 345))
+HUE_BUCKETS = {"red": ((0, 15), (345, 360)), "orange": ((15, 45),), "yellow": ((45, 70),), "green": ((70, 165),), "cyan": ((165, 195),), "blue": ((195, 255),), "purple": ((255, 300),), "magenta": ((300, 345),)}
+TOP_PICK_SHARES = {"aggregate": 0.20, "aesthetic": 0.32, "composition": 0.24, "face_quality": 0.24}
+TOP_PICK_FACE_RATIO, TOP_PICK_LEAST = 0.20, 7.0
 QUALITY_TIERS = (("excellent", 8.0), ("good", 7.0), ("fair", 6.0))
 STAR_CUTS = ((9.0, 5), (8.0, 4), (7.0, 3), (5.5, 2))
 EARTH_KM = 6371.0
@@ -75,12 +77,9 @@ def hash_from_hex(text: Column | str) -> Column:
 
 
 def hue_bucket(hue: Column | str) -> Column:
-    """Half-open hue ranges; red wraps around."""
+    """Half-open hue ranges; red lies on both sides of 0."""
     h = _col(hue)
-    out = F.when((h >= HUE_BUCKETS[0][1]) | (h < HUE_BUCKETS[0][2]), HUE_BUCKETS[0][0])
-    for name, lo, hi in HUE_BUCKETS[1:]:
-        out = out.when((h >= lo) & (h < hi), name)
-    return F.when(h.isNotNull(), out)
+    return F.coalesce(*(F.when((h >= lo) & (h < hi), name) for name, ranges in HUE_BUCKETS.items() for lo, hi in ranges))
 
 
 def quality_tier(score: Column | str) -> Column:
@@ -156,9 +155,13 @@ def lens_is_junk(text: Column | str) -> Column:
 
 
 def top_pick_score(aggregate, aesthetic, composition, face_quality, face_ratio) -> Column:
-    """A blend that gives the face's share to the others where no face is prominent."""
+    """A blend; where no face is prominent, half of its share goes to each of aesthetic and composition."""
     a, b, c, f = (F.coalesce(_col(x), F.lit(0.0)) for x in (aggregate, aesthetic, composition, face_quality))
-    return F.when(_col(face_ratio) >= 0.20, 0.30 * a + 0.28 * b + 0.18 * c + 0.24 * f).otherwise(0.30 * a + 0.40 * b + 0.30 * c)
+    w = TOP_PICK_SHARES
+    half = w["face_quality"] / 2
+    with_face = a * w["aggregate"] + b * w["aesthetic"] + c * w["composition"] + f * w["face_quality"]
+    without = a * w["aggregate"] + b * (w["aesthetic"] + half) + c * (w["composition"] + half)
+    return F.when(_col(face_ratio) >= TOP_PICK_FACE_RATIO, with_face).otherwise(without)
 
 
 def crop_box(width, height, aspect: float, x, y) -> Column:

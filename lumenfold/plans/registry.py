@@ -179,7 +179,7 @@ def range_filters(s, d):
     return q.apply(_parts(s, d)).select("p_partkey", "p_brand", "score")
 
 
-_HUES = "CASE WHEN hue >= 345 OR hue < 15 THEN 'red' WHEN hue < 45 THEN 'orange' WHEN hue < 70 THEN 'yellow' WHEN hue < 165 THEN 'green' WHEN hue < 195 THEN 'cyan' WHEN hue < 255 THEN 'blue' WHEN hue < 290 THEN 'purple' ELSE 'pink' END"
+_HUES = "CASE WHEN hue >= 345 OR hue < 15 THEN 'red' WHEN hue < 45 THEN 'orange' WHEN hue < 70 THEN 'yellow' WHEN hue < 165 THEN 'green' WHEN hue < 195 THEN 'cyan' WHEN hue < 255 THEN 'blue' WHEN hue < 300 THEN 'purple' ELSE 'magenta' END"
 
 
 @query(f"SELECT {_HUES} AS bucket, count(*) AS n FROM {_PARTS} GROUP BY 1")
@@ -192,7 +192,7 @@ def quality_tiers(s, d):
     return _parts(s, d).groupBy(exprs.quality_tier("score").alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT p_partkey, round(CASE WHEN p_size / 50.0 >= .2 THEN .3 * score + .28 * (p_size / 5.0) + .18 * (hue / 36) + .24 * score ELSE .3 * score + .4 * (p_size / 5.0) + .3 * (hue / 36) END, 4) AS top_score FROM {_PARTS} WHERE round(CASE WHEN p_size / 50.0 >= .2 THEN .3 * score + .28 * (p_size / 5.0) + .18 * (hue / 36) + .24 * score ELSE .3 * score + .4 * (p_size / 5.0) + .3 * (hue / 36) END, 4) >= 7")
+@query(f"SELECT p_partkey, round(CASE WHEN p_size / 50.0 >= .2 THEN score * .2 + (p_size / 5.0) * .32 + (hue / 36) * .24 + score * .24 ELSE score * .2 + (p_size / 5.0) * .44 + (hue / 36) * .36 END, 4) AS top_score FROM {_PARTS} WHERE round(CASE WHEN p_size / 50.0 >= .2 THEN score * .2 + (p_size / 5.0) * .32 + (hue / 36) * .24 + score * .24 ELSE score * .2 + (p_size / 5.0) * .44 + (hue / 36) * .36 END, 4) >= 7")
 def top_picks(s, d):
     p = _parts(s, d)
     return p.select("p_partkey", F.round(exprs.top_pick_score("score", F.col("p_size") / 5.0, F.col("hue") / 36, "score", F.col("p_size") / 50.0), 4).alias("top_score")).where("top_score >= 7")

@@ -34,7 +34,7 @@ def test_capture_times_and_shutter(spark):
 
 
 def test_hue_and_tags(spark):
-    assert [value(spark, exprs.hue_bucket(F.lit(float(h)))) for h in (350, 10, 15, 300)] == ["red", "red", "orange", "pink"]
+    assert [value(spark, exprs.hue_bucket(F.lit(float(h)))) for h in (350, 10, 15, 300)] == ["red", "red", "orange", "magenta"]
     assert value(spark, exprs.tags(F.lit('["a", " b "]'))) == ["a", "b"]
     assert value(spark, exprs.tags(F.lit("x, y,,"))) == ["x", "y"]
 
