@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # --- Fixed values: layouts, cut-points and bucket bounds that results depend on -----------------------------
 CAPTURE_LAYOUTS = ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
 HUE_BUCKETS = {"red": ((0, 15), (345, 360)), "orange": ((15, 45),), "yellow": ((45, 70),), "green": ((70, 165),), "cyan": ((165, 195),), "blue": ((195, 255),), "purple": ((255, 300),), "magenta": ((300, 345),)}
+NEUTRAL_SATURATION = 0.15
 TOP_PICK_SHARES = {"aggregate": 0.20, "aesthetic": 0.32, "composition": 0.24, "face_quality": 0.24}
 TOP_PICK_FACE_RATIO, TOP_PICK_LEAST = 0.20, 7.0
 QUALITY_TIERS = (("excellent", 8.0), ("good", 7.0), ("fair", 6.0))
@@ -100,7 +101,7 @@ def stars(score: Column | str) -> Column:
 
 def colour_temperature(hue: Column | str, saturation: Column | str) -> Column:
     h = _col(hue)
-    return F.when(_col(saturation) < 0.1, "neutral").when((h <= 60) | (h >= 300), "warm").when((h >= 150) & (h <= 270), "cool").otherwise("neutral")
+    return F.when(F.coalesce(_col(saturation), F.lit(0.0)) < NEUTRAL_SATURATION, "neutral").when((h <= 60) | (h >= 300), "warm").when((h >= 150) & (h <= 270), "cool").otherwise("neutral")
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
