@@ -259,7 +259,7 @@ _ANSWERS = "part int, handle binary, code binary, answer binary"
 
 def _answers(level: DataFrame, partitions: int, last: bool) -> DataFrame:
     """Packed rows (part, handles, ranges, answers) of what is not decided as unique."""
-    parts = 4 * partitions
+    parts = partitions
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +323,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``docs`` has columns handle and text."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
+    buckets = 2 * partitions
 
     def first():
         refiner = Refiner(length)
