@@ -332,6 +332,18 @@ def test_jaccard(spark, corpus, size, threshold, tile, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {None, *want.values()}
 
 
+def test_repeated_rows_and_null_ids_stay_once(spark):
+    rng = random.Random(9)
+    long = [" ".join(words_of(rng, 120, 5000)) for _ in range(6)]
+    rows = [(1, long[0]), (1, long[0]), (1, long[0]), (None, long[1]), (7, long[1]), (None, long[1]), (None, long[2]), (None, long[2]), (9, long[3]), (9, long[4]), (8, long[3]), (5, long[5]), (3, None), (3, None), (None, "")]
+    kept = jaccard.one_of_each(documents(spark, rows), 5, Fraction(4, 5))
+    want = [(1, long[0]), (7, long[1]), (None, long[2]), (8, long[3]), (9, long[4]), (5, long[5]), (3, None), (3, None), (None, "")]
+    order = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=order) == sorted(want, key=order)
+    left = repeats.deduplicate(kept)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=order) == sorted(want, key=order)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
