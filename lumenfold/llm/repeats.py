@@ -77,20 +77,29 @@ def _salt(*parts: np.ndarray) -> np.ndarray:
     return mix64(out + _U(0x51ED270B))
 
 
-def pointers(prefix: np.ndarray, size: int, h: Hasher, length: int, gram: int) -> np.ndarray:
-    """For each start of a ``length``-byte string: where its smallest q-gram is."""
-    grams = size - gram + 1
-    at = np.arange(grams)
-    value = (h.of(prefix, at, at + gram) & ~_U((1 << 24) - 1)) | at.astype(_U)
-    w = length - gram + 1
-    rows = -(-grams // w)
-    padded = np.full(rows * w, ~_U(0))
-    padded[:grams] = value
-    table = padded.reshape(rows, w)
-    ahead = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    behind = np.minimum.accumulate(table, axis=1).ravel()
-    starts = np.arange(size - length + 1)
-    return (np.minimum(ahead[starts], behind[starts + w - 1]) & _U((1 << 24) - 1)).astype(np.int64)
+def pointers(prefix: np.ndarray, size: int, h: Hasher, length: int, gram: int, bits: int = 24) -> np.ndarray:
+    """For each start of a ``length``-byte string: where its smallest q-gram is.
+
+    Positions stand in the low ``bits`` of the hashes, counted from the start of a piece, so that equal strings
+    compare the same bits of their q-grams wherever they are in a text of any size."""
+    w, starts = length - gram + 1, size - length + 1
+    piece = (1 << bits) - w + 1
+    low = _U((1 << bits) - 1)
+    out = []
+    for a in range(0, starts, piece):
+        here = min(piece, starts - a)
+        grams = here + w - 1
+        at = np.arange(grams)
+        value = (h.of(prefix, at + a, at + a + gram) & ~low) | at.astype(_U)
+        rows = -(-grams // w)
+        padded = np.full(rows * w, ~_U(0))
+        padded[:grams] = value
+        table = padded.reshape(rows, w)
+        ahead = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+        behind = np.minimum.accumulate(table, axis=1).ravel()
+        own = np.arange(here)
+        out.append((np.minimum(ahead[own], behind[own + w - 1]) & low).astype(np.int64) + a)
+    return np.concatenate(out)
 
 
 def code(low: np.ndarray, high: np.ndarray, offset: np.ndarray) -> np.ndarray:

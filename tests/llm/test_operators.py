@@ -194,6 +194,38 @@ def test_repeats(spark, length, seed):
         assert kept.columns == docs.columns and {r["handle"] for r in kept.collect()} == {1}
 
 
+@pytest.mark.parametrize(("size", "bits"), [(3000, 9), ((1 << 24) + 5000, 24)])
+def test_pointers_beyond_the_bits_of_a_position(size, bits):
+    raw = np.random.default_rng(6).integers(97, 123, size, dtype=np.uint8)
+    raw[-600:-300] = raw[100:400]
+    h = repeats.Hasher(0, size)
+    prefix = h.prefix(raw)
+    own = repeats.pointers(prefix, size, h, 200, 32, bits)
+    starts = np.arange(size - 199)
+    assert len(own) == len(starts) and (own >= starts).all() and (own <= starts + 168).all()
+    same = np.arange(101)
+    assert (own[100 + same] - 100 == own[size - 600 + same] - (size - 600)).all()
+    for k in np.random.default_rng(7).integers(0, len(starts), 40).tolist() + [len(starts) - 1]:
+        grams = h.of(prefix, np.arange(k, k + 169), np.arange(k, k + 169) + 32) >> np.uint64(bits)
+        assert own[k] == k + int(np.argmin(grams))
+
+
+def test_repeats_of_a_text_above_16_mib():
+    size = (1 << 24) + 5000
+    raw = np.random.default_rng(8).integers(97, 123, size, dtype=np.uint8)
+    raw[-600:-300] = raw[-2000:-1700]
+    refiner = repeats.Refiner(200)
+    _, common, whole, codes = refiner.records([raw.tobytes()])
+    low, high, at = repeats.decode(codes)
+    assert (low <= high).all() and (high <= at).all() and (at + 32 <= low + 200).all() and high.max() == size - 200
+    twice = np.flatnonzero(np.bincount(np.unique(common, return_inverse=True)[1])[np.unique(common, return_inverse=True)[1]] > 1)
+    blocks = refiner.blocks(raw.tobytes(), codes[twice])
+    _, key, c = refiner.strings(raw.tobytes(), np.unique(blocks[2]))
+    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+    start = repeats.decode(c)[0]
+    assert set(start[n[inverse] > 1].tolist()) == {*range(size - 2000, size - 1899), *range(size - 600, size - 499)}
+
+
 def brute_hits(items, w, window):
     hit, names = [False] * len(w), set()
     for name, raw in items:
