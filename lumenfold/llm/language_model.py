@@ -1,16 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-The model spells words: byte n-grams inside words, of orders 1 to ``ORDER``, are counted over all training text
-in a hashed space of ``IDS`` ids.  A count c is quantised to level 1 + floor(log_b c), and the filter holds
-the pairs (id, 1), ..., (id, level).  A count is read back by probing level after level until one is missing.
-The id space bounds the filter (``FILTER_BITS``, whatever the corpus), so it may be broadcast.
+Word n-grams of orders 2 to ``WORDS`` (an end token closes each text) are counted over all training text.  A
+count c is quantised to level 1 + floor(log_b c), and the filter holds the pairs (n-gram, 1), ..., (n-gram, level).
+A count is read back by probing level after level until one is missing.  The filter grows with the corpus:
+it is cut into shards by the n-grams' hashes, each sized from the number of pairs that it really holds
+(``PAIR_BITS`` bits each), and is never broadcast; the n-grams that a batch meets travel to their
+shards, and the levels read there come back.
 
-A word's probability mixes its exact training count with its spelling,
+Every order is smoothed by the one below, with counts never above their context's,
 
-    p(w) = (c(w) + 1 + k * spelling(w)) / (N + V + 1 + k),   k = a fifth of the words that training has seen once,
+    p(w | h) = (c(h w) + SMOOTH * p(w | h')) / (c(h) + SMOOTH),
+    p(w) = c(w) / (N + U) for a seen word, U * spelling(w) / (N + U) for an unseen one,
 
-so every word has the mass of one sighting, as in the base score, and likely spellings have more;
-spelling(w) interpolates all orders, each smoothed by the one below, down to the uniform distribution.
+where U, the mass that unseen words share, is the number of words seen once.  Spelling interpolates byte n-grams
+inside words, of orders 1 to ``ORDER``, down to the uniform distribution.  It is a model of letters with a hashed
+space of ``IDS`` ids, whatever the corpus, so its own filter may be broadcast; words and their n-grams have no such bound.
 
 Exact word counts do not fit a broadcast.  Texts are packed in batches; each batch sends its distinct words'
 hashes to buckets once, and gets counts back in the same order.  A frequent word costs one entry a batch.
@@ -31,10 +35,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import binary, map_batches, mix64, prepare, stage, table
+from lumenfold.llm.common import binary, map_batches, mix64, prepare, stage, table, unstage
 
 ORDER, IDS, FILTER_BITS, PROBES = 5, 1 << 21, 1 << 28, 2
 BASE = 2**0.5
+#: Orders of word n-grams, the weight of the order below, and bits of the filter for each pair.
+WORDS, SMOOTH, PAIR_BITS = 3, 4.0, 16
+#: Ids that are probed at a time.
+_SLICE = 1 << 17
+_END = np.uint64(0x7F4A7C159E3779B9)
 #: Bytes of text in one batch.
 BATCH = 5 << 20
 _U = np.uint64
@@ -83,38 +92,79 @@ class Spelling:
         return np.add.reduceat(logs, self.begin) if len(self.begin) else np.zeros(0)
 
 
+def with_ends(n: np.ndarray, values: np.ndarray, end) -> np.ndarray:
+    """The values of the words of consecutive texts with n words each, and ``end`` after each text."""
+    out = np.full(len(values) + len(n), end, values.dtype)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(n + 1) - 1] = False
+    out[word] = values
+    return out
+
+
+def word_grams(n: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For orders 2 to ``WORDS``: where n-grams end among ``tokens`` (hashes with ends), and their 48-bit hashes."""
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    h = tokens
+    with np.errstate(over="ignore"):
+        for order in range(2, WORDS + 1):
+            longer = np.zeros_like(h)
+            longer[1:] = mix64(h[:-1] + _U(0x9E3779B97F4A7C15)) ^ tokens[1:]
+            h = longer
+            at = np.flatnonzero(place >= order - 1)
+            yield at, mix64(h[at] + _U(order)) >> _U(16)
+
+
 class LogBloom:
-    """The filter; ``bits`` is a packed array of FILTER_BITS bits."""
+    """The filter; ``bits`` is a packed array of bits, a power of two."""
 
     def __init__(self, bits: np.ndarray, total: float):
         self.bits, self.total = bits, total
 
     @staticmethod
-    def _places(ids: np.ndarray, level: int) -> np.ndarray:
+    def _places(ids: np.ndarray, level: int, size: int = FILTER_BITS) -> np.ndarray:
         with np.errstate(over="ignore"):
             x = mix64(ids.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(level))
             step = (x >> _U(32)) | _U(1)
-            return np.stack([((x + step * _U(k)) & _U(FILTER_BITS - 1)).astype(np.int64) for k in range(PROBES)])
+            return np.stack([((x + step * _U(k)) & _U(size - 1)).astype(np.int64) for k in range(PROBES)])
 
     @classmethod
     def build(cls, count: np.ndarray, total: float) -> LogBloom:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
         ids = np.flatnonzero(count)
-        levels = 1 + np.floor(np.log(np.maximum(count[ids], 1)) / np.log(BASE) + 1e-9).astype(int)
+        return cls.of(ids, count[ids], total, FILTER_BITS)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, count: np.ndarray, total: float = 0.0, size: int | None = None, pair_bits: int = PAIR_BITS) -> LogBloom:
+        """A filter of ids with counts of 1 or more; without ``size``, of ``pair_bits`` or more for each pair."""
+        levels = 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(BASE) + 1e-9).astype(int)
+        size = size or 1 << max(10, int(levels.sum() * pair_bits - 1).bit_length())
+        bits = np.zeros(size // 8, np.uint8)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            at = cls._places(ids[levels >= level], level).ravel()
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            held = ids[levels >= level]
+            for a in range(0, len(held), _SLICE):
+                at = cls._places(held[a : a + _SLICE], level, size).ravel()
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return cls(bits, total)
 
     def read(self, ids: np.ndarray) -> np.ndarray:
         """Counts by repeated membership probes."""
-        level, left, k = np.zeros(len(ids), int), np.arange(len(ids)), 0
-        while len(left):
-            k += 1
-            at = self._places(ids[left], k)
-            left = left[((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)]
-            level[left] = k
-        return np.where(level > 0, np.round(BASE ** (level - 1.0)), 0.0)
+        return counts_of(self.levels(ids))
+
+    def levels(self, ids: np.ndarray) -> np.ndarray:
+        """Quantised counts by repeated membership probes."""
+        out = np.zeros(len(ids), int)
+        for a in range(0, len(ids), _SLICE):
+            part = ids[a : a + _SLICE]
+            level, left, k = out[a : a + _SLICE], np.arange(len(part)), 0
+            while len(left):
+                k += 1
+                at = self._places(part[left], k, 8 * len(self.bits))
+                left = left[((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)]
+                level[left] = k
+        return out
+
+
+def counts_of(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, np.round(BASE ** (level - 1.0)), 0.0)
 
 
 def _pack(docs: DataFrame, buckets: int) -> DataFrame:
@@ -196,6 +246,77 @@ def _count(packed: DataFrame, partitions: int) -> DataFrame:
     return packed.where("bucket >= 0").repartition(partitions, "bucket").mapInArrow(run, "batch string, bucket int, counts binary")
 
 
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(_U)
+
+
+def _texts(a: bytes, b: bytes, c: bytes, expand) -> tuple[np.ndarray, ...]:
+    """Of a packed batch: doc_ids, words in each text, learn, known, numbers of the words, and the distinct words."""
+    inverse = np.frombuffer(expand.decompress(b), np.uint32)
+    return *np.frombuffer(a, np.int64).reshape(4, -1), inverse, expand.decompress(c).split(b" ") if len(inverse) else []
+
+
+def _met(texts: DataFrame, buckets: int) -> DataFrame:
+    """The distinct word n-grams of each batch with their training counts, by bucket: ascending, in two parts."""
+
+    def make():
+        squeeze, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for name, *row in zip(*(batch.column(x).to_pylist() for x in ("batch", "a", "b", "c")), strict=True):
+                _, n, learn, _, inverse, words = _texts(*row, expand)
+                tokens = with_ends(n, _word_hashes(words)[inverse] if words else np.zeros(0, _U), _END)
+                learnt, grams, weight = np.repeat(learn > 0, n + 1), [], []
+                for at, h in word_grams(n, tokens):
+                    grams.append(h)
+                    weight.append(learnt[at])
+                del tokens, learnt, inverse, words, at, h
+                every, weight = np.concatenate(grams), np.concatenate(weight)
+                grams.clear()
+                h, inverse = np.unique(every, return_inverse=True)
+                trained = np.bincount(inverse[weight], minlength=len(h)).astype(np.uint32)
+                del every, weight, inverse
+                to = (h >> _U(28)).astype(np.int64) * buckets >> 20
+                cuts = np.searchsorted(to, np.arange(buckets + 1)).tolist()
+                out = [(name, k, squeeze.compress((h[x:y] >> _U(32)).astype(np.uint16).tobytes()), (h[x:y] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), squeeze.compress(trained[x:y].tobytes())) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "bucket", "a", "b", "c"])
+
+        return each
+
+    return map_batches(texts.select("batch", "a", "b", "c"), make, "batch string, bucket int, a binary, b binary, c binary")
+
+
+def _levels(met: DataFrame, partitions: int, pair_bits: int) -> DataFrame:
+    """Each task fills its shard of the filter and reads it for all n-grams that were sent there, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        names, buckets, hashes, trained = [], [], [], []
+        for batch in batches:
+            names += batch.column("batch").to_pylist()
+            buckets += batch.column("bucket").to_pylist()
+            for a, b, c in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "c")), strict=True):
+                hashes.append(np.frombuffer(expand.decompress(a), np.uint16).astype(_U) << _U(32) | np.frombuffer(b, np.uint32).astype(_U))
+                trained.append(np.frombuffer(expand.decompress(c), np.uint32))
+        if not names:
+            return
+        cuts = np.cumsum([0, *map(len, hashes)]).tolist()
+        every = np.concatenate(hashes)
+        hashes.clear()
+        distinct, inverse = np.unique(every, return_inverse=True)
+        del every
+        total = np.bincount(inverse, weights=np.concatenate(trained), minlength=len(distinct))
+        trained.clear()
+        shard = LogBloom.of(distinct[total > 0], total[total > 0], pair_bits=pair_bits)
+        every = shard.levels(distinct).astype(np.uint8)[inverse]
+        for k in range(0, len(names), 64):
+            rows = range(k, min(k + 64, len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in rows]), pa.array([buckets[r] for r in rows], pa.int32()), pa.array([squeeze.compress(every[cuts[r] : cuts[r + 1]].tobytes()) for r in rows], pa.binary())], names=["batch", "bucket", "levels"])
+
+    return met.repartition(partitions, "bucket").mapInArrow(run, "batch string, bucket int, levels binary")
+
+
 def _gram_counts(packed: DataFrame) -> np.ndarray:
     """Counts by id over all tasks: summed in 64 ranges of ids; IDS numbers reach the driver, whatever the corpus."""
 
@@ -211,7 +332,7 @@ def _gram_counts(packed: DataFrame) -> np.ndarray:
     return out
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, pair_bits: int = PAIR_BITS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, learn): doc_id, learn, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -224,7 +345,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     grams = _gram_counts(packed)
     letters = sum(float(np.frombuffer(r[0], np.float64)[0]) for r in packed.where("bucket = -3").select("a").toLocalIterator())
     shared = spark.sparkContext.broadcast(LogBloom.build(grams, letters))
-    unknown, k = np.log10(1.0) - np.log10(total + distinct + 1), max(1.0, once / 5)
+    found = stage(counted.where("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("bucket", "counts")).alias("found")), "found")
+    texts = stage(packed.where("bucket = -1"), "texts", "none")
+    unstage(counted, packed)  # with the words that were shuffled
+    levels = stage(_levels(_met(texts, 2 * partitions), 2 * partitions, pair_bits), "levels", "none")
+    read = stage(levels.groupBy("batch").agg(F.collect_list(F.struct("bucket", "levels")).alias("read")), "read", "none")
+    unstage(levels)  # with the n-grams that were shuffled
+    unknown, unseen = np.log10(1.0) - np.log10(total + distinct + 1), max(1.0, once)
 
     def make():
         model = shared.value
@@ -232,37 +359,47 @@ def score_documents(docs: DataFrame) -> DataFrame:
         expand = zstandard.ZstdDecompressor()
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for a, b, c, found in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "c", "found")), strict=True):
-                ids, n, learn, known = np.frombuffer(a, np.int64).reshape(4, -1)
-                inverse = np.frombuffer(expand.decompress(b), np.uint32)
-                words = expand.decompress(c).split(b" ") if len(inverse) else []
+            for a, b, c, found, read in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "c", "found", "read")), strict=True):
+                ids, n, learn, known, inverse, words = _texts(a, b, c, expand)
                 seen = np.concatenate([np.frombuffer(x["counts"], np.uint64) for x in sorted(found or [], key=lambda x: x["bucket"])]).astype(np.float64) if words else np.zeros(0)
                 base = np.log10(seen + 1) + unknown
-                spelt = 10.0 ** np.maximum(Spelling(words).log10(count, model.total), -250.0) if words else np.zeros(0)
-                own = np.log10((seen + 1 + k * spelt) / (total + distinct + 1 + k))
-                edge = np.concatenate([[0], np.cumsum(n)])
+                own, new = seen / (total + unseen), np.flatnonzero(seen == 0)
+                if len(new):
+                    own[new] = unseen / (total + unseen) * 10.0 ** np.maximum(Spelling([words[k] for k in new.tolist()]).log10(count, model.total), -250.0)
+                p = with_ends(n, own[inverse], ends / (total + unseen) if ends else unseen / (total + unseen) / 256)
+                context = with_ends(n, seen[inverse], float(ends))
+                grams = list(word_grams(n, with_ends(n, _word_hashes(words)[inverse] if words else np.zeros(0, _U), _END)))
+                _, place = np.unique(np.concatenate([h for _, h in grams]), return_inverse=True)
+                level = np.frombuffer(b"".join(expand.decompress(x["levels"]) for x in sorted(read or [], key=lambda x: x["bucket"])), np.uint8)
+                reads, start = counts_of(level)[place], 0
+                for at, h in grams:
+                    here = np.zeros(len(p))
+                    here[at] = reads[start : start + len(h)]
+                    start += len(h)
+                    of = context[at - 1]
+                    p[at] = (np.minimum(here[at], of) + SMOOTH * p[at]) / (of + SMOOTH)
+                    context = here
+                edge, first = np.concatenate([[0], np.cumsum(n)]), np.cumsum(n + 1) - (n + 1)
 
                 def summed(per_word, edge=edge, inverse=inverse):
                     s = np.concatenate([[0.0], np.cumsum(per_word[inverse], dtype=np.longdouble)])
                     return (s[edge[1:]] - s[edge[:-1]]).astype(np.float64)
 
-                end_base, end_own = np.log10(ends + 1) + unknown, np.log10((ends + 1) / (total + distinct + 1 + k))
                 out = {
                     "doc_id": pa.array(ids, mask=known == 0),
                     "learn": pa.array(learn.astype(bool)),
                     "n_tokens": pa.array(n + 1),
                     "n_known": pa.array(summed((seen > 0).astype(float)).round().astype(np.int64) + (ends > 0)),
                     "train_tokens": pa.array(np.full(len(ids), total, np.int64)),
-                    "base_score": pa.array(summed(base) + end_base),
-                    "score": pa.array(summed(own) + end_own),
+                    "base_score": pa.array(summed(base) + np.log10(ends + 1) + unknown),
+                    "score": pa.array(np.add.reduceat(np.log10(p), first)),
                 }
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
         return each
 
-    found = counted.where("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("bucket", "counts")).alias("found"))
-    rows = packed.where("bucket = -1").select("batch", "a", "b", "c").join(stage(found, "found"), "batch", "left")
-    return map_batches(rows.select("a", "b", "c", "found"), make, "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    rows = texts.select("batch", "a", "b", "c").join(found, "batch", "left").join(read, "batch", "left")
+    return map_batches(rows.select("a", "b", "c", "found", "read"), make, "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

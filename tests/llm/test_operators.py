@@ -284,6 +284,50 @@ def test_language_model(spark, corpus):
         assert r["score"] < 0
 
 
+def test_language_model_learns_across_words(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{k % 90}" for k in range(a, a + rng.randint(0, 60))) for a in (rng.randrange(300) for _ in range(150))]
+    texts += [" ".join(words_of(rng, 40, 200)) + " zebra" for _ in range(50)] + ["", None]
+    shuffled = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts[:150]]
+    rows = [(k, t, k % 3 > 0) for k, t in enumerate(texts)] + [(1000 + k, t, False) for k, t in enumerate(shuffled)]
+    got = {r["doc_id"]: r["score"] for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), 4096).collect()}
+    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t, _ in rows}
+    count = Counter(tuple(w[k : k + n]) for i, t, learn in rows if learn for w in [tokens[i]] for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total, once = sum(c for g, c in count.items() if len(g) == 1), sum(c == 1 for g, c in count.items() if len(g) == 1 and g[0])
+    known = [w for (w, *more), _ in count.items() if not more and w]
+    spelling = language_model.Spelling(known)
+    weight = np.asarray([count[(w,)] for w in known])
+    model = language_model.LogBloom.build(spelling.counts(weight), float(spelling.size @ weight))
+    letters, unseen = model.read(np.arange(language_model.IDS)), max(1, once)
+    quantised = lambda c: c and round(2 ** (math.floor(2 * math.log2(c) + 1e-9) / 2))
+
+    def probability(w, k):
+        p = count[(w[k],)] / (total + unseen)
+        if not p:
+            p = unseen / (total + unseen) * 10 ** language_model.Spelling([w[k]]).log10(letters, model.total)[0]
+        for n in range(2, min(3, k + 1) + 1):
+            c = count[tuple(w[k - n + 1 : k])]
+            of = c if n == 2 else quantised(c)
+            p = (min(quantised(count[tuple(w[k - n + 1 : k + 1])]), of) + 4 * p) / (of + 4)
+        return p
+
+    for i, w in tokens.items():
+        assert got[i] == pytest.approx(sum(math.log10(probability(w, k)) for k in range(len(w))), rel=1e-9)
+    held = [k for k in range(0, 150, 3) if len(texts[k].split()) > 5]
+    assert all(got[k] > got[1000 + k] for k in held if texts[k] != shuffled[k])
+
+
+def test_filter_grows_with_what_it_holds():
+    sizes = []
+    for n in (20_000, 200_000):
+        ids = np.random.default_rng(n).integers(0, 1 << 48, 2 * n, dtype=np.uint64)
+        count = np.random.default_rng(1).integers(1, 50, n)
+        shard = language_model.LogBloom.of(ids[:n], count)
+        assert (shard.read(ids[:n]) >= np.maximum(1, count / 1.5)).all() and np.mean(shard.read(ids[n:]) > 0) < 0.03
+        sizes.append(len(shard.bits))
+    assert sizes[1] >= 8 * sizes[0]
+
+
 def test_filter_reads_quantised_counts():
     count = np.zeros(language_model.IDS)
     ids = np.arange(0, 5000)
