@@ -9,7 +9,8 @@ small enough to broadcast; with more test data there are more automata, and the
 all of them in one scan.
 
 Defined results: null, empty and wordless documents have no words and are clean; null and wordless items
-have no windows; items with equal texts all count, equal item_ids count once; extra columns pass by
+have no windows; items with equal texts all count, equal item_ids count once; items with a null item_id make
+hits and coverage like others, but n_items and items_sha256 leave them out; extra columns pass by
 ``decontaminate`` untouched.
 """
 
@@ -38,12 +39,12 @@ def normalise(raw: bytes) -> list[bytes]:
 class ItemAutomaton:
     """A suffix automaton over the word sequences of several items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.window = window
         self.words: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         sequences: list[list[int]] = []
         for name, raw in items:
             w = [self.words.setdefault(x, len(self.words)) for x in normalise(raw)]
@@ -120,7 +121,7 @@ class ItemAutomaton:
         return (0, 0) if to is None else (to, size + 1)
 
     def match(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Maximal runs [from, to) of hit words, and the names of items with occurring windows.
+        """Maximal runs [from, to) of hit words, and the names of items with occurring windows, if they have one.
 
         Runs of known words too short for any window are passed over without a step."""
         if not self.least or len(w) < self.least:
@@ -145,14 +146,14 @@ class ItemAutomaton:
                                 start = min(start, runs.pop()[0])
                             runs.append((start, at + 1))
                     s = self.link[s]
-        return runs, {self.names[k] for k in items}
+        return runs, {self.names[k] for k in items} - {None}
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, shard_words: int = 500_000) -> list:
     """The items, packed into broadcast automata of at most ``shard_words`` words (or one item)."""
     spark = benchmark.sparkSession
     out, pack, size = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         raw = row["text"].encode()
         n = len(normalise(raw))

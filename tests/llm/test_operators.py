@@ -271,6 +271,17 @@ def test_decontamination(spark):
     assert kept[2] == long + " . tail" and kept[1] == long and kept[10] is None
 
 
+def test_items_without_id_make_hits(spark):
+    rng = random.Random(13)
+    items = [(None, " ".join(words_of(rng, 20))), (4, " ".join(words_of(rng, 20)))]
+    docs = documents(spark, [(0, "a " + items[0][1]), (1, items[0][1] + " b " + items[1][1]), (2, "c d")])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.scan(docs, bench).collect()}
+    of = lambda names: hashlib.sha256(names).hexdigest()
+    assert got == {0: (21, 20, 0, of(b""), True), 1: (41, 40, 1, of(b"4"), True), 2: (2, 0, 0, of(b""), False)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [2]
+
+
 def test_language_model(spark, corpus):
     learn = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
     docs = spark.createDataFrame([(i, t, learn(i)) for i, t in corpus], "doc_id long, text string, learn boolean")
