@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by bucket-pointer refinement.
+"""Removal of repeated byte strings by minimisers (winnowing), refined in three levels.
 
 Every string of ``length`` bytes that starts at two places is found, exactly, over all documents.  Instead of
 sorting all suffixes at once, buckets are refined where they are still undecided:
@@ -6,7 +6,7 @@ sorting all suffixes at once, buckets are refined where they are still undecided
 1. Initial buckets are q-grams.  A string's bucket pointer is the smallest hashed q-gram inside it (leftmost
    among equals): equal strings have equal pointers at equal offsets, so consecutive strings with one pointer
    form one record.  Records are sorted by (q-gram, whole text that the record spans).
-2. Undecided records are refined by the bucket identifiers of later offsets: blocks of ``BLOCK`` strings at
+2. Undecided records are refined to blocks of ``BLOCK`` strings at
    aligned offsets from the pointer, sorted by (text common to the block, whole text of the block).
 3. What is left is refined to single strings.
 
