@@ -1,28 +1,30 @@
 """Embedding near-duplicates by randomised-rotation binary codes.
 
-Unit vectors are rotated by one random orthogonal matrix and reduced to the signs of their components: a code
-whose direction is known, plus one stored correction factor, the cosine f between the vector and its code.
-For a vector o with code c and any unit vector q, <c, q> / f is an unbiased estimate of <o, q>, and
+Unit vectors are rotated by one random orthogonal matrix.  A stored vector o is reduced to the signs of its components,
+packed, and one correction factor f, the cosine between o and its code c.  A query q is reduced to ``PLANES`` bit
+planes of its rotated components, so <c, q> comes from population counts of packed words:
 
-    <o, q> <= f <c, q> + sqrt(1 - f^2) sqrt(1 - <c, q>^2)
+    <c, q'> = (2 (low |c| + step sum_k 2^k popcount(c & plane_k)) - sum q') / sqrt(D),   |<c, q> - <c, q'>| <= |q - q'|.
 
-bounds it with certainty: the angle between o and q is at least that between c and q less that between o and c.
-Pairs whose bound falls below the threshold are settled from the code alone; the others are computed exactly, in
-double precision.  For a high threshold the certain bound is tighter than a statistical one, so no link is lost.
+<c, q> / f is an unbiased estimate of <o, q>.  Its confidence interval follows from geometry and holds with certainty:
+the angle between o and q differs from that between c and q by at most the angle between o and c.  Pairs whose upper
+bound stays below the threshold are settled by their codes; the others are computed again exactly, in double precision.
+For a high threshold this interval is as tight as a statistical one, and no link is lost.
 
-Every vector meets every other one, as the task is defined: distinct vectors are dealt into blocks by hash,
-and each pair of blocks is one task.  Blocks hold about ``block`` vectors whatever the table's size, so a task's
-memory is bounded; work grows with the square of the distinct vectors.  Equal vectors are one class.  A task
-returns a count of links and the edges of a spanning forest for its rows, never pairs.
+Every pair is decided, as the task is defined.  A tile is a resident block of about ``BLOCK_BYTES`` of vectors, met by
+the vectors of one of a few parts, which stream past in Arrow batches; only tiles on or above the diagonal exist.
+So a task's memory is bounded, a vector travels (blocks / 2 + parts) times as its own floats, and work grows with
+the square of the distinct vectors.  Equal vectors are one class.  A task returns counts of links and the edges
+of spanning forests, never pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
-of different lengths never link; rows with equal vec_id each count as vectors of their own; a null vec_id has a
-null component.
+of different lengths never link; rows with equal vec_id, or none, each count as vectors of their own; ids of
+components are the smallest vec_ids that are not null, and null where a component has none; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import components, map_batches, prepare, stage, table, unstage
 
-BLOCK = 4096
+#: Bits of a rotated query component, and vectors' bytes (as doubles) in a resident block.
+PLANES, BLOCK_BYTES = 3, 16 << 20
+#: Pairs that a task may decide before the streamed side is dealt into more parts.
+TASK_PAIRS = 1 << 33
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -40,40 +45,79 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of packed 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    out = np.zeros((len(bits), -(-packed.shape[1] // 8) * 8), np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
 class Codes:
     """Sign codes of unit vectors with their correction factors."""
 
     def __init__(self, unit: np.ndarray):
         turned = unit @ rotation(unit.shape[1]).T
-        self.bits = np.packbits(turned >= 0, axis=1)
-        self.turned, self.dim = turned, unit.shape[1]
+        self.dim = unit.shape[1]
+        self.words = _words(turned >= 0)
+        self.ones = (turned >= 0).sum(1)
         self.factor = np.abs(turned).sum(1) / np.sqrt(self.dim)  # cosine between vector and code
 
-    def directions(self) -> np.ndarray:
-        signs = np.unpackbits(self.bits, axis=1, count=self.dim).astype(np.float32)
-        return (2 * signs - 1) / np.float32(np.sqrt(self.dim))
+    def least(self, threshold: float) -> np.ndarray:
+        """The smallest <c, q> at which <o, q> can reach ``threshold``."""
+        return np.cos(np.minimum(np.pi, np.arccos(np.clip(self.factor, -1, 1)) + np.arccos(np.clip(threshold, -1, 1)))) - 1e-6
 
-    def estimates(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unbiased estimates of the inner products with rotated unit queries, and their certain upper bounds."""
-        c = self.directions() @ queries.T
-        f = self.factor[:, None]
-        return c / f, f * c + np.sqrt(np.maximum(0, 1 - f * f)) * np.sqrt(np.maximum(0, 1 - c * c))
 
+class Planes:
+    """Unit queries as bit planes of their rotated components."""
 
-def links(a: np.ndarray, b: np.ndarray, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) with cosine of at least ``threshold`` between unit rows of ``a`` and ``b``."""
-    codes, out = Codes(a), []
-    turned = (b @ rotation(b.shape[1]).T).astype(np.float32)
-    # f c + sqrt(1 - f^2) sqrt(1 - c^2) >= t holds for no c below cos(angle(f) + angle(t))
-    least = np.cos(np.minimum(np.pi, np.arccos(np.clip(codes.factor, -1, 1)) + np.arccos(threshold))) - 1e-5
-    directions = codes.directions()
+    def __init__(self, unit: np.ndarray):
+        turned = unit @ rotation(unit.shape[1]).T
+        top = (1 << PLANES) - 1
+        self.low = turned.min(1)
+        self.step = np.maximum((turned.max(1) - self.low) / top, 1e-300)
+        grid = np.clip(np.rint((turned - self.low[:, None]) / self.step[:, None]), 0, top).astype(np.uint8)
+        near = self.low[:, None] + self.step[:, None] * grid
+        self.sum, self.off = near.sum(1), np.sqrt(((turned - near) ** 2).sum(1)) + 1e-9
+        self.words = [_words((grid >> k) & 1 == 1) for k in range(PLANES)]
+
+    def counts(self, codes: Codes, rows: slice) -> np.ndarray:
+        """Sum of the grid values of each query over the ones of each code."""
+        out = np.zeros((len(codes.words[rows]), len(self.low)), np.uint16 if codes.dim << PLANES < 1 << 16 else np.uint32)
+        for k, plane in enumerate(self.words):
+            for w in range(plane.shape[1]):
+                out += np.bitwise_count(codes.words[rows, w][:, None] & plane[None, :, w]).astype(out.dtype) << k
+        return out
+
+
+def estimates(codes: Codes, planes: Planes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unbiased estimates of all inner products, and their certain lower and upper bounds."""
+    n = planes.counts(codes, slice(None))
+    c = (2 * (planes.low * codes.ones[:, None] + planes.step * n) - planes.sum) / np.sqrt(codes.dim)
+    own = np.arccos(np.clip(codes.factor, -1, 1))[:, None]
+    least, most = (np.arccos(np.clip(c + d * planes.off, -1, 1)) for d in (1, -1))
+    return c / codes.factor[:, None], np.cos(np.minimum(np.pi, most + own)), np.cos(np.maximum(0, least - own))
+
+
+def links(codes: Codes, a: np.ndarray, b: np.ndarray, threshold: float, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions (i, j) with cosine of at least ``threshold`` between unit rows of ``a`` (coded) and ``b``, and the
+    number of pairs whose bound made an exact computation necessary."""
+    planes, found, tried = Planes(b), [], 0
+    # the bound as a smallest count: (2 (low ones + step n) - sum) / sqrt(D) + off >= least
+    least = codes.least(threshold)
+    step = max(1, cells // max(1, len(b)))
+    scale, shift = 1 / (2 * planes.step), planes.sum - planes.off * np.sqrt(codes.dim)
     for at in range(0, len(a), step):
-        i, j = np.nonzero(directions[at : at + step] @ turned.T >= least[at : at + step, None].astype(np.float32))
-        for k in range(0, len(i), 1 << 18):
-            x, y = i[k : k + (1 << 18)] + at, j[k : k + (1 << 18)]
+        rows = slice(at, at + step)
+        need = (least[rows, None] * np.sqrt(codes.dim) + shift) * scale - (planes.low / planes.step) * codes.ones[rows, None]
+        i, j = np.nonzero(planes.counts(codes, rows) >= need)
+        tried += len(i)
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
             hit = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
-            out.append((x[hit], y[hit]))
-    return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (np.zeros(0, int), np.zeros(0, int))
+            found.append((x[hit], y[hit]))
+    none = np.zeros(0, int)
+    return (np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(y for _, y in found)]), tried)
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -91,84 +135,111 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _tiles(threshold: float):
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Packed vectors of one length as unit rows of doubles."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _tiles(threshold: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (tile, own: -1 for residents, else whether a streamed vector is of the resident block, node, size, raw), by
+    tile, residents first -> (node, least, n): counts of links and forest edges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            side = np.asarray([r[1] for r in held])
-            ids, size = np.asarray([r[2] for r in held]), np.asarray([r[3] for r in held])
-            vectors = np.stack([np.frombuffer(r[4], np.float64) for r in held])
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            if len(left) and len(right):
-                i, j = links(vectors[left], vectors[right], threshold)
-                i, j = left[i], right[j]
-                off = i != j
-                i, j = i[off], j[off]
-                n = np.bincount(i, weights=size[j], minlength=len(ids))
-                if side[left[0]] != 2:  # two blocks: each pair shows once
-                    n += np.bincount(j, weights=size[i], minlength=len(ids))
-                order = np.argsort(ids, kind="stable")
-                place = np.empty(len(ids), int)
-                place[order] = np.arange(len(ids))
-                label = _forest(len(ids), place[i], place[j])
-                hit = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[order[label[place[hit]]]]), pa.array(n[hit].astype(np.int64))], names=["rep", "least", "n"])
-            held.clear()
+        tile = codes = None
+        rest: list[tuple] = []
+        resident = np.zeros((0, 0))
+        nodes = sizes = np.zeros(0, np.int64)
+
+        def rows(node, least, n):
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(least), pa.array(n.astype(np.int64))], names=["node", "least", "n"])
+
+        def met(own: np.ndarray, node: np.ndarray, size: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+            i, j, _ = links(codes, resident, vectors, threshold)
+            off = nodes[i] != node[j]
+            i, j = i[off], j[off]
+            if not len(i):
+                return
+            every, place = np.unique(np.concatenate([nodes, node]), return_inverse=True)
+            left, right = place[: len(nodes)][i], place[len(nodes) :][j]
+            n = np.bincount(left, weights=size[j], minlength=len(every))
+            other = own[j] == 0  # within a block each of a pair is streamed to the other; else it meets once
+            n += np.bincount(right[other], weights=sizes[i[other]], minlength=len(every))
+            label = _forest(len(every), left, right)
+            hit = np.unique(np.concatenate([left, right]))
+            yield rows(every[hit], every[label[hit]], n[hit])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "rep", "size", "unit")), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from done()
-                held.append(row)
-        if held:
-            yield from done()
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "own", "node", "size")]
+            raw = batch.column("raw").to_pylist()
+            edge = np.flatnonzero(np.diff(columns[0])) + 1
+            for x, y in zip([0, *edge.tolist()], [*edge.tolist(), len(raw)], strict=True):
+                if columns[0][x] != tile:
+                    tile, codes, rest = columns[0][x], None, []
+                own = columns[1][x:y]
+                cut = x + int(np.searchsorted(own, 0))  # residents first
+                if cut > x:
+                    rest.append((columns[2][x:cut], columns[3][x:cut], raw[x:cut]))
+                if cut < y and rest:
+                    if codes is None:
+                        nodes, sizes = (np.concatenate([r[k] for r in rest]) for k in (0, 1))
+                        resident = _unit([v for r in rest for v in r[2]], kind)
+                        codes = Codes(resident)
+                    yield from met(columns[1][cut:y], columns[2][cut:y], columns[3][cut:y], _unit(raw[cut:y], kind))
 
     return run
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    """Classes of equal vectors (rep, size, embedding) -> rep, size, dim and the unit vector, packed as doubles."""
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
+    """Classes of equal vectors (node, size, embedding) -> node, size, dim and the vector, packed as it is."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            reps, sizes, dims, units = [], [], [], []
-            for rep, size, x in zip(batch.column("rep").to_pylist(), batch.column("size").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                v = np.asarray(x, np.float64)
-                top = np.abs(v).max()
-                v = v / top
-                reps.append(rep)
-                sizes.append(size)
-                dims.append(len(v))
-                units.append((v / np.sqrt(v @ v)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["rep", "size", "dim", "unit"])
+            raw = [np.asarray(x, kind).tobytes() for x in batch.column("embedding").to_pylist()]
+            dims = [len(x) // np.dtype(kind).itemsize for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["node", "size", "dim", "raw"])
 
         return each
 
-    return map_batches(rows.select("rep", "size", "embedding"), make, "rep bigint, size bigint, dim int, unit binary")
+    return map_batches(rows.select("node", "size", "embedding"), make, "node bigint, size bigint, dim int, raw binary")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
-    """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int | None = None) -> DataFrame:
+    """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.  ``block``: vectors in a resident
+    block, by default what ``BLOCK_BYTES`` hold."""
+    spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>").alias("embedding"))
     good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    usable = F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull()
+    usable = F.coalesce(good, F.lit(False))
     rows = rows.select("vec_id", F.when(usable, F.xxhash64("embedding")).alias("key"), F.when(usable, F.col("embedding")).alias("embedding"))
     # two keys of equal vectors differ only for -0.0, which is another exact pair to find
-    classes = stage(rows.where("key is not null").groupBy("key", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "vector-classes")
-    units = stage(_units(classes), "units")
-    blocks = max(1, -(-units.count() // block))
-    own = units.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)))
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda c: F.struct(F.least(c, "block").alias("x"), F.greatest(c, "block").alias("y"), F.when(c == F.col("block"), 2).when(c < F.col("block"), 1).otherwise(0).alias("side")))
-    tiles = own.withColumn("to", F.explode(meets)).select(F.xxhash64("to.x", "to.y", "dim").alias("tile"), "to.side", "rep", "size", "unit")
-    found = stage(tiles.repartition(max(partitions, blocks * (blocks + 1) // 2), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "rep bigint, least bigint, n bigint"), "vector-links")
-    near = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")), "vectors").select(F.col("node").alias("rep"), F.col("component").alias("near"))
-    linked = stage(classes.select("key", "embedding", "rep", "size").join(found.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").join(near, "rep", "left").select("key", F.col("embedding").alias("own"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("near", "rep").alias("least")), "vector-classes-linked")
-    unstage(units, found)
-    rows = rows.withColumn("own", F.col("embedding")).drop("embedding")
-    out = rows.join(linked, ["key", "own"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("least", "vec_id"), F.lit(True)).alias("kept"))
+    grouped = rows.where("key is not null").groupBy("key", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+    classes = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    units = stage(_packed(classes, kind), "vectors")
+    about = units.agg(F.count("*"), F.max("dim")).first()
+    block = block or max(256, BLOCK_BYTES // (8 * max(1, about[1] or 1)))
+    blocks = max(1, -(-about[0] // block))
+    parts = max(-(-about[0] * block // TASK_PAIRS), -(-2 * partitions // blocks))
+    own = units.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("long")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(parts)).cast("long"))
+    span = lambda a, b: F.sequence(F.lit(a).cast("long"), b if not isinstance(b, int) else F.lit(b).cast("long"))
+    settled = F.transform(span(0, parts - 1), lambda p: F.struct(F.col("block").alias("x"), p.alias("y"), F.lit(-1).alias("own")))
+    streamed = F.transform(span(0, F.col("block")), lambda x: F.struct(x.alias("x"), F.col("part").alias("y"), (x == F.col("block")).cast("int").alias("own")))
+    tiles = own.withColumn("to", F.explode(F.concat(settled, streamed))).select(((F.col("dim") * F.lit(blocks) + F.col("to.x")) * F.lit(parts) + F.col("to.y")).alias("tile"), "to.own", "node", "size", "raw")
+    met = tiles.repartition(max(partitions, blocks * parts), "tile").sortWithinPartitions("tile", "own").mapInArrow(_tiles(threshold, kind), "node bigint, least bigint, n bigint")
+    found = stage(met, "vector-links")
+    near = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")), "vectors")
+    named = classes.select("node", "rep").join(near, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    every = named.join(least, "component").join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left")
+    linked = classes.select("node", "key", F.col("embedding").alias("own"), "size").join(every.select("node", "least", "n"), "node")
+    linked = stage(linked.select("key", "own", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "least"), "vector-classes-linked")
+    unstage(units, found, classes)
+    out = rows.withColumn("own", F.col("embedding")).drop("embedding").join(linked, ["key", "own"], "left")
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("least"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
