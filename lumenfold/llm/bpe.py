@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ class WordBPE:
     """
 
     END = 0x1000
+    #: Fragments of more symbols than this are merged with a heap.
+    LONG = 48
     #: Words of Latin-1 letters with plain marks behind them: normalisation changes their case alone.
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:|#%&*$()\\-]*)")
 
@@ -79,7 +82,12 @@ class WordBPE:
 
     def _merge(self, fragment: str) -> bytes:
         """Merge by rank, lowest first and leftmost among equals, until nothing more can merge."""
-        parts, rank, never = [c if ord(c) < self.END else chr(ord(c) - self.END) + self.suffix for c in fragment], self.ranks.get, 1 << 30
+        parts = [c if ord(c) < self.END else chr(ord(c) - self.END) + self.suffix for c in fragment]
+        parts = self._merge_long(parts) if len(parts) > self.LONG else self._merge_short(parts)
+        return np.asarray([self.vocab[p] for p in parts if p in self.vocab], np.uint32).tobytes()
+
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        rank, never = self.ranks.get, 1 << 30
         ranks = [rank(p, never) for p in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) < never:
             k = ranks.index(best)
@@ -89,7 +97,27 @@ class WordBPE:
                 ranks[k - 1] = rank((parts[k - 1], parts[k]), never)
             if k < len(ranks):
                 ranks[k] = rank((parts[k], parts[k + 1]), never)
-        return np.asarray([self.vocab[p] for p in parts if p in self.vocab], np.uint32).tobytes()
+        return parts
+
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The same over a linked list with a heap of pairs: n log n for a fragment of n symbols."""
+        rank, n = self.ranks.get, len(parts)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := rank((parts[k], parts[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            j = after[k]
+            if not parts[k] or j < 0 or rank((parts[k], parts[j])) != r:
+                continue  # one of the pair has merged since
+            parts[k], parts[j] = parts[k] + parts[j], ""
+            after[k] = after[j]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y >= 0 and (new := rank((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (new, x))
+        return [p for p in parts if p]
 
     def _piece(self, raw: bytes) -> bytes:
         """Ids of a text without ASCII white space."""

@@ -4,9 +4,9 @@ Training words stream through an automaton built over all items; it keeps the le
 substring that ends at each word.  A word is hit when it lies inside an occurrence of a window: ``WINDOW``
 consecutive words of an item, or a whole item that has fewer.
 
-Only test items are held in memory.  They are packed into automata of at most ``shard_words`` words, each
-small enough to broadcast; with more test data there are more automata, and the documents pass through
-all of them in one scan.
+Only test items are held in memory.  They are packed into automata of at most ``shard_words`` words (or one item),
+each built and broadcast on its own.  With more test data there are more automata; a task then holds one of them
+at a time, for a batch of documents, so its memory does not follow the size of the benchmark.
 
 Defined results: null, empty and wordless documents have no words and are clean; null and wordless items
 have no windows; items with equal texts all count, equal item_ids count once; items with a null item_id make
@@ -93,24 +93,29 @@ class ItemAutomaton:
         return new
 
     def _mark(self, sequences: list[list[int]]) -> None:
-        """For the states that hold windows: the window's length and the items that it occurs in."""
+        """For the states that hold windows: the window's length and the items that it occurs in; for each state,
+        the nearest one on its chain of suffixes, itself included, that holds any."""
         self.found: list[dict[int, set[int]]] = [{} for _ in self.link]
+        by_length = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        top = list(range(len(self.link)))  # the state whose strings include the last ``window`` words
+        for s in by_length:
+            if self.length[self.link[s]] >= self.window:
+                top[s] = top[self.link[s]]
         for item, w in enumerate(sequences):
-            state, short = 0, len(w) < self.window
-            size = 0
+            state = size = 0
+            short = len(w) if len(w) < self.window else 0
             for c in w:
                 state, size = self.step(state, size, c)
-                if short or size < self.window:
-                    continue
-                s = state
-                while self.length[self.link[s]] >= self.window:
-                    s = self.link[s]
-                self.found[s].setdefault(self.window, set()).add(item)
+                if not short and size >= self.window:
+                    self.found[top[state]].setdefault(self.window, set()).add(item)
             if short:
-                s = state
-                while self.length[self.link[s]] >= len(w):
+                s = top[state]
+                while self.length[self.link[s]] >= short:
                     s = self.link[s]
-                self.found[s].setdefault(len(w), set()).add(item)
+                self.found[s].setdefault(short, set()).add(item)
+        self.marked = [0] * len(self.link)
+        for s in by_length:
+            self.marked[s] = s if self.found[s] else self.marked[self.link[s]]
 
     def step(self, state: int, size: int, c: int) -> tuple[int, int]:
         """One more word: the state and length of the longest item substring that ends with it."""
@@ -130,22 +135,25 @@ class ItemAutomaton:
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).view(np.int8), [0]])))
         runs: list[tuple[int, int]] = []
         items: set[int] = set()
+        met: set[tuple[int, int]] = set()  # states and lengths whose items are in
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a < self.least:
                 continue
             state = size = 0
             for at in range(a, b):
                 state, size = self.step(state, size, int(ids[at]))
-                s = state
-                while s:
+                s = self.marked[state]
+                while s:  # at most ``window`` states: one for each length of window
                     for n, of in self.found[s].items():
                         if n <= size:
-                            items |= of
+                            if (s, n) not in met:
+                                met.add((s, n))
+                                items |= of
                             start = at + 1 - n
                             while runs and runs[-1][1] >= start:
                                 start = min(start, runs.pop()[0])
                             runs.append((start, at + 1))
-                    s = self.link[s]
+                    s = self.marked[self.link[s]]
         return runs, {self.names[k] for k in items} - {None}
 
 
@@ -191,28 +199,34 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False, keys: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False, keys: list[str] | None = None, shard_words: int = 500_000) -> DataFrame:
     """Per row of ``docs``: its ``keys``, n_words, n_hit, n_items, items_sha256, contaminated, and with
     ``cut`` the text without its hit spans (null if nothing was hit)."""
     keys = keys or ["doc_id"]
-    shared = automata(benchmark, window)
+    shared = automata(benchmark, window, shard_words)
 
     def make():
-        own = [b.value for b in shared]
-
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            raws = binary(batch.column("text"))
+            runs: list[list[tuple[int, int]]] = [[] for _ in raws]
+            names: list[set[str]] = [set() for _ in raws]
+            sizes = [0] * len(raws)
+            for one in shared:
+                for k, raw in enumerate(raws):
+                    w = normalise(raw)
+                    sizes[k] = len(w)
+                    r, of = one.value.match(w)
+                    runs[k] += r
+                    names[k] |= of
+                if len(shared) > 1:
+                    one.__dict__.pop("_value", None)  # loaded again from the executor's disk for the next batch
+            if not shared:
+                sizes = [len(normalise(raw)) for raw in raws]
             rows, texts = [], []
-            for raw in binary(batch.column("text")):
-                w = normalise(raw)
-                runs, items = [], set()
-                for automaton in own:
-                    r, names = automaton.match(w)
-                    runs += r
-                    items |= names
-                runs = joined(runs)
-                hit = sum(b - a for a, b in runs)
-                rows.append((len(w), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and 20 * hit >= len(w)))
-                texts.append(without(raw, runs).decode() if cut and runs else None)
+            for raw, n, r, of in zip(raws, sizes, map(joined, runs), names, strict=True):
+                hit = sum(b - a for a, b in r)
+                rows.append((n, hit, len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
+                texts.append(without(raw, r).decode() if cut and r else None)
             columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns, *([pa.array(texts, pa.string())] if cut else [])], names=[*keys, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["cut_text"] if cut else [])])
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -136,6 +137,21 @@ def test_bpe(spark, corpus):
     assert got == sorted(want)
 
 
+def test_long_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(bpe.vocabulary()), random.Random(3)
+    monkeypatch.setattr(bpe.WordBPE, "LONG", 3)
+    coder = bpe.WordBPE(bpe.vocabulary())
+    for letters in ("ab", "aeinrst", "a", "thequickbrown", "é漢aß1"):
+        for n in (2, 5, 40, 700):
+            text = "".join(rng.choices(letters, k=n))
+            assert np.frombuffer(coder.encode(text.encode()), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    coder.encode(("".join(rng.choices("aeinrst", k=400_000)) + "a" * 400_000).encode())
+    assert time.process_time() - began < 60
+
+
 def test_forced_boundaries_cut_where_no_token_spans():
     coder = bpe.WordBPE(bpe.vocabulary())
     word = coder._symbols("thequickbrownfox</w>")
@@ -268,6 +284,16 @@ def test_automaton():
         assert (sum(b - a for a, b in decontaminate.joined(runs)), names) == brute_hits(items, w, window)
 
 
+def test_automaton_of_repeats_takes_linear_time():
+    took = []
+    for n in (4000, 16_000):
+        began = time.process_time()
+        automaton = decontaminate.ItemAutomaton([("a", b"x " * n), ("b", b"x " * (n - 5)), ("c", b"y z")])
+        assert automaton.match([b"x"] * n) == ([(0, n)], {"a", "b"})
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(k, " ".join(words_of(rng, n))) for k, n in enumerate([5, 13, 20, 40, 13])] + [(7, None), (8, "--")]
@@ -281,7 +307,8 @@ def test_decontamination(spark):
         w = decontaminate.normalise((t or "").encode())
         hit, names = brute_hits(raw, w, 13)
         want[i] = (len(w), hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), hit > 0 and 20 * hit >= len(w))
-    assert {r["doc_id"]: tuple(r)[1:] for r in decontaminate.scan(docs, bench).collect()} == want
+    for shard in (500_000, 20):  # one automaton, and several that a task holds in turn
+        assert {r["doc_id"]: tuple(r)[1:] for r in decontaminate.scan(docs, bench, shard_words=shard).collect()} == want
     kept = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench).collect()}
     assert set(kept) == {i for i in want if not want[i][4]}
     assert kept[2] == long + " . tail" and kept[1] == long and kept[10] is None
