@@ -5,7 +5,7 @@ doc_id order; ``read_tokens`` reads them back stripe by stripe and prunes stripe
 metadata when ids are asked for.
 
 Defined results: a null text is empty and holds the end id alone; equal doc_ids stand in the order of
-their texts; an empty table gives no rows; other columns of the input are not read.
+their texts, in the files and by ``start``; a null doc_id comes first; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import Bounded, list_column, map_batches, parts_for, prepare, stage_path, table
 
 END_ID = 2
-_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
+_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, row bigint"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -110,21 +110,25 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
     """Encode ``docs`` (doc_id, text) and write ORC files whose rows ascend by doc_id over the files' order.
 
     The range partitioning comes before the encoding, so that sampling its bounds reads texts but encodes
-    none.  Column ``part`` (the file's place) lets readers add up offsets from metadata-sized columns.
+    none.  Columns ``part`` (the file's place) and ``row`` (the document's place in it) let readers add up offsets from metadata-sized columns.
     """
     vocab = vocab or vocabulary()
 
     def make():
         encode, kind = _encoder(vocab, cache)
         end = np.asarray([end_id], kind).tobytes()
+        row = 0
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal row
             texts = batch.column("text").to_pylist()
             packed = [ids + end for ids in encode([t or "" for t in texts])]
             sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // kind().itemsize
             flat = np.frombuffer(b"".join(packed), kind).astype(np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), list_column(flat, offsets, pa.int32())], names=["doc_id", "n_tokens", "ids"])
+            place = np.arange(row, row + len(packed))
+            row += len(packed)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), list_column(flat, offsets, pa.int32()), pa.array(place)], names=["doc_id", "n_tokens", "ids", "row"])
 
         return each
 
@@ -135,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, part).  With ``doc_ids``, ORC's indexes and Bloom filters skip the rest."""
+    """Rows (doc_id, n_tokens, ids, row, part).  With ``doc_ids``, ORC's indexes and Bloom filters skip the rest."""
     out = spark.read.schema(f"{_SCHEMA}, part int").orc(path)
     return out if doc_ids is None else out.where(F.col("doc_id").isin([int(x) for x in doc_ids]))
 
@@ -152,14 +156,14 @@ def layout(tokens: DataFrame) -> DataFrame:
             ids = batch.column("ids")
             offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(crc, pa.int64()), batch.column("row")], names=["part", "doc_id", "n_tokens", "ids_crc32", "row"])
 
         return each
 
-    rows = map_batches(tokens.select("part", "doc_id", "n_tokens", "ids"), make, "part int, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = map_batches(tokens.select("part", "doc_id", "n_tokens", "ids", "row"), make, "part int, doc_id bigint, n_tokens bigint, ids_crc32 bigint, row bigint")
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    own = Window.partitionBy("part").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("own", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(before, "part").select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -112,12 +112,15 @@ def test_token_ids(spark, corpus, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(token_ids.vocabulary())
+    rows = [*corpus, (7, "one id of several texts"), (7, "another and longer text of the same id"), (7, "one id"), (7, None)]
     path = str(tmp_path / "ids")
-    token_ids.write_tokens(documents(spark, corpus), path)
+    token_ids.write_tokens(documents(spark, rows), path)
     back = token_ids.read_tokens(spark, path)
-    want = sorted((i, library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in corpus)
-    assert sorted((r["doc_id"], list(r["ids"])) for r in back.collect()) == want
-    assert [r["ids"] for r in token_ids.read_tokens(spark, path, [4]).collect()] == [ids for i, ids in want if i == 4]
+    rows = sorted(rows, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode()))
+    want = [(i, library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows]
+    stored = sorted(back.collect(), key=lambda r: (r["part"], r["row"]))
+    assert [(r["doc_id"], list(r["ids"])) for r in stored] == want
+    assert [list(r["ids"]) for r in token_ids.read_tokens(spark, path, [4]).collect()] == [ids for i, ids in want if i == 4]
     at, starts = 0, []
     for i, ids in want:
         starts.append((i, at, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
@@ -182,6 +185,28 @@ def test_toxicity_held_out_accuracy():
     assert 0 <= model.score([], cache) < 0.5
 
 
+def test_toxicity_reads_every_window():
+    rng = random.Random(11)
+    texts, labels = [], []
+    for k in range(300):
+        w = [f"w{rng.randrange(400)}" .replace("1", "a").replace("2", "o") for _ in range(3000 if k % 30 == 0 else 40)]
+        if k % 2 == 0:
+            w[-20:-18] = ["blockhead"] * 2 if k % 30 else ["numbskull", "numbskull", "x"][:2]
+        texts.append(" ".join(w).encode())
+        labels.append(1 - k % 2)
+    model = toxicity.Toxicity.fit(texts, labels)
+    mean = lambda w: np.mean(model.margins[toxicity.grams(w)])
+    assert mean(b"numbskull") > 0 and mean(b"blockhead") > 0
+
+
+def test_toxicity_of_few_labels_follows_the_same_rule():
+    texts = [b"you rotten scoundrel", b"a quiet day by the river", b"rotten scoundrel go away", b"the river is quiet", b"bread and butter", b"scoundrel so rotten", b"a day with bread"] * 2
+    model = toxicity.Toxicity.fit(texts, [1, 0, 1, 0, 0, 1, 0] * 2)
+    cache = model.cache()
+    bad, good = (model.score(toxicity.words(t), cache) for t in (b"such a rotten scoundrel", b"a day by the river"))
+    assert bad > good
+
+
 def test_toxicity_query_without_labels(spark, corpus):
     docs = documents(spark, corpus)
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
