@@ -1,17 +1,19 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, one of target texts and one of raw texts, give every document
-a log importance weight: the log ratio of its probabilities under them.  Documents are then sampled
-without replacement by Gumbel top-k: the k largest values of weight plus Gumbel noise.
+a log importance weight: the log ratio of its probabilities under them.  Documents are then sampled without
+replacement in proportion to their weights, by Gumbel top-k: the k largest values of log weight plus
+``temperature`` times Gumbel noise (1: exact importance resampling).
 
 n-grams are words, pairs of words and pairs of word shapes; a word repeated at once counts as a mark of its
 own, whatever the word is.  Raw counts cover all documents.  The target model is fitted on at most
-``per_class`` labelled documents of good quality (a documented bound, drawn by a hash of doc_id), and as many
-of each class place the cut that sets k: the number of documents whose mean log ratio exceeds it.
+``per_class`` labelled documents of good quality (a documented bound, drawn by a hash of doc_id).  k is a number, a
+share of the rows, or by default the expected number of good documents: the sum over all rows of the probability of
+good quality at their log weight, by a logistic curve through as many labelled documents of each class.
 
-Defined results: null, empty and wordless texts have a log ratio of 0 and count as clean; without
-labels of both kinds the cut is minus infinity and all documents stay; noise is drawn from doc_id alone, so
-equal rows share their fate and results do not depend on partitioning.
+Defined results: null, empty and wordless texts have a log weight of 0; without labels of both kinds all rows
+stay; noise is drawn from doc_id alone, so equal rows share their fate, rows without doc_id share their noise, and
+results do not depend on partitioning; rows that tie with the k-th are selected as well.
 """
 
 from __future__ import annotations
@@ -22,16 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import Bounded, binary, carried, map_batches, mix64, prepare, restored, schema_of, stage, table
 
 BUCKETS = 1 << 14
-#: Sharpness of the weights against Gumbel noise of scale 1; ``SPREAD`` mean log ratios make one step of noise.
-SPREAD = 0.002
-#: n-grams of ratio 0 that every text is given on top, so that a few odd words do not condemn a short one.
-PRIOR = 10
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 _REPEAT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,37 +79,53 @@ def counts(texts: DataFrame) -> np.ndarray:
 
 
 class Importance:
-    """The log ratio of the two models in each bucket, and the cut between good and bad documents."""
+    """The log ratio of the two models in each bucket, and the probability of good quality at a log weight."""
 
     def __init__(self, target: np.ndarray, raw: np.ndarray, smooth: float = 1.0):
         p = (target + smooth) / (target.sum() + smooth * BUCKETS)
         q = (raw + smooth) / (raw.sum() + smooth * BUCKETS)
-        self.ratio, self.cut = np.log(p) - np.log(q), -np.inf
+        self.ratio, self.curve = np.log(p) - np.log(q), None
 
     def score(self, raw: bytes, cache: dict) -> tuple[float, int]:
         """A text's total log ratio and number of n-grams."""
         f = features(raw, cache)
         return float(self.ratio[f].sum()), len(f)
 
+    def good(self, weight: Column) -> Column:
+        """Probability of good quality at a log weight; 1 where the labels tell nothing."""
+        if self.curve is None:
+            return F.lit(1.0)
+        return 1 / (1 + F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), -(F.lit(self.curve[0]) * F.asinh(weight) + F.lit(self.curve[1]))))))
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The value that parts two samples with the least mean error of both."""
-    if not len(good) or not len(bad):
-        return -np.inf
-    x = np.concatenate([good, bad])
-    order = np.argsort(x, kind="stable")
-    y = np.concatenate([np.full(len(good), 1 / len(good)), np.full(len(bad), -1 / len(bad))])[order]
-    lost = np.concatenate([[0.0], np.cumsum(y)])  # share of good below the cut minus share of bad below it
-    k = int(np.argmin(lost))
-    x = x[order]
-    return float(x[0] - 1 if k == 0 else x[-1] if k == len(x) else (x[k - 1] + x[k]) / 2)
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and offset of the weighted logistic curve through values x and classes y."""
+    w, weight = np.zeros(2), weight / weight.sum()
+    design = np.stack([x, np.ones(len(x))], 1)
+
+    def loss(w):
+        return (weight * np.logaddexp(0, (1 - 2 * y) * (design @ w))).sum() + ridge / 2 * w[0] ** 2
+
+    for _ in range(60):  # Newton steps, halved until they help
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([ridge, 1e-9])
+        step = np.linalg.solve(hess, design.T @ (weight * (p - y)) + np.asarray([ridge * w[0], 0]))
+        while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
+            step /= 2
+        w = w - step
+    return float(w[0]), float(w[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Importance:
-    """Both models and the cut.  Labels of documents that ``docs`` no longer holds are left out."""
+    """Both models and the curve.  Labels of documents that ``docs`` no longer holds are left out; of rows with equal
+    doc_id the one with the smallest text is taken."""
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    quality = quality.join(docs.select("doc_id"), "doc_id", "left_semi")
+    quality = stage(quality, "quality-labels")
+    sizes = dict(quality.groupBy("quality").count().toPandas().itertuples(index=False, name=None))
     drawn = [quality.where(F.col("quality") == k).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(per_class) for k in (0, 1)]
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("quality", "text", "doc_id").toPandas().sort_values(["doc_id", "text"], na_position="first")
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    found = found.toPandas().sort_values("doc_id")
     cache = Bounded(_piece)
     bags = [(q, features((t or "").encode(), cache)) for q, t in zip(found["quality"], found["text"], strict=True)]
     target = np.zeros(BUCKETS)
@@ -119,13 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Importance
         if q == 1:
             target += np.bincount(f, minlength=BUCKETS)
     model = Importance(target, counts(docs))
-    mean = [np.asarray([model.ratio[f].sum() / (len(f) + PRIOR) for q, f in bags if q == k and len(f)]) for k in (0, 1)]
-    model.cut = best_cut(mean[1], mean[0])
+    y = np.asarray([q for q, _ in bags], float)
+    if len(set(y.tolist())) == 2:
+        weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
+        model.curve = logistic(np.arcsinh([model.ratio[f].sum() for _, f in bags]), y, weight)
     return model
 
 
 def weigh(docs: DataFrame, model: Importance, keys: list[str]) -> DataFrame:
-    """Per row: ``keys``, log_ratio, n_grams, mean_ratio."""
+    """Per row: ``keys``, log_ratio, n_grams."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -134,12 +150,19 @@ def weigh(docs: DataFrame, model: Importance, keys: list[str]) -> DataFrame:
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = [own.score(raw, cache) for raw in binary(batch.column("text"))]
             total, n = pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64())
-            mean = pa.array([r[0] / (r[1] + PRIOR) for r in rows], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), total, n, mean], names=[*keys, "log_ratio", "n_grams", "mean_ratio"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), total, n], names=[*keys, "log_ratio", "n_grams"])
 
         return each
 
-    return map_batches(docs.select(*dict.fromkeys([*keys, "text"])), make, schema_of(docs, keys, "log_ratio double, n_grams bigint, mean_ratio double"))
+    return map_batches(docs.select(*dict.fromkeys([*keys, "text"])), make, schema_of(docs, keys, "log_ratio double, n_grams bigint"))
+
+
+def gumbel_key(weight: Column, key: Column, seed: str | Column = "gumbel", temperature: float = 1.0) -> Column:
+    """Log weight plus Gumbel noise that a hash of ``seed`` and ``key`` draws, in steps of 2^-20."""
+    seed = F.lit(seed) if isinstance(seed, str) else seed
+    u = (F.pmod(F.xxhash64(seed, key.cast("string")), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
+    held = F.greatest(F.lit(-(2.0**24)), F.least(F.lit(2.0**24), weight))
+    return F.round((held - F.lit(temperature) * F.log(-F.log(u))) * F.lit(2.0**20)) / F.lit(2.0**20)
 
 
 def top_k_bound(keys: DataFrame, column: str, k: int) -> float:
@@ -161,19 +184,16 @@ def top_k_bound(keys: DataFrame, column: str, k: int) -> float:
     return (prefix - (1 << 46)) / 2.0**20
 
 
-def resample(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, per_class: int = 3000, keep: float | None = None, temperature: float = 1.0, seed: str = "gumbel") -> DataFrame:
     """All rows of ``docs`` (doc_id, text, all else in __rest) with log_ratio, mean_ratio, gumbel_key and selected.
 
-    k follows from the data: as many documents as lie above the cut.  Keys are fixed-point numbers of
-    2^-20; equal keys at the bound are all selected."""
+    ``keep`` sets k: a number of rows if 1 or more, a share of them below, None for the expected number of good ones."""
     model = fit(docs, labels, per_class)
     rows = weigh(carried(docs, ["doc_id", "text"]), model, ["doc_id", "text", "__rest"])
-    u = (F.pmod(F.xxhash64(F.lit("gumbel"), F.col("doc_id").cast("string")), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
-    weight = F.greatest(F.lit(-(2.0**24)), F.least(F.lit(2.0**24), F.when(F.col("n_grams") == 0, F.lit(2.0**24)).otherwise(F.col("mean_ratio") / F.lit(SPREAD))))
-    key = F.round((weight - F.log(-F.log(u))) * F.lit(2.0**20)) / F.lit(2.0**20)
-    rows = stage(rows.withColumn("gumbel_key", key), "quality")
-    cut = float(model.cut)
-    k = rows.count() if cut == -np.inf else rows.where((F.col("mean_ratio") > cut) | (F.col("n_grams") == 0)).count()
+    rows = rows.withColumn("mean_ratio", F.col("log_ratio") / F.greatest(F.lit(1), F.col("n_grams")))
+    rows = stage(rows.withColumn("gumbel_key", gumbel_key(F.col("log_ratio"), F.col("doc_id"), seed, temperature)), "quality")
+    n, good = rows.agg(F.count("*"), F.sum(model.good(F.col("log_ratio")))).first()
+    k = round(good or 0) if keep is None else round(keep * n) if keep < 1 else min(n, int(keep))
     bound = top_k_bound(rows, "gumbel_key", k) if k else float("inf")
     return rows.withColumn("selected", F.col("gumbel_key") >= F.lit(bound))
 

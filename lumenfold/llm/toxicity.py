@@ -154,17 +154,23 @@ def calibrated(x: np.ndarray, t: np.ndarray) -> tuple[float, float]:
     A ridge that weighs as much as two documents draws them to 1 and 0, where there is little to go by."""
     if len(set(t.tolist())) < 2:
         return 1.0, 0.0
-    gain, ridge = np.where(t == 1, 0.5 / t.sum(), 0.5 / (1 - t).sum()), 2 / len(t) ** 1.5
-    a, b = 1.0, 0.0
-    for _ in range(100):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+    centre, spread = float(np.median(x)), float(np.std(x)) + 1e-9
+    z, gain, ridge = (x - centre) / spread, np.where(t == 1, 0.5 / t.sum(), 0.5 / (1 - t).sum()), 2 / len(t) ** 1.5
+    own = np.asarray([spread, centre])  # scale 1 and offset 0 in terms of z
+
+    def loss(w):
+        return (gain * np.logaddexp(0, (1 - 2 * t) * (w[0] * z + w[1]))).sum() + ridge / 2 * ((w - own) ** 2).sum()
+
+    w = np.zeros(2)
+    for _ in range(60):  # Newton steps, halved until they help
+        p = 1 / (1 + np.exp(-np.clip(w[0] * z + w[1], -30, 30)))
         g, h = gain * (p - t), gain * p * (1 - p)
-        grad = np.asarray([(g * x).sum() + ridge * (a - 1), g.sum() + ridge * b])
-        hess = np.asarray([[(h * x * x).sum() + ridge, (h * x).sum()], [(h * x).sum(), h.sum() + ridge]])
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 2 / (np.abs(step).max() + 1e-12))
-        a, b = a - step[0], b - step[1]
-    return float(a), float(b)
+        grad = np.asarray([(g * z).sum(), g.sum()]) + ridge * (w - own)
+        step = np.linalg.solve(np.asarray([[(h * z * z).sum() + ridge, (h * z).sum()], [(h * z).sum(), h.sum() + ridge]]), grad)
+        while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
+            step /= 2
+        w = w - step
+    return float(w[0] / spread), float(w[1] - w[0] * centre / spread)
 
 
 def train(docs: DataFrame, labels: DataFrame, where, per_class: int = 3000) -> Toxicity:

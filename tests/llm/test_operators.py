@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm import bpe, decontaminate, html_text, jaccard, language_model, quality, repeats, token_ids, toxicity, vectors
+from lumenfold.llm.common import Bounded
 
 ODD = [None, "", " \n\t", "a", "x <|endoftext|> y<|startoftext|>z", "İstanbul ΑΣ ΟΔΟΣ ﬁ", "é à́ 　z  two", "don't WE'LL", "漢字かな \U0001F600", "a \n b\t\tc   d \n", "\x00\x1c a\x85b"]
 
@@ -189,14 +190,14 @@ def test_toxicity_reads_every_window():
     rng = random.Random(11)
     texts, labels = [], []
     for k in range(300):
-        w = [f"w{rng.randrange(400)}" .replace("1", "a").replace("2", "o") for _ in range(3000 if k % 30 == 0 else 40)]
-        if k % 2 == 0:
-            w[-20:-18] = ["blockhead"] * 2 if k % 30 else ["numbskull", "numbskull", "x"][:2]
+        w = [rng.choice("aeiou") + f"w{rng.randrange(400)}".replace("1", "a").replace("2", "o") for _ in range(3000 if k % 30 == 0 else 40)]
+        if k % 2 == 0:  # near the end of a long text
+            w[-20:-19] = ["blockhead", "and", "blockhead"] if k % 30 else ["numbskull", "and", "numbskull"]
         texts.append(" ".join(w).encode())
         labels.append(1 - k % 2)
     model = toxicity.Toxicity.fit(texts, labels)
     mean = lambda w: np.mean(model.margins[toxicity.grams(w)])
-    assert mean(b"numbskull") > 0 and mean(b"blockhead") > 0
+    assert mean(b"numbskull") > mean(b"aw300") and mean(b"blockhead") > mean(b"aw300")
 
 
 def test_toxicity_of_few_labels_follows_the_same_rule():
@@ -454,6 +455,39 @@ def test_quality(spark):
     assert len({k for k in range(400) if k % 5} - kept) <= 4 and len({k for k in range(400) if not k % 5} & kept) <= 4
     assert {1000, 1001, 1002} <= kept
     assert quality.selected(docs, marks.limit(0)).count() == len(rows)
+    every = quality.resample(docs.union(docs.where("doc_id < 3")), marks, keep=0.25)  # repeated rows share their fate
+    assert 0 <= every.where("selected").count() - round(0.25 * (len(rows) + 3)) <= 3
+    assert every.where("doc_id < 3").groupBy("doc_id").agg(F.countDistinct("selected").alias("n")).where("n > 1").count() == 0
+
+
+def test_resampling_follows_the_weights(spark):
+    """Over many seeds a row comes first as often as its share of the weights, at any temperature."""
+    weight = np.asarray([0.0, 0.5, 1.0, 2.0, -1.0])
+    rows = spark.createDataFrame([(k, float(w)) for k, w in enumerate(weight)], "doc_id long, w double").crossJoin(spark.range(6000).select(F.col("id").cast("string").alias("seed")))
+    for temperature in (1.0, 2.0):
+        keyed = rows.withColumn("key", quality.gumbel_key(F.col("w"), F.col("doc_id"), F.col("seed"), temperature))
+        first = {r["doc_id"]: r["count"] / 6000 for r in keyed.groupBy("seed").agg(F.max_by("doc_id", "key").alias("doc_id")).groupBy("doc_id").count().collect()}
+        want = np.exp(weight / temperature) / np.exp(weight / temperature).sum()
+        assert all(abs(first[k] - want[k]) < 0.025 for k in range(5))
+
+
+def test_quality_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(x.upper() if k % 4 == 0 else x for x in words_of(rng, rng.randint(0, 60)))) for k in range(200)] + [(None, "no id"), (300, None)]
+    labels = [(k, int(k % 4 > 0)) for k in range(0, 200, 2)]
+    got = quality.resample(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), keep=60).collect()
+    raw, target = Counter(), Counter()
+    bag = {i: quality.features((t or "").encode(), Bounded(quality._piece)) for i, t in rows}
+    for f in bag.values():
+        raw.update(f.tolist())
+    for i, q in labels:
+        if q:
+            target.update(bag[i].tolist())
+    size = quality.BUCKETS
+    ratio = lambda b: math.log((target[b] + 1) / (sum(target.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size))
+    assert all(r["log_ratio"] == pytest.approx(sum(map(ratio, bag[r["doc_id"]].tolist())), abs=1e-9) for r in got)
+    assert {r["selected"] for r in sorted(got, key=lambda r: -r["gumbel_key"])[:60]} == {True} and sum(r["selected"] for r in got) == 60
+
 
 
 def test_top_k_bound_is_exact(spark):
