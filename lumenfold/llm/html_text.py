@@ -1,14 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one for each block element).  Lines inside elements that the markup itself
-names as menus, headers, footers, sidebars, notices, adverts, forms or comments, and lines that are mostly
-links, count as empty.  Text lengths are summed over sliding windows of lines; a window sum that jumps over
-``SURGE`` opens a region and the next empty window, the dive, closes it.  Each region then grows over the
-text lines of the container (article, main or the innermost common section) that it lies in, so short first
-and last lines of an article stay.
-
-Defined results: null and empty html, and pages without any such region or article, give the empty text or
-all text lines outside named boilerplate; unclosed and stray tags are tolerated; equal rows give equal rows.
+Markup is stripped into lines, one for each block element.  A line weighs the characters that stand outside links, and
+the weights are summed over windows of ``LINES`` lines from each line on.  A window sum above the surge threshold opens a
+region, at a line that itself has a window's share of it, and the first window sum below that share, the dive, closes
+it: what has weight between surge and dive is the main text.  The threshold is ``SURGE``, or half the page's largest
+window sum where that is less, so that short pages have a text as well.
+
+What the markup says goes in as a prior on the weights.  Lines in elements that are, or call themselves, menus,
+headers, footers, sidebars, notices, adverts, forms or comments weigh nothing.  Lines in the page's main container gain
+``BONUS`` characters, so short first, last and linked lines of an article can pass the threshold.  It is the page's
+article elements, else its main elements, and lines outside them weigh nothing; without either, it is the innermost
+element that holds three fifths of the weight, or the body itself, and lines outside weigh a quarter.
+
+Defined results: null and empty html, and pages without text that has weight, give the empty text; unclosed and stray
+tags and quotes are read as a browser would; equal rows give equal rows; a null page_id or url is passed on.
 """
 
 from __future__ import annotations
@@ -22,24 +27,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm.common import map_batches, prepare, table
 
-LINES, SURGE = 3, 80
+LINES, SURGE, BONUS = 3, 80, 100
 _SKIP = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|audio|video"
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({_SKIP})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# what cannot match at its end runs to the end of the page, so no part of a page is tried twice
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({_SKIP})\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'))?+)*+)(?:>|\Z)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _CONTAINER = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
 _NAMED = frozenset("nav menu footer aside form dialog fieldset head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _WORDS = frozenset("nav navbar navigation menu header masthead topbar footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager social share sharing comment comments disqus respond reply replies related recommended recommendations widget form search skip".split())
-_LAYOUT = frozenset("wrap wrapper container layout with has no content page".split())
+#: In a class name these speak of something beside the element: "has-sidebar", "with-ads", "no-banner".
+_BESIDE = frozenset("has with without no not".split())
+_REMARKS = frozenset("comment comments reply replies respond".split())
 _PARTS = re.compile(r"[a-z]+")
 
 
 def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in _NAMED or (tag == "header" and not inside_article):
         return True
-    if tag in ("html", "body", "main", "article") or not attributes.strip():
+    if tag in ("html", "body", "main") or not attributes.strip():
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
@@ -48,20 +56,26 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
         if name in ("class", "id"):
             for token in value.split():
                 parts = set(_PARTS.findall(token))
-                if parts & _WORDS and not parts & _LAYOUT:
+                if parts & (_REMARKS if tag == "article" else _WORDS) and not parts & _BESIDE:
                     return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
-    """The page's text lines: text, characters that count, and the containers that hold it, outermost first.
+class Line:
+    """A text line: its text, the characters outside links, the containers that hold it (number and tag, outermost
+    first) and whether the markup names it boilerplate."""
 
-    Boilerplate lines keep their text but count no characters and hold no containers."""
-    out: list[tuple[str, int, tuple[int, ...]]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number (negative: an article or main), boilerplate
+    __slots__ = ("text", "plain", "held", "named")
+
+    def __init__(self, text: str, plain: int, held: tuple[tuple[int, str], ...], named: bool):
+        self.text, self.plain, self.held, self.named = text, plain, held, named
+
+
+def lines(page: str) -> list[Line]:
+    out: list[Line] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, number, boilerplate
     text: list[str] = []
-    link = linked = number = 0
-    heading = 0
+    link = linked = number = heading = 0
 
     def close() -> None:
         nonlocal linked
@@ -72,8 +86,8 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
                 named = any(s[2] for s in stack)
                 if named and heading and all(s[0] == "header" for s in stack if s[2]):
                     named = False  # a headline in an article's own header
-                counted = 0 if named or 2 * linked > len(raw) else len(line)
-                out.append((line, counted, () if named else tuple(s[1] for s in stack)))
+                share = 1 - linked / len(raw)
+                out.append(Line(line, round(len(line) * share), tuple((s[1], s[0]) for s in stack), named))
         text.clear()
         linked = 0
 
@@ -105,26 +119,47 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
                             break
                 else:
                     number += 1
-                    main = tag in ("article", "main")
-                    if main:  # no menu or form holds an article: it was left unclosed
+                    article = any(s[0] == "article" for s in stack)
+                    named = _boilerplate(tag, m[4], article) or tag == "header" and article
+                    if tag in ("article", "main") and not named:  # no menu or form holds an article: it was left unclosed
                         while any(s[2] for s in stack):
                             stack.pop()
-                    article = any(s[1] < 0 for s in stack)
-                    stack.append((tag, -number if main else number, _boilerplate(tag, m[4], article) or tag == "header" and article))
+                    stack.append((tag, number, named))
     if at < len(page):
         text.append(page[at:])
     close()
     return out
 
 
-def regions(counted: list[int]) -> list[tuple[int, int]]:
-    """Line ranges between surge and dive of the window sums."""
-    n = len(counted)
-    sums, found, at = [sum(counted[i : i + LINES]) for i in range(n)], [], 0
+def weights(found: list[Line]) -> list[int]:
+    """What each line weighs: characters outside links, with the markup's prior."""
+    free = [x for x in found if not x.named]
+    for tag in ("article", "main"):
+        if any(t == tag for x in free for _, t in x.held):
+            return [0 if x.named or all(t != tag for _, t in x.held) else x.plain + BONUS for x in found]
+    mass: dict[int, int] = {}
+    for x in free:
+        for c, tag in x.held:
+            if tag not in ("html", "body"):
+                mass[c] = mass.get(c, 0) + x.plain
+    most = 0.6 * sum(x.plain for x in free)
+    inner = max((c for c, n in mass.items() if n >= most), default=None)  # later elements lie inside earlier ones
+
+    def main(x: Line) -> bool:
+        return any(c == inner for c, _ in x.held) if inner is not None else all(t in ("html", "body") for _, t in x.held)
+
+    return [0 if x.named else x.plain + BONUS if main(x) else x.plain // 4 for x in found]
+
+
+def regions(weight: list[int], surge: float = SURGE) -> list[tuple[int, int]]:
+    """Line ranges [from, to) between surge and dive of the window sums."""
+    n = len(weight)
+    sums, found, at = [sum(weight[i : i + LINES]) for i in range(n)], [], 0
+    least = min(surge, max(sums, default=0) / 2)
     while at < n:
-        if sums[at] > SURGE and counted[at]:
+        if sums[at] > least and weight[at] * LINES > least:
             end = at
-            while end < n and sums[end] > 0:
+            while end < n and sums[end] * LINES > least:
                 end += 1
             found.append((at, end))
             at = end
@@ -132,31 +167,11 @@ def regions(counted: list[int]) -> list[tuple[int, int]]:
     return found
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, surge: float = SURGE) -> str:
     """The page's main text: blocks in page order, one a line."""
     found = lines(page)
-    mains = {c for _, _, held in found for c in held if c < 0}
-    spans = regions([n for _, n, _ in found])
-    keep = [False] * len(found)
-    for a, b in spans:
-        held = [h for _, n, h in found[a:b] if n]
-        own = [c for h in held for c in h if c < 0]
-        if mains and not own:
-            continue  # the markup names the article and this is not in it
-        if own:
-            scope = set(own)
-        else:
-            common = set(held[0]).intersection(*held)
-            inner = max(common, default=None)
-            scope = {inner} if inner is not None else set()
-        for k, (_, n, h) in enumerate(found):
-            if (a <= k < b or not scope.isdisjoint(h)) and (n or own and h) and (own == [] or any(c < 0 for c in h)):
-                keep[k] = True
-    if not any(keep):  # no surge: a short article, or a short page
-        keep = [bool(h) and (not mains or not mains.isdisjoint(h)) and (n > 0 or bool(mains)) for _, n, h in found]
-        if not mains and not any(keep):
-            keep = [n > 0 for _, n, _ in found]
-    return "\n".join(t for (t, _, _), k in zip(found, keep, strict=True) if k)
+    weight = weights(found)
+    return "\n".join(found[k].text for a, b in regions(weight, surge) for k in range(a, b) if weight[k])
 
 
 def extract(pages: DataFrame) -> DataFrame:

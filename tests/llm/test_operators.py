@@ -426,12 +426,50 @@ def test_filter_reads_quantised_counts():
         (f"<div class='cookie-notice'>{'We use cookies. ' * 20}</div><div><p>{'Real text. ' * 20}</p><p>End.</p></div><aside>{'Other. ' * 40}</aside>", ("Real text. " * 20).strip() + "\nEnd."),
         (f"<body><header><h1>Site</h1></header><main><article><p>{'Long text. ' * 12}</p><div class=ad>Buy</div><form>Sign up</form></article><section id=comments><p>{'Nice! ' * 40}</p></section></main>", ("Long text. " * 12).strip()),
         ("<script>var a='</p><p>no'</script><style>p{}</style><!-- <p>no</p> --><p>yes</p>", "yes"),
+        ('<p class="a"">hello</p>', "hello"),
+        ("<p class='a' title=\"b>c\">x &lt; y</p>", "x < y"),
+        (f"<div class=page-footer>About</div><div class='container has-sidebar'><p>{'Good text. ' * 20}</p></div><div class=comments-wrapper>{'Me too. ' * 40}</div>", ("Good text. " * 20).strip()),
+        (f"<article><p>{'Long text. ' * 12}</p><article class=comment>{'Nice! ' * 40}</article></article>", ("Long text. " * 12).strip()),
     ],
 )
 def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_surge_and_dive_decide(data):
+    """Without any telling names, the distribution of text alone finds nearly all articles."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{data}/pages.parquet").column("html").to_pylist()
+    bare = [re.sub(r"<(/?)(nav|article|footer|header|main|aside)\b[^>]*>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
+    same = [html_text.main_text(a) == html_text.main_text(b) for a, b in zip(pages, bare, strict=True)]
+    assert np.mean(same) >= 0.85
+    for some in (pages, bare):
+        assert sum(html_text.main_text(p) != html_text.main_text(p, 10**9) for p in some) > len(some) / 2
+
+
+def test_regions_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        w = [rng.choice([0, 0, 5, 20, 60, 200]) for _ in range(rng.randint(0, 30))]
+        window = lambda k, w=w: sum(w[k : k + html_text.LINES])
+        least, inside, want = min(80, max(map(window, range(len(w))), default=0) / 2), False, []
+        for k in range(len(w)):
+            inside = window(k) * html_text.LINES > least if inside else window(k) > least and w[k] * html_text.LINES > least
+            want.append(inside)
+        got = [any(a <= k < b for a, b in html_text.regions(w)) for k in range(len(w))]
+        assert [g for g, x in zip(got, w, strict=True) if x] == [g for g, x in zip(want, w, strict=True) if x]
+
+
+def test_broken_markup_takes_linear_time():
+    for bad in ('<a ="', "<p class='x\">t", "<!", "<a ", "<script ", "<a class=", "<!-- ", "<div class=class "):
+        began = time.process_time()
+        html_text.main_text(bad * 40_000)
+        assert time.process_time() - began < 3
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 3), (2, None, "<p>x", 4)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "u", "", 0), (1, "u", "", 0), (2, None, "x", 1)]
