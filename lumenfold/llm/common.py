@@ -100,9 +100,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts_for(df: DataFrame, bytes_per_part: int, scale: float = 1.0) -> int:
-    """Partitions so that each holds about ``bytes_per_part`` of the input as stored, by the optimizer's size."""
+    """Partitions so that each holds about ``bytes_per_part`` of the input as stored, by the optimizer's size.
+
+    Where the optimizer does not know (rows that come from no file), the session's number of shuffle partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size >= 1 << 62:
+        return least
     return max(least, min(200_000, int(size * scale / bytes_per_part)))
 
 

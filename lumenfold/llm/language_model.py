@@ -10,11 +10,10 @@ shards, and the levels read there come back.
 Every order is smoothed by the one below, with counts never above their context's,
 
     p(w | h) = (c(h w) + SMOOTH * p(w | h')) / (c(h) + SMOOTH),
-    p(w) = c(w) / (N + U) for a seen word, U * spelling(w) / (N + U) for an unseen one,
+    p(w) = c(w) / (N + U) for a seen word, U / (N + U) / S for an unseen one,
 
-where U, the mass that unseen words share, is the number of words seen once.  Spelling interpolates byte n-grams
-inside words, of orders 1 to ``ORDER``, down to the uniform distribution.  It is a model of letters with a hashed
-space of ``IDS`` ids, whatever the corpus, so its own filter may be broadcast; words and their n-grams have no such bound.
+where U, the mass that unseen words share, is the number of words seen once, and S estimates how many words are
+unseen from the numbers of those seen once and twice, U (U - 1) / (2 (T + 1)), at least 1 (a published lower bound).
 
 Exact word counts do not fit a broadcast.  Texts are packed in batches; each batch sends its distinct words'
 hashes to buckets once, and gets counts back in the same order.  A frequent word costs one entry a batch.
@@ -35,9 +34,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import binary, map_batches, mix64, prepare, stage, table, unstage
+from lumenfold.llm.common import binary, map_batches, mix64, parts_for, prepare, stage, table, unstage
 
-ORDER, IDS, FILTER_BITS, PROBES = 5, 1 << 21, 1 << 28, 2
+PROBES = 2
 BASE = 2**0.5
 #: Orders of word n-grams, the weight of the order below, and bits of the filter for each pair.
 WORDS, SMOOTH, PAIR_BITS = 3, 4.0, 16
@@ -47,49 +46,6 @@ _END = np.uint64(0x7F4A7C159E3779B9)
 #: Bytes of text in one batch.
 BATCH = 5 << 20
 _U = np.uint64
-_BYTES = np.random.default_rng(5).integers(1, 1 << 63, (ORDER, 256), dtype=np.uint64) * _U(2) + _U(1)
-
-
-class Spelling:
-    """The byte n-grams of a list of words, each between a start and an end mark."""
-
-    def __init__(self, words: list[bytes]):
-        raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8)
-        self.size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        self.begin = np.cumsum(self.size) - self.size
-        self.raw, self.place = raw, np.arange(len(raw)) - np.repeat(self.begin, self.size)
-
-    def orders(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each order: where its n-grams end, and their ids."""
-        h = np.zeros(len(self.raw), _U)
-        with np.errstate(over="ignore"):
-            for n in range(1, ORDER + 1):
-                lag = n - 1
-                h[lag:] += _BYTES[lag][self.raw[: len(self.raw) - lag]]
-                at = np.flatnonzero(self.place >= max(lag, 1) if n > 1 else self.place >= 0)
-                yield at, (mix64(h[at] + _U(n)) >> _U(64 - 21)).astype(np.int64)
-
-    def counts(self, weight: np.ndarray) -> np.ndarray:
-        """How often each id occurs when word k is seen weight[k] times."""
-        per, total = np.repeat(weight, self.size).astype(np.float64), np.zeros(IDS)
-        for at, ids in self.orders():
-            total += np.bincount(ids, weights=per[at], minlength=IDS)
-        return total
-
-    def log10(self, count: np.ndarray, total: float, smooth: float = 6.0) -> np.ndarray:
-        """log10 of each word's spelling probability, from counts by id and the number of all bytes."""
-        p = np.full(len(self.raw), 1 / 256)
-        below = np.full(len(self.raw), max(total, 0.0))
-        for n, (at, ids) in enumerate(self.orders(), 1):
-            c, of = count[ids], (below[at] if n == 1 else below[at - 1])
-            p[at] = (np.minimum(c, of) + smooth * p[at]) / (of + smooth)
-            if n < ORDER:
-                here = np.zeros(len(self.raw))
-                here[at] = c
-                below = here
-        logs = np.log10(p)
-        logs[self.begin] = 0.0  # the start mark is given
-        return np.add.reduceat(logs, self.begin) if len(self.begin) else np.zeros(0)
 
 
 def with_ends(n: np.ndarray, values: np.ndarray, end) -> np.ndarray:
@@ -117,33 +73,28 @@ def word_grams(n: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray,
 class LogBloom:
     """The filter; ``bits`` is a packed array of bits, a power of two."""
 
-    def __init__(self, bits: np.ndarray, total: float):
-        self.bits, self.total = bits, total
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
     @staticmethod
-    def _places(ids: np.ndarray, level: int, size: int = FILTER_BITS) -> np.ndarray:
+    def _places(ids: np.ndarray, level: int, size: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             x = mix64(ids.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(level))
             step = (x >> _U(32)) | _U(1)
             return np.stack([((x + step * _U(k)) & _U(size - 1)).astype(np.int64) for k in range(PROBES)])
 
     @classmethod
-    def build(cls, count: np.ndarray, total: float) -> LogBloom:
-        ids = np.flatnonzero(count)
-        return cls.of(ids, count[ids], total, FILTER_BITS)
-
-    @classmethod
-    def of(cls, ids: np.ndarray, count: np.ndarray, total: float = 0.0, size: int | None = None, pair_bits: int = PAIR_BITS) -> LogBloom:
-        """A filter of ids with counts of 1 or more; without ``size``, of ``pair_bits`` or more for each pair."""
+    def of(cls, ids: np.ndarray, count: np.ndarray, pair_bits: int = PAIR_BITS) -> LogBloom:
+        """A filter of ids with counts of 1 or more, of ``pair_bits`` or more for each pair of id and level."""
         levels = 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(BASE) + 1e-9).astype(int)
-        size = size or 1 << max(10, int(levels.sum() * pair_bits - 1).bit_length())
+        size = 1 << max(10, int(levels.sum() * pair_bits - 1).bit_length())
         bits = np.zeros(size // 8, np.uint8)
         for level in range(1, int(levels.max(initial=0)) + 1):
             held = ids[levels >= level]
             for a in range(0, len(held), _SLICE):
                 at = cls._places(held[a : a + _SLICE], level, size).ravel()
                 np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return cls(bits, total)
+        return cls(bits)
 
     def read(self, ids: np.ndarray) -> np.ndarray:
         """Counts by repeated membership probes."""
@@ -168,15 +119,13 @@ def counts_of(level: np.ndarray) -> np.ndarray:
 
 
 def _pack(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of four kinds, by bucket: -1 a batch's texts as numbers of its distinct words, -2 a task's n-gram
-    counts over training text and -3 the bytes they came from, others a batch's distinct words of that bucket with their training counts."""
+    """Rows of two kinds, by bucket: -1 a batch's texts as numbers of its distinct words, others a batch's distinct
+    words of that bucket with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        grams, letters = np.zeros(IDS), 0.0
 
         def packed(ids, known, learn, texts):
-            nonlocal letters
             words, n = [], np.zeros(len(texts), np.int64)
             for k, raw in enumerate(texts):
                 own = raw.lower().split()
@@ -187,11 +136,6 @@ def _pack(docs: DataFrame, buckets: int) -> DataFrame:
             trained = np.bincount(inverse, weights=np.repeat(learn, n).astype(np.float64), minlength=len(hashes))
             distinct = [words[k] for k in first.tolist()]
             words.clear()
-            seen = trained > 0
-            if seen.any():
-                spelling = Spelling([w for w, s in zip(distinct, seen.tolist(), strict=True) if s])
-                grams[:] += spelling.counts(trained[seen])
-                letters += float(spelling.size @ trained[seen])
             to = (hashes >> _U(64 - 20)).astype(np.int64) * buckets >> 20  # ascending, so cells follow the order of hashes
             cuts = np.searchsorted(to, np.arange(buckets + 1))
             name = uuid.uuid4().hex
@@ -210,19 +154,13 @@ def _pack(docs: DataFrame, buckets: int) -> DataFrame:
                 if size >= BATCH or k == len(texts) - 1:
                     yield packed(ids[at : k + 1], known[at : k + 1], learn[at : k + 1], texts[at : k + 1])
                     at, size = k + 1, 0
-        hit = np.flatnonzero(grams)
-        step = IDS // 64
-        rows = [(f"{k}", -2, hit[x:y].tobytes(), grams[hit[x:y]].tobytes(), b"") for k, (x, y) in enumerate(zip(*(lambda c: (c[:-1], c[1:]))(np.searchsorted(hit, np.arange(0, IDS + 1, step)).tolist()), strict=True)) if y > x]
-        if rows:
-            rows.append(("letters", -3, np.asarray([letters]).tobytes(), b"", b""))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "bucket", "a", "b", "c"])
 
     return docs.select("doc_id", "text", "learn").mapInArrow(run, "batch string, bucket int, a binary, b binary, c binary")
 
 
 def _count(packed: DataFrame, partitions: int) -> DataFrame:
     """Training counts of each batch's distinct words, in the order in which they were sent; and for each task one
-    row with batch null: (sum of counts, distinct words, words seen once)."""
+    row with batch null: (sum of counts, distinct words, words seen once, words seen twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, buckets, hashes, trained = [], [], [], []
@@ -240,7 +178,7 @@ def _count(packed: DataFrame, partitions: int) -> DataFrame:
         for k in range(0, len(names), 64):
             rows = range(k, min(k + 64, len(names)))
             yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in rows]), pa.array([buckets[r] for r in rows], pa.int32()), pa.array([every[cuts[r] : cuts[r + 1]].astype(np.uint64).tobytes() for r in rows], pa.binary())], names=["batch", "bucket", "counts"])
-        about = np.asarray([total.sum(), (total > 0).sum(), (total == 1).sum()], np.int64)
+        about = np.asarray([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([-1], pa.int32()), pa.array([about.tobytes()], pa.binary())], names=["batch", "bucket", "counts"])
 
     return packed.where("bucket >= 0").repartition(partitions, "bucket").mapInArrow(run, "batch string, bucket int, counts binary")
@@ -317,45 +255,30 @@ def _levels(met: DataFrame, partitions: int, pair_bits: int) -> DataFrame:
     return met.repartition(partitions, "bucket").mapInArrow(run, "batch string, bucket int, levels binary")
 
 
-def _gram_counts(packed: DataFrame) -> np.ndarray:
-    """Counts by id over all tasks: summed in 64 ranges of ids; IDS numbers reach the driver, whatever the corpus."""
-
-    def total(rows: pa.Table) -> pa.Table:
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("a").to_pylist()])
-        c = np.concatenate([np.frombuffer(x, np.float64) for x in rows.column("b").to_pylist()])
-        distinct, inverse = np.unique(ids, return_inverse=True)
-        return pa.table({"ids": pa.array([distinct.astype(np.uint32).tobytes()]), "c": pa.array([np.bincount(inverse, weights=c).tobytes()])})
-
-    out = np.zeros(IDS)
-    for row in packed.where("bucket = -2").select("batch", "a", "b").groupBy("batch").applyInArrow(total, "ids binary, c binary").toLocalIterator():
-        out[np.frombuffer(row["ids"], np.uint32)] = np.frombuffer(row["c"], np.float64)
-    return out
-
+def score_documents(docs: DataFrame, pair_bits: int = PAIR_BITS, smooth: float = SMOOTH) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, learn): doc_id, learn, n_tokens, n_known, train_tokens, base_score, score.
 
-def score_documents(docs: DataFrame, pair_bits: int = PAIR_BITS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, learn): doc_id, learn, n_tokens, n_known, train_tokens, base_score, score."""
+    ``smooth`` is the weight of the order below; with a very large one the word n-grams of the filter tell nothing.
+    Words and n-grams are dealt into as many parts as the session asks for, and more if parts of 64 MB of stored text
+    take more, up to 16,384: beyond that parts grow with the corpus, since a batch's row for a part would hold next to nothing."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(16_384, parts_for(docs, 64 << 20))
     packed = stage(_pack(docs, 4 * partitions), "packed", "none")
     counted = stage(_count(packed, partitions), "counted")
     ends = docs.where("learn").count()
     about = [np.frombuffer(r[0], np.int64) for r in counted.where("batch is null").select("counts").toLocalIterator()]
-    total, distinct, once = (int(sum(a[k] for a in about)) for k in range(3))
+    total, distinct, once, twice = (int(sum(a[k] for a in about)) for k in range(4))
     total, distinct = total + ends, distinct + (ends > 0)
-    grams = _gram_counts(packed)
-    letters = sum(float(np.frombuffer(r[0], np.float64)[0]) for r in packed.where("bucket = -3").select("a").toLocalIterator())
-    shared = spark.sparkContext.broadcast(LogBloom.build(grams, letters))
     found = stage(counted.where("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("bucket", "counts")).alias("found")), "found")
     texts = stage(packed.where("bucket = -1"), "texts", "none")
     unstage(counted, packed)  # with the words that were shuffled
     levels = stage(_levels(_met(texts, 2 * partitions), 2 * partitions, pair_bits), "levels", "none")
     read = stage(levels.groupBy("batch").agg(F.collect_list(F.struct("bucket", "levels")).alias("read")), "read", "none")
     unstage(levels)  # with the n-grams that were shuffled
-    unknown, unseen = np.log10(1.0) - np.log10(total + distinct + 1), max(1.0, once)
+    unknown, unseen = -np.log10(total + distinct + 1), max(1.0, once)
+    each_unseen = unseen / (total + unseen) / max(1.0, once * (once - 1) / (2 * (twice + 1)))
 
     def make():
-        model = shared.value
-        count = model.read(np.arange(IDS))
         expand = zstandard.ZstdDecompressor()
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -363,10 +286,8 @@ def score_documents(docs: DataFrame, pair_bits: int = PAIR_BITS) -> DataFrame:
                 ids, n, learn, known, inverse, words = _texts(a, b, c, expand)
                 seen = np.concatenate([np.frombuffer(x["counts"], np.uint64) for x in sorted(found or [], key=lambda x: x["bucket"])]).astype(np.float64) if words else np.zeros(0)
                 base = np.log10(seen + 1) + unknown
-                own, new = seen / (total + unseen), np.flatnonzero(seen == 0)
-                if len(new):
-                    own[new] = unseen / (total + unseen) * 10.0 ** np.maximum(Spelling([words[k] for k in new.tolist()]).log10(count, model.total), -250.0)
-                p = with_ends(n, own[inverse], ends / (total + unseen) if ends else unseen / (total + unseen) / 256)
+                own = np.where(seen > 0, seen / (total + unseen), each_unseen)
+                p = with_ends(n, own[inverse], ends / (total + unseen) if ends else each_unseen)
                 context = with_ends(n, seen[inverse], float(ends))
                 grams = list(word_grams(n, with_ends(n, _word_hashes(words)[inverse] if words else np.zeros(0, _U), _END)))
                 _, place = np.unique(np.concatenate([h for _, h in grams]), return_inverse=True)
@@ -377,7 +298,7 @@ def score_documents(docs: DataFrame, pair_bits: int = PAIR_BITS) -> DataFrame:
                     here[at] = reads[start : start + len(h)]
                     start += len(h)
                     of = context[at - 1]
-                    p[at] = (np.minimum(here[at], of) + SMOOTH * p[at]) / (of + SMOOTH)
+                    p[at] = (np.minimum(here[at], of) + smooth * p[at]) / (of + smooth)
                     context = here
                 edge, first = np.concatenate([[0], np.cumsum(n)]), np.cumsum(n + 1) - (n + 1)
 
