@@ -44,7 +44,7 @@ WORDS, SMOOTH, PAIR_BITS = 3, 4.0, 16
 _SLICE = 1 << 17
 _END = np.uint64(0x7F4A7C159E3779B9)
 #: Bytes of text in one batch.
-BATCH = 5 << 20
+BATCH = 4 << 20
 _U = np.uint64
 
 
@@ -200,23 +200,27 @@ def _met(texts: DataFrame, buckets: int) -> DataFrame:
     def make():
         squeeze, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
+        def met(name: str, *row: bytes) -> list[tuple]:
+            _, n, learn, _, inverse, words = _texts(*row, expand)
+            tokens = with_ends(n, _word_hashes(words)[inverse] if words else np.zeros(0, _U), _END)
+            learnt, grams, weight = np.repeat(learn > 0, n + 1), [], []
+            for at, h in word_grams(n, tokens):
+                grams.append(h)
+                weight.append(learnt[at])
+            del tokens, learnt, inverse, words, at, h
+            every, weight = np.concatenate(grams), np.concatenate(weight)
+            grams.clear()
+            h, inverse = np.unique(every, return_inverse=True)
+            del every
+            trained = np.bincount(inverse[weight], minlength=len(h)).astype(np.uint32)
+            del weight, inverse
+            to = (h >> _U(28)).astype(np.int64) * buckets >> 20
+            cuts = np.searchsorted(to, np.arange(buckets + 1)).tolist()
+            return [(name, k, squeeze.compress((h[x:y] >> _U(32)).astype(np.uint16).tobytes()), (h[x:y] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), squeeze.compress(trained[x:y].tobytes())) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for name, *row in zip(*(batch.column(x).to_pylist() for x in ("batch", "a", "b", "c")), strict=True):
-                _, n, learn, _, inverse, words = _texts(*row, expand)
-                tokens = with_ends(n, _word_hashes(words)[inverse] if words else np.zeros(0, _U), _END)
-                learnt, grams, weight = np.repeat(learn > 0, n + 1), [], []
-                for at, h in word_grams(n, tokens):
-                    grams.append(h)
-                    weight.append(learnt[at])
-                del tokens, learnt, inverse, words, at, h
-                every, weight = np.concatenate(grams), np.concatenate(weight)
-                grams.clear()
-                h, inverse = np.unique(every, return_inverse=True)
-                trained = np.bincount(inverse[weight], minlength=len(h)).astype(np.uint32)
-                del every, weight, inverse
-                to = (h >> _U(28)).astype(np.int64) * buckets >> 20
-                cuts = np.searchsorted(to, np.arange(buckets + 1)).tolist()
-                out = [(name, k, squeeze.compress((h[x:y] >> _U(32)).astype(np.uint16).tobytes()), (h[x:y] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), squeeze.compress(trained[x:y].tobytes())) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            for r in range(batch.num_rows):
+                out = met(*(batch.column(x)[r].as_py() for x in ("batch", "a", "b", "c")))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "bucket", "a", "b", "c"])
 
@@ -281,41 +285,43 @@ def score_documents(docs: DataFrame, pair_bits: int = PAIR_BITS, smooth: float =
     def make():
         expand = zstandard.ZstdDecompressor()
 
+        def scored(a: bytes, b: bytes, c: bytes, found: list, read: list) -> pa.RecordBatch:
+            ids, n, learn, known, inverse, words = _texts(a, b, c, expand)
+            seen = np.concatenate([np.frombuffer(x["counts"], np.uint64) for x in sorted(found or [], key=lambda x: x["bucket"])]).astype(np.float64) if words else np.zeros(0)
+            own = np.where(seen > 0, seen / (total + unseen), each_unseen)
+            p = with_ends(n, own[inverse], ends / (total + unseen) if ends else each_unseen)
+            context = with_ends(n, seen[inverse], float(ends))
+            grams = list(word_grams(n, with_ends(n, _word_hashes(words)[inverse] if words else np.zeros(0, _U), _END)))
+            place = np.unique(np.concatenate([h for _, h in grams]), return_inverse=True)[1].astype(np.int32)
+            grams = [(at.astype(np.int32), len(h)) for at, h in grams]
+            level, start = np.frombuffer(b"".join(expand.decompress(x["levels"]) for x in sorted(read or [], key=lambda x: x["bucket"])), np.uint8), 0
+            for at, size in grams:
+                here = np.zeros(len(p))
+                here[at] = counts_of(level[place[start : start + size]])
+                start += size
+                of = context[at - 1]
+                p[at] = (np.minimum(here[at], of) + smooth * p[at]) / (of + smooth)
+                context = here
+            edge, first = np.concatenate([[0], np.cumsum(n)]), np.cumsum(n + 1) - (n + 1)
+
+            def summed(per_word):
+                s = np.concatenate([[0.0], np.cumsum(per_word[inverse], dtype=np.longdouble)])
+                return (s[edge[1:]] - s[edge[:-1]]).astype(np.float64)
+
+            out = {
+                "doc_id": pa.array(ids, mask=known == 0),
+                "learn": pa.array(learn.astype(bool)),
+                "n_tokens": pa.array(n + 1),
+                "n_known": pa.array(summed((seen > 0).astype(float)).round().astype(np.int64) + (ends > 0)),
+                "train_tokens": pa.array(np.full(len(ids), total, np.int64)),
+                "base_score": pa.array(summed(np.log10(seen + 1) + unknown) + np.log10(ends + 1) + unknown),
+                "score": pa.array(np.add.reduceat(np.log10(p), first)),
+            }
+            return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for a, b, c, found, read in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "c", "found", "read")), strict=True):
-                ids, n, learn, known, inverse, words = _texts(a, b, c, expand)
-                seen = np.concatenate([np.frombuffer(x["counts"], np.uint64) for x in sorted(found or [], key=lambda x: x["bucket"])]).astype(np.float64) if words else np.zeros(0)
-                base = np.log10(seen + 1) + unknown
-                own = np.where(seen > 0, seen / (total + unseen), each_unseen)
-                p = with_ends(n, own[inverse], ends / (total + unseen) if ends else each_unseen)
-                context = with_ends(n, seen[inverse], float(ends))
-                grams = list(word_grams(n, with_ends(n, _word_hashes(words)[inverse] if words else np.zeros(0, _U), _END)))
-                _, place = np.unique(np.concatenate([h for _, h in grams]), return_inverse=True)
-                level = np.frombuffer(b"".join(expand.decompress(x["levels"]) for x in sorted(read or [], key=lambda x: x["bucket"])), np.uint8)
-                reads, start = counts_of(level)[place], 0
-                for at, h in grams:
-                    here = np.zeros(len(p))
-                    here[at] = reads[start : start + len(h)]
-                    start += len(h)
-                    of = context[at - 1]
-                    p[at] = (np.minimum(here[at], of) + smooth * p[at]) / (of + smooth)
-                    context = here
-                edge, first = np.concatenate([[0], np.cumsum(n)]), np.cumsum(n + 1) - (n + 1)
-
-                def summed(per_word, edge=edge, inverse=inverse):
-                    s = np.concatenate([[0.0], np.cumsum(per_word[inverse], dtype=np.longdouble)])
-                    return (s[edge[1:]] - s[edge[:-1]]).astype(np.float64)
-
-                out = {
-                    "doc_id": pa.array(ids, mask=known == 0),
-                    "learn": pa.array(learn.astype(bool)),
-                    "n_tokens": pa.array(n + 1),
-                    "n_known": pa.array(summed((seen > 0).astype(float)).round().astype(np.int64) + (ends > 0)),
-                    "train_tokens": pa.array(np.full(len(ids), total, np.int64)),
-                    "base_score": pa.array(summed(base) + np.log10(ends + 1) + unknown),
-                    "score": pa.array(np.add.reduceat(np.log10(p), first)),
-                }
-                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+            for k in range(batch.num_rows):  # a row's arrays are gone before the next row's come
+                yield scored(*(batch.column(x)[k].as_py() for x in ("a", "b", "c", "found", "read")))
 
         return each
 
