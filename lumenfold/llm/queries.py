@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import bpe, decontaminate, html_text, jaccard, language_model, quality, repeats, token_ids, toxicity, vectors
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenfold.llm import bpe, decontaminate, html_text, jaccard, language_model, oracles, quality, repeats, token_ids, toxicity, vectors
+
+
+def language_model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_language_model that SQL can express, for the comparison with SQL alone."""
+    return language_model.op6_language_model(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
 
 QUERIES = {
     "op1_embeddings": vectors.op1_embeddings,
@@ -15,5 +24,12 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_quality": quality.op9_quality,
     "op10_jaccard": jaccard.op10_jaccard,
+    "language_model_base": language_model_base,
+}
+ORACLES: dict[str, str] = {
+    "op1_embeddings": oracles.OP1,
+    "op4_repeats": oracles.OP4,
+    "op5_decontamination": oracles.OP5,
+    "op10_jaccard": oracles.OP10,
+    "language_model_base": oracles.LANGUAGE_MODEL_BASE,
 }
-ORACLES: dict[str, str] = {}
