@@ -64,8 +64,8 @@ def test_scores_of_held_out_documents(spark, data, sql):
     label = dict(sql.execute("SELECT doc_id, max(toxic) FROM labels GROUP BY doc_id").fetchall())
     out = queries.QUERIES["op3_toxicity"](spark, data).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in out)
-    known = [(label[r["doc_id"]], r["predicted"]) for r in out if r["doc_id"] in label]
-    assert np.mean([a == b for a, b in known]) >= 0.85
+    mean = lambda k: np.mean([r["score"] for r in out if label.get(r["doc_id"]) == k])
+    assert mean(1) > mean(0) + 0.2  # a few toxic documents among a hundred
     quality = dict(sql.execute("SELECT doc_id, min(quality) FROM labels GROUP BY doc_id").fetchall())
     out = queries.QUERIES["op9_quality"](spark, data).collect()
     assert len(out) == sql.execute("SELECT count(*) FROM documents").fetchone()[0]
