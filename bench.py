@@ -8,7 +8,7 @@ import sys
 import time
 
 HEADLINE = (
-    "category_stats_with_mode", "score_histogram", "facet_counts", "metric_ranges", "pearson_by_category", "percentiles_by_category", "gallery_page", "timeline_topk", "copresence_pairs",
+    "category_stats_with_mode", "score_histogram", "value_counts", "metric_ranges", "pearson_by_category", "percentiles_by_category", "gallery_page", "timeline_topk", "copresence_pairs",
     "scenes_adaptive_gap", "bracket_runs", "near_duplicate_pairs", "knn_exact", "bm25_search", "category_assignment", "normalised_metrics", "auto_keep_split", "auc_by_metric",
 )
 

@@ -14,7 +14,7 @@ def canonical_votes(votes: DataFrame, a: str, b: str, winner: str, user: str, ts
     swapped = F.col(a) > F.col(b)
     side = F.when(~swapped, F.col(winner)).when(F.col(winner) == "a", "b").when(F.col(winner) == "b", "a").otherwise(F.col(winner))
     rows = votes.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), side.alias("winner"), user, ts)
-    return rows.groupBy("a", "b", user).agg(F.max_by("winner", ts).alias("winner"), F.max(ts).alias(ts))
+    return rows.groupBy("a", "b", user).agg(F.max_by("winner", F.struct(ts, "winner")).alias("winner"), F.max(ts).alias(ts))
 
 
 def culling_pairs(df: DataFrame, group: str, key: str, keep: str, order: list[Column], keeps: int = 2, most: int = 12) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,24 +33,33 @@ def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int, least:
     return df.select(key, F.round(exprs.cosine(F.col(vector), q), 6).alias("score")).where(F.col("score") >= least).orderBy(F.col("score").desc(), key).limit(k)
 
 
-def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, group: str | None = None, bits: int = 2) -> DataFrame:
-    """All pairs a < b with cosine of at least ``threshold``, through an inverted index on coarse coordinates.
+def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, group: str | None = None, block: int = 2048) -> DataFrame:
+    """All pairs a < b with cosine of at least ``threshold``, inside each ``group`` if one is named.
 
-    With unit vectors |x_i - y_i| <= sqrt(2 - 2t) in each coordinate, so after cutting a coordinate into cells at
-    least that wide linked rows stand in the same or neighbouring cells; ``bits`` coordinates make the key."""
-    width = max(1e-9, (2 - 2 * threshold) ** 0.5)
-    rows = df.select(key, *([group] if group else []), unit(vector)).where("unit is not null")
-    cells = [F.floor(F.element_at("unit", k + 1) / width).cast("int") for k in range(bits)]
-    home = rows.withColumn("cell", F.array(*cells))
-    offsets = F.array(*(F.array(*(F.lit(d) for d in t)) for t in _offsets(bits)))
-    near = home.withColumn("to", F.explode(F.transform(offsets, lambda o: F.zip_with(F.col("cell"), o, lambda a, b: a + b))))
-    a, b = near.select(F.col(key).alias("a"), F.col("unit").alias("ua"), F.col("to").alias("cell"), *([F.col(group).alias("g")] if group else [])), home.select(F.col(key).alias("b"), F.col("unit").alias("ub"), "cell", *([F.col(group).alias("g")] if group else []))
-    joined = a.join(b, ["cell", "g"] if group else ["cell"]).where("a < b and size(ua) = size(ub)")
-    return joined.select("a", "b", _dot(F.col("ua"), F.col("ub")).alias("score")).where(F.col("score") >= threshold)
+    Rows are dealt into blocks of about ``block`` by a hash, whatever their group's size, so a hot group is many
+    tiles; a tile is one numpy product of two blocks, and its memory has a bound.  Ids alone travel back."""
+    rows = df.select(F.col(key).cast("long").alias("_k"), (F.col(group).cast("string") if group else F.lit("")).alias("_g"), unit(vector)).where("unit is not null and _k is not null and _g is not null")
+    sizes = rows.groupBy("_g").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("_blocks"))
+    own = rows.join(sizes, "_g").withColumn("_own", F.pmod(F.xxhash64("_k"), F.col("_blocks")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda c: F.struct(F.least(c, "_own").alias("x"), F.greatest(c, "_own").alias("y")))
+    tiles = own.withColumn("_t", F.explode(meets)).select("_g", F.col("_t.x").alias("_x"), F.col("_t.y").alias("_y"), "_own", "_k", "unit")
 
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, same in pdf.groupby(pdf["unit"].map(len)):
+            v, k = np.stack(same["unit"].to_numpy()), same["_k"].to_numpy()
+            x, y = int(same["_x"].iloc[0]), int(same["_y"].iloc[0])
+            left, right = np.flatnonzero(same["_own"].to_numpy() == x), np.flatnonzero(same["_own"].to_numpy() == y)
+            for at in range(0, len(left), 512):
+                part = left[at : at + 512]
+                score = v[part] @ v[right].T
+                i, j = np.nonzero(score >= threshold)
+                a, b = k[part[i]], k[right[j]]
+                keep = a < b if x == y else a != b
+                found.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": score[i, j][keep]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "score": []})
 
-def _offsets(n: int) -> list[tuple[int, ...]]:
-    return [()] if n == 0 else [(d, *rest) for d in (-1, 0, 1) for rest in _offsets(n - 1)]
+    return tiles.groupBy("_g", "_x", "_y").applyInPandas(met, "a bigint, b bigint, score double")
 
 
 def duplicate_gate(a_hash: Column, b_hash: Column, cosine: Column) -> Column:
@@ -74,9 +85,9 @@ def tokens(text: str) -> Column:
 
 
 def bm25(df: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over the whole table for a few terms: documents stay rows, only term counts are aggregated."""
-    t = tokens(text)
-    rows = df.select(key, F.size(t).alias("n"), *((F.size(t) - F.size(F.array_remove(t, q))).alias(f"tf{i}") for i, q in enumerate(query)))
+    """BM25 over the whole table for a few terms (keys are unique); only counts are aggregated."""
+    words = df.select(key, F.explode_outer(tokens(text)).alias("t"))  # each text is split once; counts combine before they travel
+    rows = words.groupBy(key).agg(F.count("t").alias("n"), *(F.count_if(F.col("t") == q).alias(f"tf{i}") for i, q in enumerate(query)))
     about = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     score = F.lit(0.0)
     for i in range(len(query)):

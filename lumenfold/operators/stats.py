@@ -1,4 +1,4 @@
-"""Aggregations: overviews, histograms, facets, timelines, correlations, percentiles."""
+"""Aggregations: overviews, histograms, value counts, timelines, correlations, percentiles."""
 
 from __future__ import annotations
 
@@ -73,10 +73,10 @@ def pearson(df: DataFrame, group: str, target: str, metrics: list[str], least: i
     return rows.groupBy(group, "metric").agg(F.count("*").alias("n"), F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y")).alias("r")).where(F.col("n") >= least).withColumn("r", F.round(F.coalesce("r", F.lit(0.0)), DIGITS))
 
 
-def facet_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Value counts of several columns in one pass."""
-    rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))).alias("f")).select("f.*")
-    return rows.where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
+    rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns))).alias("f")).select("f.*")
+    return rows.where("value is not null").groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
 def metric_ranges(df: DataFrame, metrics: list[str], bins: int = 20) -> DataFrame:

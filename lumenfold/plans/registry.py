@@ -115,9 +115,9 @@ def category_overlap(s, d):
     return stats.rule_overlap(_t(s, d, "events"), {"high": F.col("value") >= 100, "click": F.col("event_type") == "click", "low_user": F.col("user_id") < 50, "night": F.hour("ts") < 6})
 
 
-@query("SELECT 'p_brand' AS facet, p_brand AS value, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY 2 UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY 2")
-def facet_counts(s, d):
-    return stats.facet_counts(_t(s, d, "part"), ["p_brand", "p_type", "p_size"])
+@query("SELECT 'p_brand' AS dimension, p_brand AS value, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY 2 UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY 2")
+def value_counts(s, d):
+    return stats.value_counts(_t(s, d, "part"), ["p_brand", "p_type", "p_size"])
 
 
 @query("SELECT tag, count(*) AS n FROM (SELECT DISTINCT p_partkey, trim(unnest(string_split(p_name, ' '))) AS tag FROM part) WHERE tag <> '' GROUP BY 1")
@@ -675,10 +675,10 @@ def aesthetic_axis(s, d):
     return e.select("vec_id", F.round(similarity.axis_score("embedding", list(e.where("vec_id = 7").first()["embedding"])), 6).alias("score"))
 
 
-@query("""WITH v AS (SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, l_returnflag AS u, CASE WHEN l_partkey <= l_suppkey THEN 'a' ELSE 'b' END AS w, l_orderkey * 10 + l_linenumber AS t FROM lineitem WHERE l_orderkey < 2000)
-SELECT a, b, u AS user, max(t) AS at, arg_max(w, t) AS winner FROM v GROUP BY 1, 2, 3""")
+@query("""WITH v AS (SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, l_returnflag AS u, CASE WHEN l_partkey <= l_suppkey THEN 'a' ELSE 'b' END AS w, l_orderkey * 10 + l_linenumber AS t FROM lineitem)
+SELECT a, b, u AS user, max(t) AS at, arg_max(w, (t, w)) AS winner FROM v GROUP BY 1, 2, 3""")
 def canonical_votes(s, d):
-    v = _t(s, d, "lineitem").where("l_orderkey < 2000").select("l_partkey", "l_suppkey", F.lit("a").alias("w"), F.col("l_returnflag").alias("user"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    v = _t(s, d, "lineitem").select("l_partkey", "l_suppkey", F.lit("a").alias("w"), F.col("l_returnflag").alias("user"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
     return learning.canonical_votes(v, "l_partkey", "l_suppkey", "w", "user", "at").select("a", "b", "user", "at", "winner")
 
 
@@ -700,13 +700,13 @@ def score_critique(s, d):
     return scoring.critique(p, "p_partkey", ["score", "size"], {"score": 0.6, "size": 0.4}).select("p_partkey", "metric", "contribution", "verdict")
 
 
-@query("""WITH e AS (SELECT event_id, user_id % 10 AS g1, hour(ts) AS g2, value FROM events), a AS (SELECT *, count(*) OVER (PARTITION BY g1) AS n, max(value) OVER (PARTITION BY g1) AS best, row_number() OVER (PARTITION BY g1 ORDER BY value DESC, event_id) AS r FROM e WHERE g1 < 5),
-d1 AS (SELECT event_id, r <= 1 OR value >= best - 5 AS keep FROM a WHERE n >= 2), b AS (SELECT *, count(*) OVER (PARTITION BY g2) AS n FROM e WHERE g2 < 12 AND event_id NOT IN (SELECT event_id FROM d1)), c AS (SELECT *, max(value) OVER (PARTITION BY g2) AS best, row_number() OVER (PARTITION BY g2 ORDER BY value DESC, event_id) AS r FROM b WHERE n >= 2)
+@query("""WITH e AS (SELECT event_id, CASE WHEN value >= 20 THEN user_id END AS g1, hour(ts) AS g2, value FROM events), a AS (SELECT *, count(*) OVER (PARTITION BY g1) AS n, max(value) OVER (PARTITION BY g1) AS best, row_number() OVER (PARTITION BY g1 ORDER BY value DESC, event_id) AS r FROM e WHERE g1 IS NOT NULL),
+d1 AS (SELECT event_id, r <= 1 OR value >= best - 5 AS keep FROM a WHERE n >= 2), b AS (SELECT *, count(*) OVER (PARTITION BY g2) AS n FROM e WHERE event_id NOT IN (SELECT event_id FROM d1)), c AS (SELECT *, max(value) OVER (PARTITION BY g2) AS best, row_number() OVER (PARTITION BY g2 ORDER BY value DESC, event_id) AS r FROM b WHERE n >= 2)
 SELECT * FROM d1 UNION ALL SELECT event_id, r <= 1 OR value >= best - 5 FROM c""")
 def auto_cull(s, d):
     e = _t(s, d, "events")
-    first = e.where("user_id % 10 < 5").select("event_id", (F.col("user_id") % 10).alias("g"), "value")
-    second = e.where(F.hour("ts") < 12).select("event_id", F.hour("ts").cast("long").alias("g"), "value")
+    first = e.where("value >= 20").select("event_id", F.col("user_id").alias("g"), "value")
+    second = e.select("event_id", F.hour("ts").cast("long").alias("g"), "value")
     return culling.auto_cull([first, second], "event_id", "g", "value", 0.0)
 
 
