@@ -94,11 +94,12 @@ def hue_saturation(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(top > low, hue, 0.0), np.where(top > 0, (top - low) / np.maximum(top, 1e-9), 0.0)
 
 
-def colour_entropy(image: np.ndarray, bins: int = 36) -> float:
+def colour_entropy(image: np.ndarray, bins: tuple[int, int] = (180, 256)) -> float:
+    """Bits of the joint histogram of hue (half degrees of a turn) and saturation."""
     hue, sat = hue_saturation(image)
-    n = np.histogram(hue, bins, (0, 360), weights=sat)[0]
+    n = np.histogram2d(np.floor(hue / 2).ravel(), np.rint(sat * 255).ravel(), bins, ((0, bins[0]), (0, bins[1])))[0]
     p = n[n > 0] / max(n.sum(), 1e-9)
-    return float(-(p * np.log2(p)).sum())
+    return float(-(p * np.log2(p)).sum()) + 0.0
 
 
 def modal_hue(image: np.ndarray) -> float:
@@ -106,19 +107,20 @@ def modal_hue(image: np.ndarray) -> float:
     return float(np.histogram(hue, 36, (0, 360), weights=sat)[0].argmax() * 10 + 5)
 
 
-def is_monochrome(image: np.ndarray, most: float = 0.05) -> bool:
+def is_monochrome(image: np.ndarray, most: float = 0.1) -> bool:
     return bool(hue_saturation(image)[1].mean() < most)
 
 
 def contrast(image: np.ndarray) -> float:
+    """0 to 10: five times the spread between the 5th and 95th percentile and twenty times the standard deviation."""
     g = grey(image)
-    return float((np.percentile(g, 95) - np.percentile(g, 5)) / 255 * 0.5 + g.std() / 127.5 * 0.5)
+    return float(min(10.0, (np.percentile(g, 95) - np.percentile(g, 5)) / 255 * 5 + g.std() / 255 * 20))
 
 
 def dynamic_range(image: np.ndarray) -> float:
-    """Stops between the darkest and brightest half percent."""
-    lo, hi = np.percentile(grey(image), [0.5, 99.5])
-    return float(np.log2((hi + 1) / (lo + 1)))
+    """Stops between the 2nd and the 98th percentile, neither below 1."""
+    lo, hi = np.percentile(grey(image), [2, 98])
+    return float(np.log2(max(hi, 1) / max(lo, 1)))
 
 
 def symmetry(image: np.ndarray) -> float:

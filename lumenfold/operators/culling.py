@@ -45,7 +45,7 @@ def auto_cull(groups: list[DataFrame], key: str, group: str, score: str, strictn
     return decided
 
 
-def mmr(df: DataFrame, group: str, key: str, vector: str, score: str, k: int, balance: float = 0.7) -> DataFrame:
+def mmr(df: DataFrame, group: str, key: str, vector: str, score: str, k: int, balance: float = 0.5) -> DataFrame:
     """Greedy selection by quality less similarity to what is chosen already; rows without a vector come last."""
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -53,6 +53,8 @@ def mmr(df: DataFrame, group: str, key: str, vector: str, score: str, k: int, ba
         has = pdf[vector].map(lambda v: v is not None and len(v) > 0 and np.isfinite(np.asarray(v, float)).all() and np.any(v)).to_numpy(bool)
         q = pdf[score].fillna(0).to_numpy(float)
         q = (q - q.min()) / (q.max() - q.min()) if q.max() > q.min() else np.ones(len(q))
+        lengths = pdf[vector][has].map(len)
+        has &= pdf[vector].map(lambda v: v is not None and len(lengths) > 0 and len(v) == lengths.mode().min()).to_numpy(bool)  # one dimension
         rows = np.flatnonzero(has)
         out: list[int] = []
         if len(rows):

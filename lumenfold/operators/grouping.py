@@ -64,7 +64,7 @@ def bracket_base(df: DataFrame, group: str, ts: str, tie: str, ev: str, clipped:
     return df.join(base, group).withColumn("ev_offset", F.col("base_ev") - F.col(ev))
 
 
-def burst_runs(df: DataFrame, ts: str, key: str, phash: str, person: str | None = None, window_s: float = 30.0, rapid_s: float = 2.0, bits: int = 16) -> DataFrame:
+def burst_runs(df: DataFrame, ts: str, key: str, phash: str, person: str | None = None, window_s: float = 3600.0, rapid_s: float = 5.0, bits: int = 7) -> DataFrame:
     """Chronological runs: a frame joins if it is near any member of the current run.
 
     Rows are first cut where the gap exceeds the window, which no link can span, so each coarse part is a group
@@ -181,47 +181,90 @@ def split_scene(times: np.ndarray, most: int) -> list[np.ndarray]:
     return split_scene(times[:at], most) + [at + part for part in split_scene(times[at:], most)]
 
 
-def viterbi(log_p: np.ndarray, dt: np.ndarray, weight: float = 1.0, stay: float = 0.9, half_life: float = 600.0) -> tuple[np.ndarray, np.ndarray]:
-    """Most probable label path and posteriors; transitions soften with the time between frames."""
+def transitions(n: int, stay: float = 0.6, forward: float = 0.3, floor: float = 0.01) -> np.ndarray:
+    """Probabilities between labels in their usual order: most stay, some go on to the next one."""
+    m = np.full((n, n), floor) + np.eye(n) * stay + np.eye(n, k=1) * forward
+    return m / m.sum(1, keepdims=True)
+
+
+def viterbi(log_p: np.ndarray, log_step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Most probable label path and posteriors of a segment's frames, in log space."""
     n, k = log_p.shape
     if n == 0:
         return np.zeros(0, int), np.zeros((0, k))
-
-    def transition(gap: float) -> np.ndarray:
-        s = 1 / k + (stay - 1 / k) * 0.5 ** (gap / half_life)
-        m = np.full((k, k), (1 - s) / max(1, k - 1))
-        np.fill_diagonal(m, s)
-        return weight * np.log(np.maximum(m, 1e-12))
-
     best, back = log_p[0].copy(), np.zeros((n, k), int)
     ahead = [log_p[0].copy()]
     for t in range(1, n):
-        m = transition(dt[t])
-        score = best[:, None] + m
+        score = best[:, None] + log_step
         back[t] = score.argmax(0)
         best = score.max(0) + log_p[t]
-        ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + m, axis=0) + log_p[t])
+        ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + log_step, axis=0) + log_p[t])
     path = [int(best.argmax())]
     for t in range(n - 1, 0, -1):
         path.append(int(back[t][path[-1]]))
     behind = [np.zeros(k)]
     for t in range(n - 1, 0, -1):
-        behind.append(np.logaddexp.reduce(transition(dt[t]) + (log_p[t] + behind[-1])[None, :], axis=1))
+        behind.append(np.logaddexp.reduce(log_step + (log_p[t] + behind[-1])[None, :], axis=1))
     joint = np.stack(ahead) + np.stack(behind[::-1])
     return np.asarray(path[::-1]), np.exp(joint - np.logaddexp.reduce(joint, axis=1, keepdims=True))
 
 
-def smooth_moments(df: DataFrame, by: list[str], ts: str, key: str, probabilities: str, labels: list[str], weight: float = 1.0) -> DataFrame:
-    """Smoothed label and confidence of each row; segments (``by``) are cut at long gaps beforehand."""
+def smooth_moments(df: DataFrame, by: list[str], ts: str, key: str, probabilities: str, labels: list[str], weight: float = 0.5, gap_s: float = 6 * 3600) -> DataFrame:
+    """Smoothed label and confidence of each row with probabilities; gaps of more than ``gap_s`` cut segments, each of
+    which is one group.  A weight of 0 leaves each frame to itself."""
+    log_step = weight * np.log(transitions(len(labels)) + 1e-9)
+    cut = gap_sessions(df.where(F.col(probabilities).isNotNull()), by, ts, key, gap_s, "_segment")
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, key], kind="stable")
-        p = np.log(np.maximum(np.stack(pdf[probabilities].to_numpy()).astype(float), 1e-12))
-        t = pd.to_datetime(pdf[ts]).astype("int64").to_numpy() / 1e9
-        path, post = viterbi(p, np.diff(t, prepend=t[0]), weight)
+        path, post = viterbi(np.log(np.stack(pdf[probabilities].to_numpy()).astype(float) + 1e-9), log_step)
         return pd.DataFrame({key: pdf[key].to_numpy(), "moment": [labels[k] for k in path], "confidence": post[np.arange(len(path)), path]})
 
-    return df.groupBy(*by).applyInPandas(smooth, f"{key} {dict(df.dtypes)[key]}, moment string, confidence double")
+    return cut.groupBy(*by, "_segment").applyInPandas(smooth, f"{key} {dict(df.dtypes)[key]}, moment string, confidence double")
+
+
+def moment_boundaries(labels: list[str | None], least: int) -> list[int]:
+    """Where a new label begins that lasts ``least`` frames, after as many frames of the part before."""
+    out, i = [0], 1
+    while i < len(labels) and least >= 1 and len(labels) >= 2 * least:
+        lasts = 0
+        if labels[i] is not None and labels[i] != labels[i - 1]:
+            while i + lasts < len(labels) and labels[i + lasts] == labels[i]:
+                lasts += 1
+        if lasts >= least and i - out[-1] >= least:
+            out.append(i)
+        i += max(1, lasts) if lasts >= least and out[-1] == i else 1
+    return out
+
+
+def built_scenes(df: DataFrame, by: list[str], ts: str, key: str, score: str, moment: str, confidence: str, least_run: int = 3, most: int = 60, least: int = 2) -> DataFrame:
+    """Scenes in order: gaps of time, then lasting changes of moment, then size; number of photos, bounds, best photo, and the
+    moment that weighs most with its share.  Each stretch between gaps is one group."""
+    rows = df.join(adaptive_gap(df, by, ts), by, "left")
+    w = Window.partitionBy(*by).orderBy(ts, key)
+    rows = rows.withColumn("_new", F.coalesce((seconds(ts) - F.lag(seconds(ts)).over(w) > F.coalesce("gap_s", F.lit(1200.0))).cast("int"), F.lit(0))).withColumn("_run", F.sum("_new").over(w))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([ts, key], kind="stable").reset_index(drop=True)
+        times = pd.to_datetime(pdf[ts]).astype("int64").to_numpy()
+        names = [m if isinstance(m, str) else None for m in pdf[moment]]
+        cuts, found = [*moment_boundaries(names, least_run), len(pdf)], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for part in split_scene(times[a:b], most):
+                own = pdf.iloc[a + part]
+                if len(own) < least:
+                    continue
+                weight: dict[str, float] = {}
+                for m, c in zip(own[moment], own[confidence], strict=True):
+                    if isinstance(m, str):
+                        weight[m] = weight.get(m, 0.0) + (0.5 if c != c else c)
+                top = min(weight, key=lambda m: (-round(weight[m], 9), m), default=None)
+                best = own.assign(_s=own[score].fillna(-1.0)).sort_values(["_s", key], ascending=[False, True], kind="stable")[key].iloc[0]
+                found.append([*(own[c].iloc[0] for c in by), len(own), own[ts].iloc[0], own[ts].iloc[-1], best, top, round(weight[top] / sum(weight.values()), 3) if top and sum(weight.values()) else None])
+        return pd.DataFrame(found, columns=[*by, "n", "start", "end", "best", "moment", "share"])
+
+    kinds = dict(df.dtypes)
+    return rows.groupBy(*by, "_run").applyInPandas(build, ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", n bigint, start timestamp, end timestamp, best {kinds[key]}, moment string, share double")
 
 
 def split_scenes(df: DataFrame, by: list[str], ts: str, key: str, most: int = 60) -> DataFrame:

@@ -92,3 +92,52 @@ def critique(df: DataFrame, key: str, metrics: list[str], share: Mapping[str, fl
     """Contribution and verdict of each metric."""
     rows = df.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(share.get(m, 0.0))).alias("weight")) for m in metrics))).alias("m")).select(key, "m.*")
     return rows.withColumn("contribution", F.round(F.col("value") * F.col("weight"), 4)).withColumn("verdict", F.when(F.col("value") >= 7.5, "strength").when(F.col("value") < 5, "weakness"))
+
+
+# --- Fixed values: thresholds and sizes of penalties, value bounds of metrics ---------------------------------
+LEADING_LINES_BLEND = 0.3
+VALUE_BOUNDS = {"iso": 1e7, "f_stop": 100.0, "focal": 3000.0}
+# -------------------------------------------------------------------------------------------------------------
+
+
+def metric_vector(raw: Mapping[str, Column], defaults: Mapping[str, float]) -> dict[str, Column]:
+    """Every metric that weights may name, from 0 to 10; one that is missing or not finite takes its default."""
+    out = {}
+    for name, default in defaults.items():
+        c = raw.get(name)
+        if c is None:
+            out[name] = F.lit(float(default))
+            continue
+        v = c.cast("double")
+        out[name] = clamp(F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v).otherwise(float(default)))
+    return out
+
+
+def composition(power_points: Column, leading_lines: Column) -> Column:
+    """Composition with leading lines blended in where there are any."""
+    lines = F.coalesce(leading_lines, F.lit(0.0))
+    return F.when(lines > 0, (1 - LEADING_LINES_BLEND) * power_points + LEADING_LINES_BLEND * lines).otherwise(power_points)
+
+
+def recomputed(df: DataFrame, key: str, rules: Mapping[str, Column], priority: tuple[str, ...], share: Mapping[str, Mapping[str, float]], metrics: Mapping[str, Column], blink: Column, minus: Column, override: str | None = None) -> DataFrame:
+    """The whole chain in one projection: category by priority, that category's weights, aggregate."""
+    kind = category(rules, promote=priority, override=override)
+    rows = df.withColumn("_kind", kind)
+    score = F.lit(None).cast("double")
+    for name, percent in share.items():
+        score = F.when(F.col("_kind") == name, aggregate_score(metrics, weights(percent), blink, None, minus)).otherwise(score)
+    return rows.withColumn("_score", F.coalesce(score, aggregate_score(metrics, weights(share["default"]), blink, None, minus))).select(key, F.col("_kind").alias("category"), F.round("_score", 4).alias("aggregate"))
+
+
+def changed(old: DataFrame, new: DataFrame, key: str, least: float = 0.005) -> DataFrame:
+    """Rows whose stored aggregate or category the new figures would change."""
+    o = old.select(key, F.col("category").alias("_c"), F.col("aggregate").alias("_a"))
+    moved = ~F.col("category").eqNullSafe(F.col("_c")) | F.coalesce(F.abs(F.col("aggregate") - F.col("_a")) >= least, F.lit(True))
+    return new.join(o, key).where(moved).select(*new.columns)
+
+
+def suggested_bounds(df: DataFrame, group: str, metrics: list[str], low: float = 0.1, high: float = 0.9, least: int = 20) -> DataFrame:
+    """Ranges that hold the middle of each category's metrics, as rules to start from; percentiles are approximate
+    sketches of bounded size that merge, so no category is gathered."""
+    rows = df.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("m")).select(group, "m.*").where("v is not null")
+    return rows.groupBy(group, "metric").agg(F.count("*").alias("n"), F.percentile_approx("v", [low, high], 10_000).alias("p")).where(F.col("n") >= least).select(group, "metric", "n", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))

@@ -143,3 +143,47 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, centres: DataFrame, g
     """The closest of a small table of centroids, if it is close enough."""
     s = df.select(key, vector).join(F.broadcast(centres), F.lit(True)).select(key, group, exprs.cosine(vector, "centroid").alias("score"))
     return s.groupBy(key).agg(F.min_by(group, F.struct(-F.col("score"), F.col(group))).alias(group), F.max("score").alias("score")).where(F.col("score") >= least)
+
+
+def person_similar(faces: DataFrame, photos: DataFrame, photo: int, key: str, vector: str, least: float, k: int) -> DataFrame:
+    """Photos that share a person with a given one score 1, newest first; where it shows nobody known, photos score by
+    the closest pair of faces."""
+    own = faces.where(F.col(key) == photo)
+    people = own.where(F.col("person").isNotNull()).select("person").distinct()
+    if not people.isEmpty():
+        hit = faces.where(F.col(key) != photo).join(people, "person", "left_semi").select(key).distinct()
+        return photos.join(hit, key, "left_semi").select(key, F.lit(1.0).alias("score"), "taken").orderBy(F.col("taken").desc(), key).limit(k).select(key, "score")
+    mine = own.agg(F.slice(F.collect_list(vector), 1, 64).alias("_own"))  # the faces of one photo
+    best = F.array_max(F.transform("_own", lambda v: exprs.cosine(F.col(vector), v)))
+    scored = faces.where(F.col(key) != photo).crossJoin(F.broadcast(mine)).select(key, best.alias("s")).groupBy(key).agg(F.round(F.max("s"), 6).alias("score"))
+    return scored.where(F.col("score") >= least).orderBy(F.col("score").desc(), key).limit(k)
+
+
+def distortions(scored: DataFrame, key: str, temperature: float, least: float, k: int) -> DataFrame:
+    """Attributes from cosines with opposite prompts (key, attribute, positive, negative): a sigmoid of their
+    difference; the k most likely above a threshold."""
+    p = F.round(1 / (1 + F.exp(-(F.col("positive") - F.col("negative")) / temperature)), 6)
+    rows = scored.select(key, "attribute", p.alias("p")).where(F.col("p") >= least)
+    w = Window.partitionBy(key).orderBy(F.col("p").desc(), "attribute")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def merge_groups(edges: DataFrame, components) -> DataFrame:
+    """Groups of people to merge: members, and the least, largest and mean score of the direct edges alone."""
+    member = components(edges.select("a", "b")).select("node", "component")
+    size = member.groupBy("component").agg(F.count("*").alias("members"))
+    inside = edges.join(member.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.count("*").alias("edges"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"), F.round(F.avg("score"), 6).alias("mean"))
+    return size.join(inside, "component")
+
+
+def without_rejected(pairs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Suggested pairs less those that somebody has turned down, in either order."""
+    no = rejected.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(no, ["a", "b"], "left_anti")
+
+
+def postings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """An inverted index to be stored: term, key, occurrences, and the text's number of terms."""
+    words = df.select(key, F.explode(tokens(text)).alias("term"))
+    sizes = words.groupBy(key).agg(F.count("*").alias("size"))
+    return words.groupBy("term", key).agg(F.count("*").alias("tf")).join(sizes, key).select("term", key, "tf", "size")

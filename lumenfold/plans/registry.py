@@ -4,28 +4,16 @@ Each entry pairs a function (spark, folder) -> DataFrame with SQL for the same r
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import exprs, images
 from lumenfold.operators import culling, filters, grouping, learning, persons, quality, scoring, similarity, stats, windows
+from lumenfold.plans import photos
+from lumenfold.plans.catalog import ORACLES, QUERIES, query
 from lumenfold.sources import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
+__all__ = ["ORACLES", "QUERIES", "photos"]
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
     return tables.table(s, d, name)
