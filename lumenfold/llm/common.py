@@ -36,10 +36,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (tests, local runs)."""
+    """The shared folder named by the session; a temporary one only where none is set and all is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     made = tempfile.mkdtemp(prefix="lumenfold-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

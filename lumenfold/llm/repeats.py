@@ -12,7 +12,8 @@ sorting all suffixes at once, buckets are refined where they are still undecided
 
 At each level, equal whole texts decide all strings of a record (all repeated) and a unique common text decides
 them the other way (none is); only the rest goes on, together with one witness of each decided class that
-shares a bucket with undecided ones.  Sorting happens on 128-bit keys (common, whole).
+shares a bucket with undecided ones.  Sorting happens on pairs of 64-bit keys; on the first two levels both come from
+one hash, so equality there rests on 64 bits, and on the last level on two independent ones of 64 bits each.
 
 Within an Arrow batch equal keys are merged before they travel, and a bucket with many different records in
 one batch is declared undecided on the spot, so no task gathers more than a few entries of a bucket and batch.
