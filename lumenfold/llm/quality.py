@@ -98,7 +98,7 @@ class Importance:
         return 1 / (1 + F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), -(F.lit(self.curve[0]) * F.asinh(weight) + F.lit(self.curve[1]))))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5) -> tuple[float, float]:
     """Slope and offset of the weighted logistic curve through values x and classes y."""
     w, weight = np.zeros(2), weight / weight.sum()
     design = np.stack([x, np.ones(len(x))], 1)
