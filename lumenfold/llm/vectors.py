@@ -37,6 +37,8 @@ from lumenfold.llm.common import components, map_batches, prepare, stage, table,
 PLANES, BLOCK_BYTES = 3, 16 << 20
 #: Pairs that a task may decide before the streamed side is dealt into more parts.
 TASK_PAIRS = 1 << 33
+#: Pairs below which more parts, for more tasks at once, are not worth their copies of the residents.
+FEW_PAIRS = 1 << 25
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -75,18 +77,25 @@ class Planes:
         turned = unit @ rotation(unit.shape[1]).T
         top = (1 << PLANES) - 1
         self.low = turned.min(1)
-        self.step = np.maximum((turned.max(1) - self.low) / top, 1e-300)
+        self.step = np.maximum((turned.max(1) - self.low) / top, 1e-6)
         grid = np.clip(np.rint((turned - self.low[:, None]) / self.step[:, None]), 0, top).astype(np.uint8)
         near = self.low[:, None] + self.step[:, None] * grid
         self.sum, self.off = near.sum(1), np.sqrt(((turned - near) ** 2).sum(1)) + 1e-9
         self.words = [_words((grid >> k) & 1 == 1) for k in range(PLANES)]
 
     def counts(self, codes: Codes, rows: slice) -> np.ndarray:
-        """Sum of the grid values of each query over the ones of each code."""
-        out = np.zeros((len(codes.words[rows]), len(self.low)), np.uint16 if codes.dim << PLANES < 1 << 16 else np.uint32)
-        for k, plane in enumerate(self.words):
+        """Sum of the grid values of each query over the ones of each code, highest plane first."""
+        out = None
+        for plane in reversed(self.words):
+            if out is not None:
+                out = out.astype(np.uint16 if codes.dim << PLANES < 1 << 16 else np.uint32) if codes.dim << PLANES >= 256 else out
+                out <<= 1
             for w in range(plane.shape[1]):
-                out += np.bitwise_count(codes.words[rows, w][:, None] & plane[None, :, w]).astype(out.dtype) << k
+                ones = np.bitwise_count(codes.words[rows, w, None] & plane[None, :, w])
+                if out is None:
+                    out = ones if codes.dim < 256 else ones.astype(np.uint16 if codes.dim << PLANES < 1 << 16 else np.uint32)
+                else:
+                    out += ones
         return out
 
 
@@ -99,18 +108,18 @@ def estimates(codes: Codes, planes: Planes) -> tuple[np.ndarray, np.ndarray, np.
     return c / codes.factor[:, None], np.cos(np.minimum(np.pi, most + own)), np.cos(np.maximum(0, least - own))
 
 
-def links(codes: Codes, a: np.ndarray, b: np.ndarray, threshold: float, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, int]:
+def links(codes: Codes, a: np.ndarray, b: np.ndarray, threshold: float, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, int]:
     """Positions (i, j) with cosine of at least ``threshold`` between unit rows of ``a`` (coded) and ``b``, and the
     number of pairs whose bound made an exact computation necessary."""
     planes, found, tried = Planes(b), [], 0
-    # the bound as a smallest count: (2 (low ones + step n) - sum) / sqrt(D) + off >= least
-    least = codes.least(threshold)
+    # the bound as a smallest count: (2 (low ones + step n) - sum) / sqrt(D) + off >= least, as one small product
+    scale = 1 / (2 * planes.step)
+    of_codes = np.stack([codes.least(threshold) * np.sqrt(codes.dim), np.ones(len(a)), codes.ones], 1).astype(np.float32)
+    of_planes = np.stack([scale, (planes.sum - planes.off * np.sqrt(codes.dim)) * scale, -planes.low / planes.step]).astype(np.float32)
+    of_planes[1] -= np.float32(1e-5) * np.abs(of_planes).max(0)  # single precision: the bound only gets looser
     step = max(1, cells // max(1, len(b)))
-    scale, shift = 1 / (2 * planes.step), planes.sum - planes.off * np.sqrt(codes.dim)
     for at in range(0, len(a), step):
-        rows = slice(at, at + step)
-        need = (least[rows, None] * np.sqrt(codes.dim) + shift) * scale - (planes.low / planes.step) * codes.ones[rows, None]
-        i, j = np.nonzero(planes.counts(codes, rows) >= need)
+        i, j = np.nonzero(planes.counts(codes, slice(at, at + step)) >= of_codes[at : at + step] @ of_planes)
         tried += len(i)
         for k in range(0, len(i), 1 << 16):
             x, y = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
@@ -150,25 +159,31 @@ def _tiles(threshold: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]],
         tile = codes = None
         rest: list[tuple] = []
         resident = np.zeros((0, 0))
-        nodes = sizes = np.zeros(0, np.int64)
+        nodes = sizes = label = count = np.zeros(0, np.int64)
 
         def rows(node, least, n):
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(least), pa.array(n.astype(np.int64))], names=["node", "least", "n"])
 
         def met(own: np.ndarray, node: np.ndarray, size: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal label
             i, j, _ = links(codes, resident, vectors, threshold)
             off = nodes[i] != node[j]
             i, j = i[off], j[off]
             if not len(i):
                 return
-            every, place = np.unique(np.concatenate([nodes, node]), return_inverse=True)
-            left, right = place[: len(nodes)][i], place[len(nodes) :][j]
-            n = np.bincount(left, weights=size[j], minlength=len(every))
+            np.add(count, np.bincount(i, weights=size[j], minlength=len(nodes)).astype(np.int64), out=count)
             other = own[j] == 0  # within a block each of a pair is streamed to the other; else it meets once
-            n += np.bincount(right[other], weights=sizes[i[other]], minlength=len(every))
-            label = _forest(len(every), left, right)
-            hit = np.unique(np.concatenate([left, right]))
-            yield rows(every[hit], every[label[hit]], n[hit])
+            n = np.bincount(j[other], weights=sizes[i[other]], minlength=len(node))
+            every = _forest(len(nodes) + len(node), np.concatenate([i, np.arange(len(nodes))]), np.concatenate([len(nodes) + j, label]))
+            label = every[: len(nodes)]
+            hit = np.unique(j)
+            yield rows(node[hit], nodes[every[len(nodes) + hit]], n[hit])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            """What the residents of a tile have met: one row each, however many met them."""
+            hit = np.flatnonzero(count)
+            if codes is not None and len(hit):
+                yield rows(nodes[hit], nodes[label[hit]], count[hit])
 
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "own", "node", "size")]
@@ -176,6 +191,7 @@ def _tiles(threshold: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]],
             edge = np.flatnonzero(np.diff(columns[0])) + 1
             for x, y in zip([0, *edge.tolist()], [*edge.tolist(), len(raw)], strict=True):
                 if columns[0][x] != tile:
+                    yield from done()
                     tile, codes, rest = columns[0][x], None, []
                 own = columns[1][x:y]
                 cut = x + int(np.searchsorted(own, 0))  # residents first
@@ -185,8 +201,9 @@ def _tiles(threshold: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]],
                     if codes is None:
                         nodes, sizes = (np.concatenate([r[k] for r in rest]) for k in (0, 1))
                         resident = _unit([v for r in rest for v in r[2]], kind)
-                        codes = Codes(resident)
-                    yield from met(columns[1][cut:y], columns[2][cut:y], columns[3][cut:y], _unit(raw[cut:y], kind))
+                        codes, label, count = Codes(resident), np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+                    yield from met(own[cut - x :], columns[2][cut:y], columns[3][cut:y], _unit(raw[cut:y], kind))
+        yield from done()
 
     return run
 
@@ -222,7 +239,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int | No
     about = units.agg(F.count("*"), F.max("dim")).first()
     block = block or max(256, BLOCK_BYTES // (8 * max(1, about[1] or 1)))
     blocks = max(1, -(-about[0] // block))
-    parts = max(-(-about[0] * block // TASK_PAIRS), -(-2 * partitions // blocks))
+    pairs = about[0] * min(block, about[0])
+    parts = max(1, -(-pairs // TASK_PAIRS), min(-(-2 * partitions // blocks), -(-pairs // FEW_PAIRS)))
     own = units.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("long")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(parts)).cast("long"))
     span = lambda a, b: F.sequence(F.lit(a).cast("long"), b if not isinstance(b, int) else F.lit(b).cast("long"))
     settled = F.transform(span(0, parts - 1), lambda p: F.struct(F.col("block").alias("x"), p.alias("y"), F.lit(-1).alias("own")))
