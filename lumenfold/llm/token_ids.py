@@ -39,7 +39,8 @@ def _encoder(path: str, cache: int):
 
     A single space between two characters that are not white space always starts a new pre-token of this
     family of tokenizers, so texts are cut there and each distinct piece is encoded once, many in one call
-    with a special token between them.  Texts with white space of any other form go to the library whole.
+    with a special token between them.  So does a mark that follows a letter: a piece of Latin letters with plain marks
+    behind is made of the ids of both, and only the letters are learnt.  Texts with white space of any other form go to the library whole.
     At most twice ``cache`` pieces are remembered.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,18 +60,28 @@ def _encoder(path: str, cache: int):
     def whole(text: str) -> bytes:
         return np.asarray(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
-    heads = Bounded(whole, 50_000)
+    heads, tails = Bounded(whole, 50_000), Bounded(whole, 50_000)
+    marked = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#%&*$()\\-]+)")
 
     def learn(pieces: list[str]) -> None:
         nonlocal young, old
         if len(young) + len(pieces) > cache:
             young, old = {}, young
-        new = []
+        new, composed, stems = [], [], set()
         for p in pieces:
-            if (v := old.get(p)) is None:
-                new.append(p)
-            else:
+            if (v := old.get(p)) is not None:
                 young[p] = v
+            elif m := marked.fullmatch(p):
+                composed.append((p, *m.groups()))
+                stems.add(m[1])
+            else:
+                new.append(p)
+        for p in stems.difference(new):
+            if p not in young:
+                if (v := old.get(p)) is not None:
+                    young[p] = v
+                else:
+                    new.append(p)
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             ids = np.asarray(tok.encode_batch_fast([" " + (mark + " ").join(part) + mark], add_special_tokens=False)[0].ids, kind)
@@ -80,19 +91,20 @@ def _encoder(path: str, cache: int):
             for p, end in zip(part, ends.tolist(), strict=True):
                 young[p] = packed[at * w : end * w]
                 at = end + 1
+        for p, stem, tail in composed:
+            young[p] = young[stem] + tails[tail]
 
     def encode(texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(texts), 256):
             missing: set[str] = set()
-            cut, get = [], young.get
+            cut = []
             for text in texts[k : k + 256]:
                 if odd(text):
                     cut.append(whole(text))
                     continue
                 pieces = text.split(" ")
-                if None in map(get, pieces[1:]):
-                    missing.update(p for p in pieces[1:] if p not in young)
+                missing.update(set(pieces[1:]).difference(young))
                 cut.append(pieces)
             found = young
             if missing:
@@ -106,7 +118,7 @@ def _encoder(path: str, cache: int):
     return encode, kind
 
 
-def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = END_ID, partition_bytes: int = 8 << 20, cache: int = 450_000) -> None:
+def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = END_ID, partition_bytes: int = 8 << 20, cache: int = 700_000) -> None:
     """Encode ``docs`` (doc_id, text) and write ORC files whose rows ascend by doc_id over the files' order.
 
     The range partitioning comes before the encoding, so that sampling its bounds reads texts but encodes
