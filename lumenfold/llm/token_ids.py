@@ -14,6 +14,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ def _encoder(path: str, cache: int):
     A single space between two characters that are not white space always starts a new pre-token of this
     family of tokenizers, so texts are cut there and each distinct piece is encoded once, many in one call
     with a special token between them.  So does a mark that follows a letter: a piece of Latin letters with plain marks
-    behind is made of the ids of both, and only the letters are learnt.  Texts with white space of any other form go to the library whole.
+    behind is made of the ids of both, and only the letters are learnt.  Latin letters behind a space are one pre-token,
+    so they go to the library's model directly.  Texts with white space of any other form go to the library whole.
     At most twice ``cache`` pieces are remembered.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,29 +63,40 @@ def _encoder(path: str, cache: int):
         return np.asarray(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
     heads, tails = Bounded(whole, 50_000), Bounded(whole, 50_000)
-    marked = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#%&*$()\\-]+)")
+    marked = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#%&*$()\\-]*)")
+    model, code = tok.model, "H" if kind is np.uint16 else "I"
+    # byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    byte_level = {b: 256 + n for n, b in enumerate(hidden)}
 
     def learn(pieces: list[str]) -> None:
         nonlocal young, old
         if len(young) + len(pieces) > cache:
             young, old = {}, young
-        new, composed, stems = [], [], set()
+        new, words, composed, stems = [], [], [], set()
         for p in pieces:
             if (v := old.get(p)) is not None:
                 young[p] = v
             elif m := marked.fullmatch(p):
-                composed.append((p, *m.groups()))
-                stems.add(m[1])
+                if m[2]:
+                    composed.append((p, *m.groups()))
+                    stems.add(m[1])
+                else:
+                    words.append(p)
             else:
                 new.append(p)
-        for p in stems.difference(new):
+        for p in stems.difference(words):
             if p not in young:
                 if (v := old.get(p)) is not None:
                     young[p] = v
                 else:
-                    new.append(p)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
+                    words.append(p)
+        for p in words:
+            found = model.tokenize((" " + p).encode().decode("latin-1").translate(byte_level))
+            young[p] = array(code, [t.id for t in found]).tobytes()
+        for k in range(0, len(new), 256):
+            part = new[k : k + 256]
             ids = np.asarray(tok.encode_batch_fast([" " + (mark + " ").join(part) + mark], add_special_tokens=False)[0].ids, kind)
             ends = np.flatnonzero(ids == mark_id)
             packed, w = ids.tobytes(), kind().itemsize
