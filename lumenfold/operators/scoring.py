@@ -78,7 +78,7 @@ def normalised(df: DataFrame, group: str, value: str, by_group: DataFrame, overa
     g = by_group.select(group, F.col(percentile).alias("_g"))
     o = overall.select(F.col(percentile).alias("_o"))
     p = F.coalesce("_g", "_o")
-    out = df.join(F.broadcast(g), group, "left").crossJoin(F.broadcast(o))
+    out = df.join(g, group, "left").crossJoin(F.broadcast(o))  # the overall one is a single row
     return out.withColumn(f"{value}_norm", F.when(F.coalesce(p, F.lit(0.0)) == 0, F.col(value)).otherwise(clamp(F.col(value) / p * 10))).drop("_g", "_o")
 
 

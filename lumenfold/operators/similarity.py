@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,9 +112,17 @@ def hybrid(vectors: DataFrame, texts: DataFrame, key: str, k: int) -> DataFrame:
     return v.join(t, key, "full").select(key, F.round(0.7 * F.coalesce("v", F.lit(0.0)) + 0.3 * F.coalesce("t", F.lit(0.0)), 6).alias("score")).orderBy(F.col("score").desc(), key).limit(k)
 
 
+def against_all(df: DataFrame, given: DataFrame, key: str, at_once: int = 10_000) -> DataFrame:
+    """Each row beside every row of a small given table, which is broadcast in slices of about ``at_once`` rows by a
+    hash of its ``key``; a larger table takes more slices, so what is broadcast has a bound."""
+    slices = max(1, -(-given.count() // at_once))
+    parts = (given.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i) if slices > 1 else given for i in range(slices))
+    return reduce(DataFrame.unionAll, (df.join(F.broadcast(part), F.lit(True)) for part in parts))
+
+
 def zero_shot(df: DataFrame, key: str, vector: str, prompts: DataFrame, pool: str = "max") -> DataFrame:
     """Pooled cosine of each row with the prompts (label, prompt) of each label; prompts are a small given table."""
-    scored = df.select(key, vector).join(F.broadcast(prompts), F.lit(True)).select(key, "label", exprs.cosine(vector, "prompt").alias("s"))
+    scored = against_all(df.select(key, vector), prompts, "prompt").select(key, "label", exprs.cosine(vector, "prompt").alias("s"))
     return scored.groupBy(key, "label").agg((F.max("s") if pool == "max" else F.avg("s")).alias("score"))
 
 
@@ -141,7 +151,7 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 def nearest_centroid(df: DataFrame, key: str, vector: str, centres: DataFrame, group: str, least: float) -> DataFrame:
     """The closest of a small table of centroids, if it is close enough."""
-    s = df.select(key, vector).join(F.broadcast(centres), F.lit(True)).select(key, group, exprs.cosine(vector, "centroid").alias("score"))
+    s = against_all(df.select(key, vector), centres, group).select(key, group, exprs.cosine(vector, "centroid").alias("score"))
     return s.groupBy(key).agg(F.min_by(group, F.struct(-F.col("score"), F.col(group))).alias(group), F.max("score").alias("score")).where(F.col("score") >= least)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.operators.windows import modal
+from lumenfold.operators.windows import at_position, modal, same, value_positions
 
 DIGITS = 4
 
@@ -101,18 +101,31 @@ def rule_overlap(df: DataFrame, rules: dict[str, Column], k: int = 50) -> DataFr
 
 def nearest_rank(df: DataFrame, groups: list[str], value: str, percents: list[int], least: int = 1) -> DataFrame:
     """The value at index int(n * p / 100) of the sorted values, clamped to the last."""
-    w = Window.partitionBy(*groups)
-    ranked = df.where(F.col(value).isNotNull()).select(*groups, value, F.row_number().over(w.orderBy(value)).alias("rn"), F.count("*").over(w).alias("n")).where(F.col("n") >= least)
-    return ranked.groupBy(*groups).agg(*(F.max(F.when(F.col("rn") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) + 1, F.col(value))).alias(f"p{p}") for p in percents))
+    places = value_positions(df.where(F.col(value).isNotNull()), groups, value).where(F.col("_size") >= least)
+    index = lambda p: F.least(F.floor(F.col("_size") * p / 100), F.col("_size") - 1)
+    return places.groupBy(*groups).agg(*(at_position(value, index(p)).alias(f"p{p}") for p in percents))
+
+
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Named quantiles of each group's values, by linear interpolation between neighbours."""
+    places = value_positions(df.where(F.col(value).isNotNull()), groups, value)
+    place = lambda q: (F.col("_size") - 1) * q
+    ends = [c for n, q in shares.items() for c in (at_position(value, F.floor(place(q))).alias(f"_lo_{n}"), at_position(value, F.ceil(place(q))).alias(f"_hi_{n}"), F.max(place(q) - F.floor(place(q))).alias(f"_at_{n}"))]
+    between = lambda n: F.col(f"_lo_{n}") * (1 - F.col(f"_at_{n}")) + F.col(f"_hi_{n}") * F.col(f"_at_{n}")
+    return places.groupBy(*groups).agg(*ends).select(*groups, *(F.round(between(n), DIGITS).alias(n) for n in shares))
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Quartiles by linear interpolation, with the mean."""
-    return df.groupBy(*groups).agg(F.count(value).alias("n"), *(F.round(F.percentile(value, q), DIGITS).alias(n) for n, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))), mean(value).alias("mean"))
+    found = df.groupBy(*groups).agg(F.count(value).alias("n"), mean(value).alias("mean"))
+    quarters = quantiles(df, groups, value, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return same(found, quarters, groups, "left").select(*groups, "n", "p25", "median", "p75", "mean")
 
 
 def numeric_summary(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.count(value).alias("n"), mean(value).alias("mean"), F.round(F.stddev_samp(value), DIGITS).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.percentile(value, 0.95), DIGITS).alias("p95"))
+    """One row of counts, moments and bounds, with the 95th percentile."""
+    found = df.agg(F.count(value).alias("n"), mean(value).alias("mean"), F.round(F.stddev_samp(value), DIGITS).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return found.crossJoin(F.broadcast(quantiles(df, [], value, {"p95": 0.95})))  # one row on either side
 
 
 def quarter_trend(df: DataFrame, ts: str, score: str, gain: float = 0.05) -> DataFrame:

@@ -2,15 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.sources.tables import checkpointed
+
+
+def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys in which nulls are equal too; the keys come from the left side."""
+    alike = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+    return left.join(alike, on, how).drop(*(f"_right_{k}" for k in keys))
+
 
 def group_top_k(df: DataFrame, groups: list[Column | str], order: list[Column], k: int, least: int = 1) -> DataFrame:
-    """The first k rows of each group of at least ``least`` rows, with rank and group size."""
-    w = Window.partitionBy(*groups)
-    out = df.withColumn("group_size", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(*order)))
-    return out.where((F.col("rank") <= k) & (F.col("group_size") >= least))
+    """The first k rows of each group of at least ``least`` rows, with rank and group size.
+
+    Sizes are a partial aggregate of their own, so that the rank alone stands over the group and Spark keeps k rows of
+    each group before it shuffles."""
+    keys = [f"_group{i}" for i in range(len(groups))]
+    rows = df.select("*", *((F.col(g) if isinstance(g, str) else g).alias(n) for g, n in zip(groups, keys, strict=True)))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("group_size")).where(F.col("group_size") >= least)
+    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+    return same(best, sizes, keys).select(*df.columns, "group_size", "rank")
+
+
+def value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Each distinct value of each group with its rows (_n), the group's rows below it (_below) and in all (_size).
+
+    Equal values are counted before they travel and values are dealt by range, so a group of any size is many tasks.
+    The ranges are written before they are numbered: bounds are sampled, and two reads could sample two ways.  Nulls
+    stand first, as a value."""
+    counted = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(counted.repartitionByRange(parts, *groups, value).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(*groups, "_part").agg(F.sum("_n").alias("_held"))
+    whole = Window.partitionBy(*(groups or [F.lit(0)]))  # one row for each range that the group reaches into
+    before = sizes.select(*groups, "_part", (F.sum("_held").over(whole.orderBy("_part")) - F.col("_held")).alias("_before"), F.sum("_held").over(whole).alias("_size"))
+    own = F.sum("_n").over(Window.partitionBy(*groups, "_part").orderBy(value)) - F.col("_n")
+    return same(dealt.withColumn("_own", own), before, [*groups, "_part"]).select(*groups, value, "_n", (F.col("_before") + F.col("_own")).alias("_below"), "_size")
+
+
+def at_position(value: str, place: Column) -> Column:
+    """Aggregate over ``value_positions``: the group's value at a position from 0."""
+    return F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col(value)))
 
 
 def modal(df: DataFrame, groups: list[str], item: str) -> DataFrame:
@@ -22,8 +59,9 @@ def modal(df: DataFrame, groups: list[str], item: str) -> DataFrame:
 
 def percentile_rank(df: DataFrame, value: str, tie: str, scale: float = 10.0, out: str = "percentile_score") -> DataFrame:
     """Rank over n - 1, times ``scale``.  The table is ranked by a range sort: ranks inside each partition plus the
-    sizes of the partitions before it, so no single task sorts all rows."""
-    ranged = df.repartitionByRange(F.col(value).asc_nulls_first(), F.col(tie)).sortWithinPartitions(F.col(value).asc_nulls_first(), tie).withColumn("_part", F.spark_partition_id())
+    sizes of the partitions before it, so no single task sorts all rows.  The ranges are written before they are
+    numbered, as their bounds are sampled."""
+    ranged = checkpointed(df.repartitionByRange(F.col(value).asc_nulls_first(), F.col(tie)).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"), F.sum("count").over(Window.partitionBy(F.lit(0))).alias("_n"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(value).asc_nulls_first(), tie))
@@ -33,8 +71,8 @@ def percentile_rank(df: DataFrame, value: str, tie: str, scale: float = 10.0, ou
 
 def average_ranks(df: DataFrame, value: str, groups: list[str], out: str) -> DataFrame:
     """Ties share the mean of their ranks."""
-    w = Window.partitionBy(*groups)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*groups, value)) - 1) / 2)
+    places = value_positions(df, groups, value).select(*groups, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
+    return same(df, places, [*groups, value])
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
@@ -62,7 +100,8 @@ def top_percent(df: DataFrame, score: str, tie: str, percent: float = 1.0, most:
     if n < least:
         return df.limit(0)
     at = max(1, int(n * percent / 100 + 0.5))
-    bound = df.where(F.col(score).isNotNull()).orderBy(F.col(score).desc()).limit(at + 1).agg(F.min(score)).first()[0]
+    places = value_positions(df.where(F.col(score).isNotNull()), [], score)
+    bound = places.agg(at_position(score, F.lit(n - 1 - min(at, n - 1)))).first()[0]
     return df.where(F.col(score) >= bound).orderBy(F.col(score).desc(), tie).limit(most)
 
 
