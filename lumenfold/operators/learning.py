@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.operators.windows import average_ranks
+from lumenfold.operators.windows import average_ranks, row_before
 
 
 def canonical_votes(votes: DataFrame, a: str, b: str, winner: str, user: str, ts: str) -> DataFrame:
@@ -42,8 +42,8 @@ def coverage(df: DataFrame, score: str, n: str, bins: int = 5) -> DataFrame:
 
 def uncertainty_pairs(df: DataFrame, group: str, score: str, key: str, k: int) -> DataFrame:
     """Neighbours by score within a group, closest first."""
-    w = Window.partitionBy(group).orderBy(score, key)
-    return df.select(group, F.lag(key).over(w).alias("a"), F.col(key).alias("b"), F.round(F.col(score) - F.lag(score).over(w), 6).alias("gap")).where("a is not null").orderBy("gap", "a", "b").limit(k)
+    rows = row_before(df.select(group, key, score), group, [score, key], "_before")
+    return rows.select(group, F.col(f"_before.{key}").alias("a"), F.col(key).alias("b"), F.round(F.col(score) - F.col(f"_before.{score}"), 6).alias("gap")).where("a is not null").orderBy("gap", "a", "b").limit(k)
 
 
 def auc(df: DataFrame, label: str, metric: str, groups: list[str]) -> DataFrame:
@@ -60,9 +60,20 @@ def spearman(df: DataFrame, x: str, y: str, groups: list[str], least: int = 10)
 
 
 def rating_pairs(df: DataFrame, group: str, key: str, stars: str, k: int) -> DataFrame:
-    """Pairs within a group with a gap in stars, widest first."""
-    a, b = (df.select(group, F.col(key).alias(n), F.col(stars).alias(f"s_{n}")) for n in ("winner", "loser"))
-    return a.join(b, group).where("s_winner > s_loser").select("winner", "loser", (F.col("s_winner") - F.col("s_loser")).alias("gap")).orderBy(F.col("gap").desc(), "winner", "loser").limit(k)
+    """Pairs within a group with a gap in stars, widest first, k in all.
+
+    Counts by group and stars tell which gaps the first k pairs can have.  Of the rows with equal group and stars only
+    the k with the smallest keys can stand in them, so no group is joined with itself as a whole."""
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(stars).alias("s")).where("g is not null and s is not null")
+    cells = rows.groupBy("g", "s").agg(F.count("*").cast("double").alias("n"))
+    w, l = (cells.select("g", F.col("s").alias(f"s_{x}"), F.col("n").alias(f"n_{x}")) for x in "wl")
+    meets = w.join(l, "g").where("s_w > s_l").withColumn("gap", F.col("s_w") - F.col("s_l"))
+    gaps = meets.groupBy("gap").agg(F.sum(F.col("n_w") * F.col("n_l")).alias("n"))  # one row for each gap
+    kept = gaps.withColumn("before", F.sum("n").over(Window.orderBy(F.col("gap").desc())) - F.col("n")).where(F.col("before") < k)
+    first = rows.withColumn("at", F.row_number().over(Window.partitionBy("g", "s").orderBy("key"))).where(F.col("at") <= k)
+    winners, losers = (first.select("g", F.col("s").alias(f"s_{x}"), F.col("key").alias(n)) for x, n in (("w", "winner"), ("l", "loser")))
+    found = meets.join(kept.select("gap"), "gap", "left_semi").join(winners, ["g", "s_w"]).join(losers, ["g", "s_l"])
+    return found.select("winner", "loser", "gap").orderBy(F.col("gap").desc(), "winner", "loser").limit(k)
 
 
 def simplex_box(w: np.ndarray, most: float = 0.6) -> np.ndarray:

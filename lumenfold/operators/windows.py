@@ -45,6 +45,18 @@ def value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return same(dealt.withColumn("_own", own), before, [*groups, "_part"]).select(*groups, value, "_n", (F.col("_before") + F.col("_own")).alias("_below"), "_size")
 
 
+def row_before(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """Beside each row the ``order`` columns of the one before it in its group, as a struct (null for the first).
+
+    Rows are dealt by range; only the last row of each range is looked up from the next, so a group of any size is many tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(parts, group, *order).withColumn("_part", F.spark_partition_id()))
+    last = dealt.groupBy(group, "_part").agg(F.max(F.struct(*order)).alias("_last"))
+    carried = last.select(group, "_part", F.lag("_last").over(Window.partitionBy(group).orderBy("_part")).alias("_carried"))
+    own = F.lag(F.struct(*order)).over(Window.partitionBy(group, "_part").orderBy(*order))
+    return same(dealt.withColumn("_own", own), carried, [group, "_part"]).withColumn(out, F.coalesce("_own", "_carried")).drop("_own", "_carried", "_part")
+
+
 def at_position(value: str, place: Column) -> Column:
     """Aggregate over ``value_positions``: the group's value at a position from 0."""
     return F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col(value)))
