@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, decontaminate, html_text, jaccard, language_model, oracles, quality, repeats, token_ids, toxicity, vectors
+from lumenfold.llm import bpe, conversations, decontaminate, host_rules, html_text, jaccard, language_model, merkle, oracles, quality, repeats, token_ids, toxicity, vectors
 
 
 def language_model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_quality": quality.op9_quality,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_host_rules": host_rules.op12_host_rules,
+    "op13_conversations": conversations.op13_conversations,
     "language_model_base": language_model_base,
 }
 ORACLES: dict[str, str] = {
@@ -31,5 +34,8 @@ ORACLES: dict[str, str] = {
     "op4_repeats": oracles.OP4,
     "op5_decontamination": oracles.OP5,
     "op10_jaccard": oracles.OP10,
+    "op11_merkle": oracles.OP11,
+    "op12_host_rules": oracles.OP12,
+    "op13_conversations": oracles.OP13,
     "language_model_base": oracles.LANGUAGE_MODEL_BASE,
 }
