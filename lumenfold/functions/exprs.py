@@ -173,3 +173,24 @@ def crop_box(width, height, aspect: float, x, y) -> Column:
     left = F.greatest(F.lit(0.0), F.least(w - bw, _col(x) - bw / 2))
     top = F.greatest(F.lit(0.0), F.least(h - bh, _col(y) - bh / 2))
     return F.struct(left.alias("left"), top.alias("top"), bw.alias("width"), bh.alias("height"))
+
+
+def round_exact(value: Column | str, digits: int = 0) -> Column:
+    """Rounds the exact binary value, halves to even, as Python's ``round`` does: 12.35, which is a little less, is 12.3.
+
+    Twice the value times a power of ten is a sum of exact parts (the value times powers of two), kept as a double
+    and what it lacks; its distance from an odd whole number decides."""
+    x = _col(value).cast("double")
+    factor = 10**digits
+    high, low = F.lit(0.0), F.lit(0.0)
+    for k in reversed(range((2 * factor).bit_length())):
+        if 2 * factor >> k & 1:
+            part = x * F.lit(float(2**k))
+            total = high + part
+            back = total - high
+            low = low + ((high - (total - back)) + (part - back))
+            high = total
+    whole = F.floor(high / 2)  # the result is whole or whole + 1, over the factor
+    past = (high - (2 * whole + 1).cast("double")) + low
+    up = F.when(past > 0, 1).when(past < 0, 0).otherwise(F.pmod(whole, F.lit(2)))
+    return F.when(F.abs(x) < 2.0**52 / (2 * factor), (whole + up).cast("double") / factor).otherwise(x)

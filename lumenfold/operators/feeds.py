@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.similarity import hashes_within
+from lumenfold.operators.windows import value_positions
+
 # --- Fixed values: weights of the lead choice and of burst scores, gaps of reject reasons, targets ----------
 LEAD_EYES, LEAD_EXPRESSION, LEAD_SHARPNESS, LEAD_LEARNED = 0.03, 0.015, 0.01, 0.05
 BURST_SHARES = {"aggregate": 0.4, "aesthetic": 0.25, "sharpness": 0.2, "open_eyes": 0.15}
@@ -39,27 +42,19 @@ def groups_of(edges: DataFrame, components, rows: DataFrame, key: str, score: Co
     group = leads(member.join(rows, key), "root", score, key).where(F.col("n") >= least)
     if most:
         group = group.where(F.col("n") <= most)
-    number = F.row_number().over(Window.orderBy("root")).cast("long")  # one row a group, not a member
-    return member.join(group.withColumn("number", number), "root")
+    number = value_positions(group.select("root"), [], "root").select("root", (F.col("_below") + 1).alias("number"))  # dealt by range
+    return member.join(group, "root").join(number, "root")
 
 
-def duplicate_edges(df: DataFrame, key: str, phash: str, vector: str, bands: int = 13) -> DataFrame:
+def duplicate_edges(df: DataFrame, key: str, phash: str, vector: str) -> DataFrame:
     """Pairs whose hashes differ in at most 12 bits and whose vectors are close; 6 bits where one has no vector.
 
-    64 bits are cut into 13 bands: two hashes that differ in at most 12 bits are equal in one band at least, so an
-    equi-join on bands finds every pair, and the pair is kept in its first common band alone."""
+    Bits are counted in tiles of two blocks of hashes, and only pairs within 12 bits are ever rows."""
     from lumenfold.functions import exprs
 
-    cut = [64 * k // bands for k in range(bands + 1)]
-    band = [F.shiftrightunsigned(F.col(phash), cut[k]).bitwiseAND((1 << (cut[k + 1] - cut[k])) - 1) for k in range(bands)]
-    rows = df.where(F.col(phash).isNotNull()).select(key, F.col(phash).alias("h"), F.col(vector).alias("v"), F.array(*band).alias("bands"))
-    keyed = rows.select(key, "h", "bands", F.posexplode("bands").alias("pos", "band"))
-    a = keyed.select(F.col(key).alias("a"), F.col("h").alias("ha"), F.col("bands").alias("ba"), "pos", "band")
-    b = keyed.select(F.col(key).alias("b"), F.col("h").alias("hb"), F.col("bands").alias("bb"), "pos", "band")
-    first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) - 1
-    near = a.join(b, ["pos", "band"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= DUPLICATE_BITS) & (first == F.col("pos")))
+    near = hashes_within(df, key, phash, DUPLICATE_BITS)
     v = df.select(key, F.col(vector).alias("v"))
-    pairs = near.select("a", "b", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).alias("bits")).join(v.select(F.col(key).alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col(key).alias("b"), F.col("v").alias("vb")), "b")
+    pairs = near.join(v.select(F.col(key).alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col(key).alias("b"), F.col("v").alias("vb")), "b")
     cosine = exprs.cosine("va", "vb")
     keep = F.when(cosine.isNotNull(), cosine >= DUPLICATE_COSINE).otherwise(F.col("bits") <= DUPLICATE_STRICT_BITS)
     return pairs.where(keep).select("a", "b", "bits")

@@ -152,15 +152,18 @@ def journeys(df: DataFrame, by: list[str], ts: str, tie: str, lat: str, lon: str
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable node of every node of ``edges`` (a, b): label propagation with pointer jumping.
+    """Smallest reachable node of every node of ``edges`` (a, b).
 
-    Each round is written to the shared folder, which cuts lineage and survives lost executors."""
+    In each round a node takes the least label among its own, its neighbours' and its label's label, and so does the node
+    that it is labelled with, so whole trees of labels move at once and long paths take few rounds.  Each round is
+    written to the shared folder, which cuts lineage and survives lost executors."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v").where("u <> v").distinct())
     labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near")).select("node", F.least("node", "near").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("near")), "v").groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"))
+        offers = labels.join(near, "node").select(F.explode(F.array("node", "label")).alias("node"), "near").groupBy("node").agg(F.min("near").alias("near"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("hop"))
-        new = checkpointed(labels.join(near, "node").join(hop, "label").select("node", F.least("label", "near", "hop").alias("label"), (F.least("near", "hop") < F.col("label")).alias("moved")))
+        new = checkpointed(labels.join(offers, "node").join(hop, "label").select("node", F.least("label", "near", "hop").alias("label"), (F.least("near", "hop") < F.col("label")).alias("moved")))
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import exprs
+from lumenfold.sources.tables import checkpointed, workers_import
 
 
 def _dot(x: Column, y: Column) -> Column:
@@ -35,12 +38,48 @@ def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int, least:
     return df.select(key, F.round(exprs.cosine(F.col(vector), q), 6).alias("score")).where(F.col("score") >= least).orderBy(F.col("score").desc(), key).limit(k)
 
 
+def packed_units(df: DataFrame, key: str, vector: str, carry: str | None = None) -> DataFrame:
+    """Rows (_k, _c, unit): key, a carried column as bigint or text, and the vector of length 1 as the bytes of its doubles.
+
+    Rows without a key or a carried value, without a vector, with a zero one or with nulls or non-finite numbers in it
+    are left out.  Numpy normalises whole Arrow batches; bytes travel instead of lists."""
+    workers_import(df.sparkSession)
+    kind = df.schema[carry].dataType.simpleString() if carry else "string"
+    rows = df.select(F.col(key).cast("long").alias("_k"), (F.col(carry) if carry else F.lit("")).cast("bigint" if kind in ("int", "bigint") else "string").alias("_c"), F.col(vector).cast("array<double>").alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            at = lists.offsets.to_numpy()
+            flat = np.asarray(lists.values.to_numpy(zero_copy_only=False), float)  # null numbers are nan here
+            sizes, out = np.diff(at), np.full(len(lists), None, object)
+            for d in np.unique(sizes[sizes > 0]):
+                own = np.flatnonzero(sizes == d)
+                v = flat[at[own][:, None] + np.arange(d)]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    norm = np.sqrt((v * v).sum(axis=1))
+                good = np.isfinite(norm) & (norm > 0)
+                for i, u in zip(own[good], v[good] / norm[good][:, None], strict=True):
+                    out[i] = u.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_c"), pa.array(out, pa.binary())], ["_k", "_c", "unit"])
+
+    kind = "bigint" if kind in ("int", "bigint") else "string"
+    return rows.where("_k is not null and _c is not null and v is not null").mapInArrow(pack, f"_k bigint, _c {kind}, unit binary").where("unit is not null")
+
+
+def unpacked(units) -> np.ndarray:
+    """The vectors of ``packed_units`` (of one length) as rows."""
+    units = list(units)
+    return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1) if units else np.empty((0, 0))
+
+
 def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, group: str | None = None, block: int = 2048) -> DataFrame:
     """All pairs a < b with cosine of at least ``threshold``, inside each ``group`` if one is named.
 
     Rows are dealt into blocks of about ``block`` by a hash, whatever their group's size, so a hot group is many
     tiles; a tile is one numpy product of two blocks, and its memory has a bound.  Ids alone travel back."""
-    rows = df.select(F.col(key).cast("long").alias("_k"), (F.col(group).cast("string") if group else F.lit("")).alias("_g"), unit(vector)).where("unit is not null and _k is not null and _g is not null")
+    named = df.select(key, vector, F.col(group).cast("string").alias("_g")) if group else df.select(key, vector, F.lit("").alias("_g"))
+    rows = checkpointed(packed_units(named, key, vector, "_g").withColumnRenamed("_c", "_g"))
     sizes = rows.groupBy("_g").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("_blocks"))
     own = rows.join(sizes, "_g").withColumn("_own", F.pmod(F.xxhash64("_k"), F.col("_blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda c: F.struct(F.least(c, "_own").alias("x"), F.greatest(c, "_own").alias("y")))
@@ -49,7 +88,7 @@ def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, group: s
     def met(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, same in pdf.groupby(pdf["unit"].map(len)):
-            v, k = np.stack(same["unit"].to_numpy()), same["_k"].to_numpy()
+            v, k = unpacked(same["unit"]), same["_k"].to_numpy()
             x, y = int(same["_x"].iloc[0]), int(same["_y"].iloc[0])
             left, right = np.flatnonzero(same["_own"].to_numpy() == x), np.flatnonzero(same["_own"].to_numpy() == y)
             for at in range(0, len(left), 512):
@@ -64,6 +103,35 @@ def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, group: s
     return tiles.groupBy("_g", "_x", "_y").applyInPandas(met, "a bigint, b bigint, score double")
 
 
+def hashes_within(df: DataFrame, key: str, phash: str, most: int, block: int = 32_768) -> DataFrame:
+    """All pairs a < b whose 64-bit hashes differ in at most ``most`` bits, with the number of bits.
+
+    Blocks of hashes are dealt as in ``pairs_above``; a tile counts bits of whole rows of it at once, so a pair that is
+    too far never becomes a row."""
+    rows = checkpointed(df.where(F.col(phash).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_k"), F.col(phash).cast("long").alias("_h")))
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.withColumn("_own", F.pmod(F.xxhash64("_k"), F.lit(blocks)).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda c: F.struct(F.least(c, "_own").alias("x"), F.greatest(c, "_own").alias("y")))
+    tiles = own.withColumn("_t", F.explode(meets)).select(F.col("_t.x").alias("_x"), F.col("_t.y").alias("_y"), "_own", "_k", "_h")
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, own = int(pdf["_x"].iloc[0]), int(pdf["_y"].iloc[0]), pdf["_own"].to_numpy()
+        h, k = pdf["_h"].to_numpy().view(np.uint64), pdf["_k"].to_numpy()
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
+            bits = np.bitwise_count(h[part][:, None] ^ h[right][None, :])
+            i, j = np.nonzero(bits <= most)
+            a, b = k[part[i]], k[right[j]]
+            keep = a < b if x == y else a != b
+            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], bits[i, j][keep].astype(np.int32)))
+        a, b, bits = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pd.DataFrame({"a": a, "b": b, "bits": bits})
+
+    return tiles.groupBy("_x", "_y").applyInPandas(met, "a bigint, b bigint, bits int")
+
+
 def duplicate_gate(a_hash: Column, b_hash: Column, cosine: Column) -> Column:
     """Loose on the hash with a close vector, strict without vectors."""
     d = exprs.hamming(a_hash, b_hash)
@@ -163,9 +231,8 @@ def person_similar(faces: DataFrame, photos: DataFrame, photo: int, key: str, ve
     if not people.isEmpty():
         hit = faces.where(F.col(key) != photo).join(people, "person", "left_semi").select(key).distinct()
         return photos.join(hit, key, "left_semi").select(key, F.lit(1.0).alias("score"), "taken").orderBy(F.col("taken").desc(), key).limit(k).select(key, "score")
-    mine = own.agg(F.slice(F.collect_list(vector), 1, 64).alias("_own"))  # the faces of one photo
-    best = F.array_max(F.transform("_own", lambda v: exprs.cosine(F.col(vector), v)))
-    scored = faces.where(F.col(key) != photo).crossJoin(F.broadcast(mine)).select(key, best.alias("s")).groupBy(key).agg(F.round(F.max("s"), 6).alias("score"))
+    mine = own.select(F.col(vector).alias("_own"))  # all faces of one photo
+    scored = against_all(faces.where(F.col(key) != photo), mine, "_own").select(key, exprs.cosine(F.col(vector), F.col("_own")).alias("s")).groupBy(key).agg(F.round(F.max("s"), 6).alias("score"))
     return scored.where(F.col("score") >= least).orderBy(F.col("score").desc(), key).limit(k)
 
 

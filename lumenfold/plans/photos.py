@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import exprs
-from lumenfold.operators import capsules, feeds, gallery, grouping, reports, scoring, similarity
+from lumenfold.operators import capsules, density, feeds, gallery, grouping, reports, scoring, similarity
 from lumenfold.plans.catalog import query
 from lumenfold.sources import tables
 
@@ -218,12 +218,12 @@ def lead_choice(s, d):
 
 
 _HASH = "(vec_id // 3) * 6148914691236517 + (CASE WHEN vec_id % 3 = 2 THEN 1985 ELSE vec_id % 3 END)"
-_TWINS = f"(SELECT vec_id, label, {_HASH} AS h, CASE WHEN vec_id % 7 <> 0 THEN list_resize(CAST(embedding AS DOUBLE[]), 8) END AS v FROM embeddings)"
+_TWINS = f"(SELECT vec_id, label, {_HASH} AS h, CASE WHEN vec_id % 7 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS v FROM embeddings)"
 
 
 def _twins(s, d):
     h = "CAST(floor(vec_id / 3) AS BIGINT) * 6148914691236517 + (CASE WHEN vec_id % 3 = 2 THEN 1985 ELSE vec_id % 3 END)"
-    return tables.table(s, d, "embeddings").selectExpr("vec_id", "label", f"{h} AS h", "CASE WHEN vec_id % 7 <> 0 THEN slice(embedding, 1, 8) END AS v")
+    return tables.table(s, d, "embeddings").selectExpr("vec_id", "label", f"{h} AS h", "CASE WHEN vec_id % 7 <> 0 THEN embedding END AS v")
 
 
 _EDGES = f"""e AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h)) AS bits FROM {_TWINS} a JOIN {_TWINS} b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 12
@@ -590,8 +590,9 @@ def person_merge_groups(s, d):
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM {_V} a JOIN {_V} b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.v, b.v) >= .4 WHERE a.label <> b.label")
 def merge_suggestions(s, d):
     e = tables.table(s, d, "embeddings")
-    pairs = similarity.pairs_above(e, "vec_id", "embedding", 0.4)
-    same = e.select(F.col("vec_id").alias("b"), "label").join(e.select(F.col("vec_id").alias("a"), "label"), "label").where("a <> b").select("a", "b")
+    pairs = tables.checkpointed(similarity.pairs_above(e, "vec_id", "embedding", 0.4))
+    label = lambda side: e.select(F.col("vec_id").alias(side), F.col("label").alias(f"label_{side}"))
+    same = pairs.join(label("a"), "a").join(label("b"), "b").where("label_a = label_b").select("b", "a")  # turned down, in the other order
     return similarity.without_rejected(pairs, same).select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -607,6 +608,17 @@ def text_index(s, d):
     return similarity.postings(tables.table(s, d, "documents"), "doc_id", "text")
 
 
+@query()
+def face_clusters(s, d):
+    """Every vector is a face; those with an even label had an owner before, and labels below 6 are people with a centre
+    of what they own (the others have lost theirs)."""
+    faces = tables.table(s, d, "embeddings").selectExpr("vec_id", "embedding", "CASE WHEN label % 2 = 0 THEN CAST(label AS BIGINT) END AS owner")
+    owned = density.cluster_centres(faces, "vec_id", "embedding", "owner")
+    persons = owned.select(F.col("owner").alias("person"), F.when(F.col("owner") < 6, F.col("centre")).alias("centre"))
+    found = density.clusters(faces, "vec_id", "embedding")
+    return density.people_of(faces.join(found, "vec_id"), "vec_id", "embedding", persons, "owner")
+
+
 # --------------------------------------------------------------------------------------- timeline and scenes
 
 
@@ -641,9 +653,9 @@ def joined_categories(s, d):
     return p.groupBy("person").agg(F.max("value").alias("v"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
 
 
-@sql("SELECT photo, round_even(value, 1) AS rounded FROM @photos WHERE value * 10 <> floor(value * 10) + .5")
+@sql("SELECT photo, CAST(format('{:.1f}', value) AS DOUBLE) AS rounded FROM @photos")
 def half_even_rounding(s, d):
-    return _photos(s, d).where("value * 10 <> floor(value * 10) + 0.5D").select("photo", F.bround("value", 1).alias("rounded"))
+    return _photos(s, d).select("photo", exprs.round_exact("value", 1).alias("rounded"))
 
 
 @sql("SELECT photo, strftime(taken, '%Y:%m:%d %H:%M:%S') AS exif, CAST(CAST(taken AS DATE) AS VARCHAR) AS day FROM @photos")

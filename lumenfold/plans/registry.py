@@ -246,9 +246,9 @@ def copresence_pairs(s, d):
     return culling.copresence(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey", 8)
 
 
-@query("WITH f AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 5")
+@query("WITH f AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 12")
 def rare_pairs(s, d):
-    return culling.copresence(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey", 3, 5)
+    return culling.copresence(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey", 3, 12)
 
 
 _TOPK = "SELECT day, event_id, rank, group_size FROM (SELECT CAST(ts AS DATE) AS day, event_id, CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value DESC, event_id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY CAST(ts AS DATE)) AS group_size FROM events) WHERE rank <= "
@@ -302,9 +302,9 @@ def set_union_distinct(s, d):
     return _t(s, d, "orders").select(F.col("o_custkey").alias("k")).union(_t(s, d, "customer").select("c_custkey")).distinct()
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM events")
 def set_except_delta(s, d):
-    return tables.export_delta(_t(s, d, "customer").select("c_custkey"), _t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")[0]
+    return tables.export_delta(_t(s, d, "customer").select("c_custkey"), _t(s, d, "events").select(F.col("user_id").alias("c_custkey")), "c_custkey")[0]
 
 
 # ------------------------------------------------------------------------------------------ places

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,15 +17,48 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialised in the folder that the session names; a temporary one only where none is set and all is local."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver was not started from its folder."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in paths.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names; a temporary one only where none is set and all is local."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if found is None:
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumenfold-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: cuts lineage, survives lost executors, and has a known size.
+
+    Unlike a checkpointed RDD, a table hands no constraints on, which multiply from round to round of a loop."""
+    path = f"{shared_folder(df.sparkSession)}/lumenfold-tables/{uuid.uuid4().hex}"
+    _WRITTEN.append((df.sparkSession, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may have gone first
+            return
 
 
 def walk(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
