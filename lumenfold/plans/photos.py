@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import exprs
-from lumenfold.operators import capsules, density, feeds, gallery, grouping, reports, scoring, similarity
+from lumenfold.operators import capsules, density, feeds, fitting, gallery, grouping, reports, scoring, similarity
 from lumenfold.plans.catalog import query
 from lumenfold.sources import tables
 
@@ -619,6 +619,88 @@ def face_clusters(s, d):
     return density.people_of(faces.join(found, "vec_id"), "vec_id", "embedding", persons, "owner")
 
 
+# --------------------------------------------------------------------------------------------- preferences
+
+_METRICS = ("aesthetic", "sharpness", "face_quality", "eyes", "expression")
+
+
+def _featured(s, d):
+    return _photos(s, d).withColumn("features", F.array(*(F.col(c) / 10 for c in _METRICS), F.coalesce("confidence", F.lit(0.0))))
+
+
+def _votes(s, d):
+    """Neighbours in time of one person, of which the better in sharpness and eyes, or in what nobody measured, won."""
+    p = _photos(s, d).select("photo", "person", (2 * F.col("sharpness") + F.col("eyes") + 3 * F.col("stars")).alias("liked"))
+    pair = p.join(p.select((F.col("photo") - 1).alias("photo"), F.col("photo").alias("b"), F.col("liked").alias("other")), "photo")
+    y = F.when(F.abs(F.col("liked") - F.col("other")) < 0.5, 0.5).when(F.col("liked") > F.col("other"), 1.0).otherwise(0.0)
+    source = F.element_at(F.create_map(*(F.lit(x) for pair in fitting.RELIABILITY.items() for x in pair)), F.element_at(F.array(*map(F.lit, fitting.RELIABILITY)), F.pmod("person", F.lit(3)).cast("int") + 1))
+    return pair.select(F.col("photo").alias("a"), "b", y.alias("y"), source.alias("weight"))
+
+
+def _culled(s, d):
+    """Each burst's lead against every other member."""
+    p = _photos(s, d).where("burst is not null")
+    lead = p.where("burst_lead = 1").select("burst", F.col("photo").alias("a"))
+    lost = p.where("coalesce(burst_lead, 0) = 0").select("burst", F.col("photo").alias("b"))
+    return lead.join(lost, "burst").select("a", "b", F.lit(1.0).alias("y"), F.lit(fitting.RELIABILITY["culling"]).alias("weight"))
+
+
+def _fitted(s, fit, names):
+    return s.createDataFrame([(n, round(float(w), 6)) for n, w in zip(names, fit.weights, strict=True)], "feature string, weight double")
+
+
+@query()
+def ranker_coefficients(s, d):
+    """Coefficients over scaled features of the pairwise ranker, learnt from all votes."""
+    pairs = fitting.compared(_votes(s, d), _featured(s, d), "photo", "features", "aggregate")
+    return _fitted(s, fitting.ranker(pairs, len(_METRICS) + 1), [*_METRICS, "confidence"])
+
+
+@query()
+def ranker_gate(s, d):
+    """Held-out accuracy of the ranker against the aggregate's, in percent, and whether its scores may be written."""
+    fit = fitting.ranker(fitting.compared(_votes(s, d), _featured(s, d), "photo", "features", "aggregate"), len(_METRICS) + 1)
+    row = (fit.n_pairs, round(fit.baseline, 4), round(fit.held_out, 4), round(fit.trained, 4), bool(fit.passed))
+    return s.createDataFrame([row], "n_pairs long, baseline double, held_out double, trained double, passed boolean")
+
+
+@query()
+def keeper_probabilities(s, d):
+    """Every burst member's probability to be kept, by a head learnt from what was culled."""
+    head = fitting.ranker(fitting.compared(_culled(s, d), _featured(s, d), "photo", "features", "aggregate"), len(_METRICS) + 1)
+    return fitting.keeper_probabilities(_featured(s, d), "burst", "photo", "features", head).withColumn("probability", F.round("probability", 6))
+
+
+@query()
+def suggested_weights(s, d):
+    """Weights of the metrics that explain all votes best, with the interval of 100 resamples."""
+    pairs = fitting.compared(_votes(s, d), _featured(s, d).withColumn("metrics", F.slice("features", 1, len(_METRICS))), "photo", "metrics", "aggregate")
+    fit = fitting.weights_with_folds(pairs, len(_METRICS))
+    middle, low, high = fitting.weight_intervals(pairs, len(_METRICS))
+    rows = [(n, *(round(float(x), 5) for x in v)) for n, *v in zip(_METRICS, fit.weights, middle, low, high, strict=True)]
+    return s.createDataFrame(rows, "feature string, weight double, median double, low double, high double")
+
+
+_REPLICATE = 7
+_DRAWN = f"((a * 1000003 + b) % 2147483647 * {pow(48271, _REPLICATE + 1, fitting.PRIME)} + {pow(16807, _REPLICATE + 1, fitting.PRIME)}) % 2147483647 / 2147483647.0"
+
+
+@sql(f"""WITH p AS (SELECT photo, 2 * sharpness + eyes + 3 * stars AS liked, sharpness, eyes FROM @photos), v AS (SELECT x.photo AS a, y.photo AS b, x.liked - y.liked AS gap, x.sharpness - y.sharpness AS ds, x.eyes - y.eyes AS de FROM p x JOIN p y ON y.photo = x.photo + 1),
+w AS (SELECT *, {" + ".join(f"CAST({_DRAWN} >= {p!r} AS INTEGER)" for p in fitting.POISSON)} AS n FROM v)
+SELECT n AS drawn, count(*) AS pairs, sum(CASE WHEN abs(gap) < .5 THEN 0 WHEN gap > 0 THEN n ELSE 0 END)::BIGINT AS wins, round(sum(n * ds), 4) AS sharpness, round(sum(n * de), 4) AS eyes FROM w GROUP BY n""")
+def one_resample(s, d):
+    """One replicate of the bootstrap: how often pairs are drawn, and the sums over what is drawn."""
+    p = _photos(s, d).select("photo", "sharpness", "eyes")
+    side = lambda x: p.select(F.col("photo").alias(x), F.col("sharpness").alias(f"s{x}"), F.col("eyes").alias(f"e{x}"))
+    v = _votes(s, d).join(side("a"), "a").join(side("b"), "b")
+    n = fitting.poisson_column(F.pmod(F.col("a") * 1000003 + F.col("b"), F.lit(fitting.PRIME)), _REPLICATE)
+    v = v.withColumn("drawn", n)
+    return v.groupBy("drawn").agg(
+        F.count("*").alias("pairs"), F.sum(F.when(F.col("y") == 1, F.col("drawn")).otherwise(0)).alias("wins"),
+        F.round(F.sum(F.col("drawn") * (F.col("sa") - F.col("sb"))), 4).alias("sharpness"), F.round(F.sum(F.col("drawn") * (F.col("ea") - F.col("eb"))), 4).alias("eyes"),
+    )
+
+
 # --------------------------------------------------------------------------------------- timeline and scenes
 
 
