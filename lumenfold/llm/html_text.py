@@ -7,7 +7,8 @@ it: what has weight between surge and dive is the main text.  The threshold is `
 window sum where that is less, so that short pages have a text as well.
 
 What the markup says goes in as a prior on the weights.  Lines in elements that are, or call themselves, menus,
-headers, footers, sidebars, notices, adverts, forms or comments weigh nothing.  Lines in the page's main container gain
+headers, footers, sidebars, notices, adverts, forms or comments weigh nothing; a name counts when all its parts speak of
+such things or of places ("site-footer", not "search-algorithms").  Lines in the page's main container gain
 ``BONUS`` characters, so short first, last and linked lines of an article can pass the threshold.  It is the page's
 article elements, else its main elements, and lines outside them weigh nothing; without either, it is the innermost
 element that holds three fifths of the weight, or the body itself, and lines outside weigh a quarter.
@@ -34,10 +35,12 @@ _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
-_CONTAINER = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
+_CONTAINER = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html li main menu nav ol section table ul".split())
 _NAMED = frozenset("nav menu footer aside form dialog fieldset head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _WORDS = frozenset("nav navbar navigation menu header masthead topbar footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager social share sharing comment comments disqus respond reply replies related recommended recommendations widget form search skip".split())
+#: What may stand beside these words in a name: "site-footer" is a footer, "search-algorithms" is no search.
+_PLACES = frozenset("site page main top bottom left right upper lower box bar block wrapper wrap container holder section area list item items inner outer global primary secondary link links button buttons slot unit zone panel column col row group text content title label header wide fixed sticky mobile desktop small large js l r".split())
 #: In a class name these speak of something beside the element: "has-sidebar", "with-ads", "no-banner".
 _BESIDE = frozenset("has with without no not".split())
 _REMARKS = frozenset("comment comments reply replies respond".split())
@@ -56,7 +59,7 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
         if name in ("class", "id"):
             for token in value.split():
                 parts = set(_PARTS.findall(token))
-                if parts & (_REMARKS if tag == "article" else _WORDS) and not parts & _BESIDE:
+                if parts & (_REMARKS if tag == "article" else _WORDS) and not parts & _BESIDE and parts <= _WORDS | _PLACES:
                     return True
     return False
 
@@ -76,6 +79,7 @@ def lines(page: str) -> list[Line]:
     stack: list[tuple[str, int, bool]] = []  # tag, number, boilerplate
     text: list[str] = []
     link = linked = number = heading = 0
+    apart = False  # the paragraph or other small block at hand is named boilerplate
 
     def close() -> None:
         nonlocal linked
@@ -83,8 +87,8 @@ def lines(page: str) -> list[Line]:
         if raw:
             line = _SPACE.sub(" ", entities.unescape(raw)).strip()
             if line:
-                named = any(s[2] for s in stack)
-                if named and heading and all(s[0] == "header" for s in stack if s[2]):
+                named = apart or any(s[2] for s in stack)
+                if named and not apart and heading and all(s[0] == "header" for s in stack if s[2]):
                     named = False  # a headline in an article's own header
                 share = 1 - linked / len(raw)
                 out.append(Line(line, round(len(line) * share), tuple((s[1], s[0]) for s in stack), named))
@@ -108,7 +112,7 @@ def lines(page: str) -> list[Line]:
             text.append(" ")
         elif tag in _BLOCK:
             close()
-            link = 0
+            link, apart = 0, not closing and tag not in _CONTAINER and _boilerplate(tag, m[4], False)
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = 0 if closing else 1
             elif tag in _CONTAINER:
@@ -119,6 +123,13 @@ def lines(page: str) -> list[Line]:
                             break
                 else:
                     number += 1
+                    if tag == "li":  # an item ends where the next one of its list begins
+                        for k in range(len(stack) - 1, -1, -1):
+                            if stack[k][0] in ("ul", "ol", "menu"):
+                                break
+                            if stack[k][0] == "li":
+                                del stack[k:]
+                                break
                     article = any(s[0] == "article" for s in stack)
                     named = _boilerplate(tag, m[4], article) or tag == "header" and article
                     if tag in ("article", "main") and not named:  # no menu or form holds an article: it was left unclosed

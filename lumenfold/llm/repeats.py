@@ -386,12 +386,19 @@ def covered(size: int, codes: bytes | None, length: int) -> list[tuple[int, int]
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def kept_pieces(raw: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
+    ends = [0, *(x for run in runs for x in run), len(raw)]
+    return [raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
+
+
 def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
-    out, at = [], 0
-    for a, b in runs:
-        out.append(raw[at:a])
-        at = b
-    return b"".join([*out, raw[at:]])
+    return b"".join(kept_pieces(raw, runs))
+
+
+def kept_text(raw: bytes, runs: list[tuple[int, int]]) -> str:
+    """What is left as text.  A character of which a byte goes, goes altogether: pieces are read one by one, so the first
+    byte of one cut character never meets the last of another."""
+    return "".join(piece.decode("utf-8", "ignore") for piece in kept_pieces(raw, runs))
 
 
 def _handled(docs: DataFrame) -> DataFrame:
@@ -426,7 +433,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = []
             for raw, codes in zip(binary(batch.column("text")), batch.column("codes").to_pylist(), strict=True):
-                texts.append(kept_bytes(raw, covered(len(raw), codes, length)).decode("utf-8", "ignore") if codes else None)
+                texts.append(kept_text(raw, covered(len(raw), codes, length)) if codes else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "cut_text"])
 
         return each

@@ -44,7 +44,7 @@ def grams(word: bytes) -> list[int]:
     text = f"<{word.decode('utf-8', 'ignore')}>"
     parts = {text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)}
     parts.add(text)
-    return [zlib.crc32(p.encode()) & (ROWS - 1) for p in parts]
+    return [zlib.crc32(p.encode()) & (ROWS - 1) for p in sorted(parts)]  # sums in one order in every process
 
 
 class Toxicity:

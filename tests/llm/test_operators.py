@@ -437,6 +437,49 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+_BODY = "<p>" + "A first paragraph of the article, long enough to stand by itself. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("inside", "kept"),
+    [
+        ('<p class="advert">Buy this now, it is cheap and good.</p>', False),
+        ("<p hidden>Nobody sees this line of the article at all.</p>", False),
+        ('<p class="cookie-notice">We use cookies on this page for you.</p>', False),
+        ('<ul><li class="ad">Buy that as well, it is cheaper.<li>Second item</ul>', "Second item"),
+        ('<ul><li class="ad"><div>Buy that as well, it is cheaper.</div></li></ul>', False),
+        ('<div class="search-algorithms"><p>How searching works in practice, told at length.</p></div>', True),
+        ('<section id="form-factor"><p>The shape of the machine, told at length here.</p></section>', True),
+        ('<div class="related-work"><p>What others did before this work, told at length.</p></div>', True),
+        ('<div class="site-footer"><p>All rights reserved by the makers of this.</p></div>', False),
+        ('<h2 class="title">A headline in between</h2>', True),
+        ('<p class="advert">Buy this now.</p>After it, text of the article goes on.', "After it, text of the article goes on."),
+    ],
+)
+def test_names_on_every_element(inside, kept):
+    import re
+
+    text = kept if isinstance(kept, str) else re.sub("<[^>]*>", "", inside) if kept else None
+    body = re.sub("<[^>]*>", "", _BODY).strip()
+    got = html_text.main_text(f"<html><body><article><h1>Title</h1>{_BODY}{inside}{_BODY}</article></body></html>")
+    assert got == "\n".join(["Title", body, *([text] if text else []), body])
+
+
+def test_half_characters_go_altogether():
+    raw = "é".encode() + b"x" * 10 + "é".encode() + "z".encode()
+    assert repeats.kept_text(raw, [(1, 13)]) == "z" and repeats.kept_text(raw, [(2, 12)]) == "ééz" and repeats.kept_text(raw, []) == raw.decode()
+
+
+def test_margins_do_not_depend_on_the_hash_seed():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.path.insert(0, %r); from lumenfold.llm import toxicity as t; print([t.grams(w) for w in (b'abcdefgh', 'wörter'.encode())], t.Toxicity.fit([b'bad bad words here', b'good things here'] * 4, [1, 0] * 4).margins.tobytes().hex()[:4000])"
+    root = repeats.__file__.rsplit("/", 3)[0]
+    run = lambda seed: subprocess.run([sys.executable, "-c", code % root], env={**__import__("os").environ, "PYTHONHASHSEED": seed}, capture_output=True, text=True, check=True).stdout
+    assert run("1") == run("2")
+
+
 def test_surge_and_dive_decide(data):
     """Without any telling names, the distribution of text alone finds nearly all articles."""
     import re
