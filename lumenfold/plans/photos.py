@@ -5,13 +5,16 @@ is derived from its key by the same expressions in Spark and in SQL."""
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import exprs
 from lumenfold.operators import capsules, density, feeds, fitting, gallery, grouping, reports, scoring, similarity
 from lumenfold.plans.catalog import query
-from lumenfold.sources import tables
+from lumenfold.sources import runs, tables
 
 _COLUMNS = {
     "photo": "event_id",
@@ -619,6 +622,87 @@ def face_clusters(s, d):
     return density.people_of(faces.join(found, "vec_id"), "vec_id", "embedding", persons, "owner")
 
 
+# ------------------------------------------------------------------------------- scan runs, index and exports
+
+_EVENTS = """(SELECT o_orderkey AS run, o_orderdate AS said, 'started' AS event, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS status FROM orders UNION ALL SELECT l_orderkey, l_shipdate, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'progress' END, CAST(l_partkey AS VARCHAR), NULL FROM lineitem
+UNION ALL SELECT o_orderkey, o_orderdate, 'finished', NULL, CASE WHEN o_orderpriority LIKE '1%' THEN 'interrupted' ELSE 'completed' END FROM orders WHERE o_orderstatus <> 'O')"""
+
+
+def _run_events(s, d):
+    """Orders as scan runs and their items as progress and failures; an open order has not ended."""
+    o, l = tables.table(s, d, "orders"), tables.table(s, d, "lineitem")
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    rest = [none("string", "mode"), none("string", "settings"), none("long", "total"), none("long", "processed"), none("string", "stage"), none("string", "error")]
+    start = o.select(F.col("o_orderkey").alias("run"), F.col("o_orderdate").cast("timestamp").alias("at"), F.lit("started").alias("event"), none("string", "path"), none("string", "status"), *rest)
+    items = l.select(F.col("l_orderkey").alias("run"), F.col("l_shipdate").cast("timestamp").alias("at"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("progress").alias("event"), F.col("l_partkey").cast("string").alias("path"), none("string", "status"), *rest)
+    status = F.when(F.col("o_orderpriority").startswith("1"), "interrupted").otherwise("completed")
+    end = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("run"), F.col("o_orderdate").cast("timestamp").alias("at"), F.lit("finished").alias("event"), none("string", "path"), status.alias("status"), *rest)
+    return start.unionByName(items).unionByName(end)
+
+
+@query(f"""SELECT run, coalesce(max(CASE WHEN event = 'finished' THEN status END), 'running') AS status, count(DISTINCT CASE WHEN event = 'failed' THEN path END) AS failed, CAST(CAST(max(said) AS DATE) AS VARCHAR) AS heard FROM {_EVENTS} GROUP BY run""")
+def scan_run_rows(s, d):
+    return runs.run_rows(_run_events(s, d).withColumn("stage", F.lit("scan"))).select("run", "status", "failed", F.to_date("heartbeat").cast("string").alias("heard"))
+
+
+@query(f"""WITH r AS (SELECT run, coalesce(max(CASE WHEN event = 'finished' THEN status END), 'running') AS status, max(said) AS heard FROM {_EVENTS} GROUP BY run)
+SELECT run, status FROM r WHERE status IN ('interrupted', 'failed') OR status = 'running' AND heard < TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 120 SECOND ORDER BY run DESC LIMIT 1""")
+def resumable_run(s, d):
+    return runs.resumable(runs.run_rows(_run_events(s, d)), datetime(1998, 6, 1)).select("run", "status")
+
+
+@query(f"SELECT DISTINCT path FROM {_EVENTS} WHERE event = 'failed' AND run = (SELECT max(run) FROM {_EVENTS} WHERE event = 'failed')")
+def last_failures(s, d):
+    return runs.failed_paths(_run_events(s, d))
+
+
+@sql("SELECT path FROM @photos WHERE NOT coalesce(scanned >= TIMESTAMP '2024-01-15 00:00:00', false)")
+def scanned_before_or_never(s, d):
+    p = _photos(s, d)
+    return runs.scanned_before(p.select("path"), p, F.lit("2024-01-15").cast("timestamp"), scanned="scanned")
+
+
+@sql("SELECT path FROM @photos WHERE NOT coalesce(scanned >= TIMESTAMP '2024-01-10 00:00:00' AND camera = 'cam3', false)")
+def left_to_scan(s, d):
+    p = _photos(s, d)
+    return runs.left_to_scan(p.select("path"), p, F.lit("2024-01-10").cast("timestamp"), "cam3", scanned="scanned", version="camera")
+
+
+_MARK = "TIMESTAMP '2024-01-20 00:00:00'"
+
+
+@sql(f"""SELECT sequence, n, first, mean, CASE WHEN had_none OR unknown OR newest > through THEN 2 ELSE 1 END AS generation FROM (
+  SELECT sequence, count(*) AS n, min(photo) AS first, round(avg(value), 4) AS mean, bool_or(scanned IS NULL) AS unknown, max(scanned) AS newest, count_if(scanned <= {_MARK} OR scanned IS NULL) = 0 AS had_none,
+  (SELECT max(scanned) FROM @photos WHERE scanned <= {_MARK}) AS through FROM @photos WHERE sequence IS NOT NULL GROUP BY sequence)""")
+def remeasured_runs(s, d):
+    """Measures of all sequences after a first pass over what was scanned by a day and a second over everything; the
+    second takes the sequences with new frames alone."""
+    p = _photos(s, d)
+    take = lambda rows: rows.groupBy("sequence").agg(F.count("*").alias("n"), F.min("photo").alias("first"), F.round(F.avg("value"), 4).alias("mean"))
+    kept = runs.Measures(s, f"{tables.shared_folder(s)}/lumenfold-tables/{uuid.uuid4().hex}", "sequence", "scanned", take, "v1")
+    tables.remove_at_end(s, kept.folder)
+    kept.update(p.where(f"scanned <= {_MARK} or scanned is null"))
+    kept.update(p)
+    return kept.current(p).select("sequence", "n", "first", "mean", F.col("generation").cast("int").alias("generation"))
+
+
+_EXPORTED = "(SELECT photo, CASE WHEN photo % 4 = 0 THEN 'old' ELSE path END AS path, CASE WHEN photo % 3 = 0 THEN NULL ELSE moment END AS caption, (stars * 7 + photo) % 3 AS stars, favourite, CASE WHEN photo % 5 = 0 THEN value END AS thumb FROM @photos WHERE category IS NOT NULL UNION ALL SELECT -1 - photo, path, moment, stars, favourite, value FROM @photos WHERE favourite = 1)"
+
+
+@sql(f"""WITH s AS (SELECT photo, path, CASE WHEN photo % 2 = 0 THEN moment END AS caption, stars, favourite, value AS thumb FROM @photos), e AS {_EXPORTED}
+SELECT coalesce(s.photo, e.photo) AS photo, CASE WHEN s.photo IS NULL THEN e.path ELSE s.path END AS path, CASE WHEN s.photo IS NULL THEN e.caption ELSE coalesce(s.caption, e.caption) END AS caption, CASE WHEN s.photo IS NULL OR coalesce(e.stars <> 0, false) THEN e.stars ELSE s.stars END AS stars,
+  CASE WHEN s.photo IS NULL OR coalesce(e.favourite <> 0, false) THEN e.favourite ELSE s.favourite END AS favourite, e.thumb,
+  CASE WHEN s.photo IS NULL THEN 'deleted' WHEN e.photo IS NULL THEN 'added' WHEN s.path = e.path AND coalesce(s.caption, e.caption) IS NOT DISTINCT FROM e.caption AND (e.stars <> 0 OR s.stars = e.stars) AND (e.favourite <> 0 OR s.favourite = e.favourite) THEN 'same' ELSE 'updated' END AS change
+FROM s FULL JOIN e ON s.photo = e.photo""")
+def second_export(s, d):
+    """A viewer's copy brought up to date: new and deleted photos, texts, what the viewer wrote and rated."""
+    p = _photos(s, d)
+    source = p.select("photo", "path", F.when(F.col("photo") % 2 == 0, F.col("moment")).alias("caption"), "stars", "favourite", F.col("value").alias("thumb"))
+    first = p.where("category is not null").selectExpr("photo", "CASE WHEN photo % 4 = 0 THEN 'old' ELSE path END AS path", "CASE WHEN photo % 3 = 0 THEN NULL ELSE moment END AS caption", "(stars * 7 + photo) % 3 AS stars", "favourite", "CASE WHEN photo % 5 = 0 THEN value END AS thumb")
+    gone = p.where("favourite = 1").selectExpr("-1 - photo AS photo", "path", "moment AS caption", "stars", "favourite", "value AS thumb")
+    return tables.merged_export(source, first.unionByName(gone), "photo", ["thumb"], ["caption"], ["stars", "favourite"])
+
+
 # --------------------------------------------------------------------------------------------- preferences
 
 _METRICS = ("aesthetic", "sharpness", "face_quality", "eyes", "expression")

@@ -4,11 +4,13 @@ Each entry pairs a function (spark, folder) -> DataFrame with SQL for the same r
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import exprs, images
-from lumenfold.operators import culling, filters, grouping, learning, persons, quality, scoring, similarity, stats, windows
+from lumenfold.operators import culling, filters, grouping, learning, persons, quality, scoring, similarity, stats, text_index, windows
 from lumenfold.plans import photos
 from lumenfold.plans.catalog import ORACLES, QUERIES, query
 from lumenfold.sources import tables
@@ -423,6 +425,17 @@ def bm25_search(s, d):
     return similarity.bm25(_t(s, d, "documents"), "doc_id", "text", ["idiot", "license"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(['idiot', 'license'])})")
+def indexed_search(s, d):
+    """The search over an index that was built from older texts, and brought up to date since."""
+    t = _t(s, d, "documents")
+    index = text_index.TextIndex(s, f"{tables.shared_folder(s)}/lumenfold-tables/{uuid.uuid4().hex}", "doc_id")
+    tables.remove_at_end(s, index.folder)
+    index.update(t.select(F.when(F.col("lang") == "en", F.col("doc_id")).otherwise(-1 - F.col("doc_id")).alias("doc_id"), F.concat(F.lit("idiot "), F.coalesce("text", F.lit(""))).alias("text")), "text")
+    index.update(t, "text", removed=t.where("lang <> 'en' or lang is null").select((-1 - F.col("doc_id")).alias("doc_id")))
+    return index.search(["idiot", "license"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH t AS ({_bm25_sql(['idiot', 'license'])}), n AS (SELECT doc_id AS k, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS t FROM t),
 v AS (SELECT a.vec_id AS k, round({_COS}, 6) AS v FROM {_E} a JOIN {_E} b ON b.vec_id = 0 ORDER BY 2 DESC, 1 LIMIT 100)
 SELECT k, round(.7 * coalesce(v, 0) + .3 * coalesce(t, 0), 6) AS score FROM v FULL JOIN n USING (k) ORDER BY 2 DESC, 1 LIMIT 40""")

@@ -51,6 +51,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder below the shared one when the driver ends."""
+    _WRITTEN.append((spark, path))
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
@@ -94,6 +99,35 @@ def export_delta(new: DataFrame, exported: DataFrame, key: str) -> tuple[DataFra
     return new.select(key).subtract(exported.select(key)), exported.select(key).subtract(new.select(key))
 
 
+def merged_export(source: DataFrame, exported: DataFrame, key: str, stripped: list[str], cached: list[str], rated: list[str]) -> DataFrame:
+    """An export brought up to date, with ``change``: added, deleted, updated or same.
+
+    Each column has its rule: ``stripped`` ones are kept as exported (null in new rows), ``cached`` ones come from the
+    source unless that is null, ``rated`` ones keep what the viewer set (neither null nor 0), all others come from the
+    source.  Columns that only one side has are left out.  Deleted rows come with what they held, so that a delta can be
+    sent; keys are unique."""
+    columns = [c for c in source.columns if c in exported.columns and c != key]
+    new = source.select(key, F.struct(*columns).alias("_s"))
+    old = exported.select(key, F.struct(*columns).alias("_e"))
+    both = new.join(old, key, "full")
+    s, e = (lambda c: F.col("_s").getField(c)), (lambda c: F.col("_e").getField(c))
+
+    def rule(c: str):
+        if c in stripped:
+            return e(c)
+        if c in cached:
+            return F.coalesce(s(c), e(c))
+        if c in rated:
+            return F.when(F.coalesce(e(c) != 0, F.lit(False)), e(c)).otherwise(s(c))
+        return s(c)
+
+    gone, fresh = F.col("_s").isNull(), F.col("_e").isNull()
+    after = F.struct(*(rule(c).alias(c) for c in columns))
+    out = both.select(key, F.when(gone, F.col("_e")).otherwise(after).alias("_a"), "_e", gone.alias("_gone"), fresh.alias("_fresh"))
+    change = F.when(F.col("_gone"), "deleted").when(F.col("_fresh"), "added").when(F.col("_a").eqNullSafe(F.col("_e")), "same").otherwise("updated")
+    return out.select(key, "_a.*", change.alias("change"))
+
+
 def export_scores(photos: DataFrame, scores: list[str], order: str, key: str) -> DataFrame:
     """Rows with their scores nested, best first."""
     return photos.select(key, order, F.struct(*scores).alias("scores")).orderBy(F.col(order).desc(), key)
