@@ -60,6 +60,15 @@ def exposure_parts(luma: Column | str) -> Column:
     return F.struct(m.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - m * m)).alias("spread"), share(luma, 0, 29).alias("shadow"), share(luma, 225, 255).alias("highlight"))
 
 
+def exposure_score(luma: Column | str, bimodality: Column, silhouette: Column, stored: Column) -> Column:
+    """Exposure from 0 to 10 out of a luma histogram: less for a mean off the middle, two humps and clipped ends (not in
+    silhouettes), more for spread; the stored score where there is no histogram or an empty one."""
+    p = exposure_parts(luma)
+    clipped = F.when(silhouette, 0.0).otherwise(p["shadow"] * 4.0 + p["highlight"] * 5.0)
+    score = 7.0 - F.abs(p["mean"] / 255 - 0.5) * 8 + F.least(F.lit(4.0), p["spread"] / 20.0) - F.greatest(F.lit(0.0), F.coalesce(bimodality, F.lit(0.0)) - 1.0) * 0.6 - clipped
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)), stored)
+
+
 # ------------------------------------------------------------------------------------------ pixel kernels
 
 

@@ -95,8 +95,16 @@ def critique(df: DataFrame, key: str, metrics: list[str], share: Mapping[str, fl
 
 
 # --- Fixed values: thresholds and sizes of penalties, value bounds of metrics ---------------------------------
-LEADING_LINES_BLEND = 0.3
+LEADING_LINES_BLEND, LINES_SCALE = 0.3, 1.77
 VALUE_BOUNDS = {"iso": 1e7, "f_stop": 100.0, "focal": 3000.0}
+PORTRAITS, FACE_KINDS, DARK_KINDS = ("portrait", "group_portrait"), ("portrait", "portrait_bw", "group_portrait"), ("night", "astro", "concert")
+#: Metrics that count as measured, and the columns that hold them.
+PLAIN_METRICS = {
+    "face_quality": "face_quality", "face_sharpness": "face_sharpness", "eye_sharpness": "eye_sharpness", "power_point": "power_point_score",
+    "exposure": "exposure_score", "contrast": "contrast_score", "aesthetic_iaa": "aesthetic_iaa", "face_quality_iqa": "face_quality_iqa", "liqe": "liqe_score",
+    "subject_sharpness": "subject_sharpness", "subject_prominence": "subject_prominence", "subject_placement": "subject_placement", "bg_separation": "bg_separation",
+    "symmetry": "form_symmetry", "balance": "form_balance", "edge_entropy": "form_edge_entropy", "fractal": "form_fractal",
+}
 # -------------------------------------------------------------------------------------------------------------
 
 
@@ -113,10 +121,76 @@ def metric_vector(raw: Mapping[str, Column], defaults: Mapping[str, float]) -> d
     return out
 
 
-def composition(power_points: Column, leading_lines: Column) -> Column:
-    """Composition with leading lines blended in where there are any."""
-    lines = F.coalesce(leading_lines, F.lit(0.0))
-    return F.when(lines > 0, (1 - LEADING_LINES_BLEND) * power_points + LEADING_LINES_BLEND * lines).otherwise(power_points)
+def composition(points: Column, lines: Column) -> Column:
+    """Composition with its bonus for leading lines (from 0 to 10)."""
+    return F.when(lines > 0, F.least(F.lit(10.0), points + LEADING_LINES_BLEND * lines)).otherwise(points)
+
+
+def measured_vector(raw: Mapping[str, Column], kind: str, share: Mapping[str, float]) -> dict[str, Column]:
+    """The metrics of a photo of category ``kind``, each from 0 to 10 where it is right, from what was measured.
+
+    Sharpness is owed to high ISO, isolation to wide apertures; colour is neutral in monochrome photos; leading lines
+    raise the composition of all but portraits; noise counts downwards; the share of a quality that is not measured by
+    itself goes to the aesthetic.  What is missing, no number or out of bounds takes its default."""
+
+    def get(name: str, default: float | None) -> Column:
+        c = raw.get(name)
+        if c is None:
+            return F.lit(default).cast("double")
+        v = c.cast("double")
+        return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= F.lit(VALUE_BOUNDS.get(name, 100.0))), v).otherwise(F.lit(default).cast("double"))
+
+    iso, stop = get("iso", None), get("f_stop", None)
+    sharp = get("tech_sharpness", 5.0)
+    isolation = get("isolation_bonus", 1.0)
+    wide = F.least(F.lit(3.0), isolation * F.when(stop <= 2.0, 1.5).otherwise(1.3))
+    isolation = F.when((stop != 0) & (stop <= 2.8), wide).otherwise(isolation)
+    lines = F.least(F.lit(10.0), get("leading_lines_score", 0.0) * LINES_SCALE)
+    mono = F.coalesce(raw["is_monochrome"].cast("int"), F.lit(0)) != 0 if "is_monochrome" in raw else F.lit(False)
+    extra = share.get("quality", 0.0) / max(share.get("aesthetic", 0.0), 0.01) if share.get("aesthetic", 0.0) > 0 else 0.0
+    plain = {name: get(source, 5.0) for name, source in PLAIN_METRICS.items()}
+    return plain | {
+        "aesthetic": get("aesthetic", 5.0) + extra,
+        "tech_sharpness": F.when(iso > 800, F.least(F.lit(10.0), sharp + 0.5 * F.log2(iso / 800))).otherwise(sharp),
+        "composition": get("comp_score", 5.0) if kind in PORTRAITS else composition(get("comp_score", 5.0), lines),
+        "leading_lines": lines,
+        "color": F.when(mono, 5.0).otherwise(get("color_score", 5.0)),
+        "color_harmony": F.when(mono, 5.0).otherwise(get("color_harmony", 5.0)),
+        "dynamic_range": F.least(F.lit(10.0), get("histogram_spread", 0.0) / 6.0),
+        "saturation": F.least(F.lit(10.0), get("mean_saturation", 0.5) * 10.0),
+        "noise": clamp(10.0 - get("noise_sigma", 0.0) * 0.7),
+        "isolation": F.least(F.lit(10.0), (isolation - 1.0) * 5.0),
+    }
+
+
+def category_score(raw: Mapping[str, Column], kind: str, share: Mapping[str, float], flags: Mapping[str, float] | None = None) -> Column:
+    """The aggregate of a photo of one category: weighted metrics, halved for shut eyes in portraits, less penalties.
+
+    ``flags`` may name bonus, noise_tolerance, clipping (factors), and blink, skip_clipping, skip_oversaturation."""
+    f = dict(flags or {})
+    zero = lambda n: F.coalesce(raw[n].cast("double"), F.lit(0.0)) if n in raw else F.lit(0.0)
+    metrics = measured_vector(raw, kind, share)
+    score = reduce(lambda a, b: a + b, (F.greatest(F.lit(0.0), F.least(F.lit(10.0), metrics[m])) * F.lit(float(w)) for m, w in share.items() if w > 0 and m in metrics), F.lit(0.0))
+    if f.get("blink", kind in FACE_KINDS):
+        score = F.when(zero("is_blink") != 0, score * 0.5).otherwise(score)
+    score = score + f.get("bonus", 0.0)
+    if not f.get("skip_clipping", kind == "silhouette"):
+        clipped = F.when(zero("is_silhouette") != 0, 0.0).otherwise(zero("shadow_clipped") * 0.5 + zero("highlight_clipped"))
+        score = score - clipped * f.get("clipping", 1.5 if kind == "default" else 1.0)
+    score = score - F.greatest(F.lit(0.0), F.least(F.lit(1.5), (zero("noise_sigma") - 4.0) * 0.3)) * f.get("noise_tolerance", 1.0)
+    score = score - F.when(zero("histogram_bimodality") > 2.5, 0.5).otherwise(0.0)
+    if not f.get("skip_oversaturation", kind in DARK_KINDS):
+        score = score - F.when(zero("mean_saturation") > 0.9, 0.5).otherwise(0.0)
+    return clamp(score)
+
+
+def rescored(df: DataFrame, key: str, kind: str, raw: Mapping[str, Column], share: Mapping[str, Mapping[str, float]], flags: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """(key, category, aggregate, exposure_score) of rows whose category stands in ``kind``, in one projection."""
+    score = category_score(raw, "default", share["default"], (flags or {}).get("default"))
+    for name in share:
+        if name != "default":
+            score = F.when(F.col(kind) == name, category_score(raw, name, share[name], (flags or {}).get(name))).otherwise(score)
+    return df.select(key, F.col(kind).alias("category"), F.round(score, 4).alias("aggregate"), F.round(raw["exposure_score"], 4).alias("exposure_score"))
 
 
 def recomputed(df: DataFrame, key: str, rules: Mapping[str, Column], priority: tuple[str, ...], share: Mapping[str, Mapping[str, float]], metrics: Mapping[str, Column], blink: Column, minus: Column, override: str | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.functions import exprs
-from lumenfold.operators import capsules, density, feeds, fitting, gallery, grouping, reports, scoring, similarity
+from lumenfold.functions import exprs, images
+from lumenfold.operators import capsules, density, feeds, fitting, gallery, grouping, moments, reports, scoring, similarity, stats
 from lumenfold.plans.catalog import query
 from lumenfold.sources import runs, tables
 
@@ -541,6 +541,54 @@ def changed_scores(s, d):
     return scoring.changed(_photos(s, d), _recomputed(s, d), "photo")
 
 
+_FULL_KIND = "CASE WHEN focal > 300 AND iso > 9000 THEN 'night' WHEN faces >= 3 THEN 'group_portrait' WHEN mono = 1 THEN 'mono' WHEN faces >= 1 THEN 'portrait' ELSE 'default' END"
+_FULL_SHARES = {
+    "default": {"aesthetic": 0.3, "tech_sharpness": 0.2, "exposure": 0.2, "composition": 0.2, "isolation": 0.1},
+    "portrait": {"aesthetic": 0.3, "quality": 0.1, "eye_sharpness": 0.4, "isolation": 0.1, "color": 0.1},
+    "group_portrait": {"face_quality": 0.5, "noise": 0.3, "composition": 0.2},
+    "mono": {"dynamic_range": 0.4, "color": 0.2, "tech_sharpness": 0.4},
+    "night": {"noise": 0.4, "saturation": 0.2, "tech_sharpness": 0.4},
+}
+_FULL_FLAGS = {"night": {"bonus": 0.5, "noise_tolerance": 0.5}}
+_C = lambda x: f"greatest(0, least(10, {x}))"
+_FULL_SUMS = {
+    "default": f".3 * {_C('aesthetic')} + .2 * {_C('sharp')} + .2 * {_C('exposure')} + .2 * {_C('comp_lines')} + .1 * {_C('isolated')}",
+    "portrait": f".3 * {_C('aesthetic + .1 / .3')} + .4 * {_C('eyes')} + .1 * {_C('isolated')} + .1 * {_C('colour')}",
+    "group_portrait": f".5 * {_C('face_quality')} + .3 * {_C('10 - noise * .7')} + .2 * {_C('face_quality')}",
+    "mono": f".4 * {_C('least(10, spread / 6)')} + .2 * {_C('colour')} + .4 * {_C('sharp')}",
+    "night": f".4 * {_C('10 - noise * .7')} + .2 * {_C('saturation * 10')} + .4 * {_C('sharp')}",
+}
+
+
+@sql(f"""WITH p AS (SELECT *, {_FULL_KIND} AS kind, value / 19 AS noise, stars = 5 AS silhouette, aesthetic / 3 AS humps, CASE WHEN photo % 11 <> 0 THEN list_transform(range(256), lambda i: ((photo * 31 + i * i) % 17)::DOUBLE) END AS luma FROM @photos),
+g AS (SELECT kind, max(CASE WHEN rn = least(floor(c * .95), c - 1) + 1 THEN value END) AS g FROM (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY value) AS rn, count(*) OVER (PARTITION BY kind) AS c FROM p WHERE value IS NOT NULL) GROUP BY 1 HAVING count(*) >= 50),
+o AS (SELECT max(CASE WHEN rn = least(floor(c * .95), c - 1) + 1 THEN value END) AS o FROM (SELECT value, row_number() OVER (ORDER BY value) AS rn, count(*) OVER () AS c FROM p WHERE value IS NOT NULL)),
+h AS (SELECT photo, list_sum(list_transform(luma, lambda x, i: x * (i - 1))) / list_sum(luma) AS mean, list_sum(list_transform(luma, lambda x, i: x * (i - 1) * (i - 1))) / list_sum(luma) AS square, list_sum(luma[1:30]) / list_sum(luma) AS low, list_sum(luma[226:256]) / list_sum(luma) AS high FROM p),
+e AS (SELECT photo, mean, sqrt(square - mean * mean) AS spread, low, high FROM h),
+m AS (SELECT p.*, e.spread AS spread0, coalesce(e.spread, 0) AS spread, coalesce({_C("7 - abs(e.mean / 255 - .5) * 8 + least(4, e.spread / 20) - greatest(0, humps - 1) * .6 - CASE WHEN silhouette THEN 0 ELSE e.low * 4 + e.high * 5 END")}, expression) AS exposure,
+  {_C("value / coalesce(g.g, o.o) * 10")} AS normal, 1 + stars / 2.0 AS own, CASE WHEN mono = 1 THEN 5 ELSE expression END AS colour, least(10, confidence * 8 * 1.77) AS lines FROM p JOIN e USING (photo) LEFT JOIN g USING (kind), o),
+n AS (SELECT *, CASE WHEN iso > 800 THEN least(10, normal + .5 * log2(iso / 800)) ELSE normal END AS sharp, least(10, (CASE WHEN f_stop <= 2.8 THEN least(3, own * CASE WHEN f_stop <= 2 THEN 1.5 ELSE 1.3 END) ELSE own END - 1) * 5) AS isolated,
+  CASE WHEN lines > 0 THEN least(10, face_quality + .3 * lines) ELSE face_quality END AS comp_lines FROM m),
+s AS (SELECT *, CASE kind {" ".join(f"WHEN '{k}' THEN {x}" for k, x in _FULL_SUMS.items())} END * CASE WHEN kind IN ('portrait', 'group_portrait') AND coalesce(blink, 0) = 1 THEN .5 ELSE 1 END + CASE WHEN kind = 'night' THEN .5 ELSE 0 END
+  - CASE WHEN silhouette THEN 0 ELSE coalesce(clipped, 0) * .5 * CASE WHEN kind = 'default' THEN 1.5 ELSE 1 END END - least(1.5, greatest(0, (noise - 4) * .3)) * CASE WHEN kind = 'night' THEN .5 ELSE 1 END
+  - CASE WHEN humps > 2.5 THEN .5 ELSE 0 END - CASE WHEN kind <> 'night' AND saturation > .9 THEN .5 ELSE 0 END AS total FROM n)
+SELECT photo, kind AS category, round({_C("total")}, 4) AS aggregate, round(exposure, 4) AS exposure_score FROM s""")
+def rescored_library(s, d):
+    """The whole chain: category, sharpness by the category's 95th percentile, exposure by histogram, metrics, aggregate."""
+    p = _photos(s, d).withColumn("kind", F.expr(_FULL_KIND))
+    luma = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.pmod(F.col("photo") * 31 + i * i, F.lit(17)).cast("double"))
+    p = p.withColumn("luma", F.when(F.col("photo") % 11 != 0, luma)).withColumn("silhouette", F.col("stars") == 5)
+    p = tables.checkpointed(p.withColumn("exposure", images.exposure_score("luma", F.col("aesthetic") / 3, F.col("silhouette"), F.col("expression"))).withColumn("spread", images.exposure_parts("luma")["spread"]).drop("luma"))
+    by, overall = stats.nearest_rank(p, ["kind"], "value", [95], 50), stats.nearest_rank(p.withColumn("all", F.lit(1)), ["all"], "value", [95])
+    p = scoring.normalised(p, "kind", "value", by, overall, "p95")
+    raw = {
+        "aesthetic": F.col("aesthetic"), "tech_sharpness": F.col("value_norm"), "iso": F.col("iso"), "f_stop": F.col("f_stop"), "isolation_bonus": 1 + F.col("stars") / 2.0, "exposure_score": F.col("exposure"), "histogram_spread": F.col("spread"),
+        "color_score": F.col("expression"), "is_monochrome": F.col("mono"), "comp_score": F.col("face_quality"), "leading_lines_score": F.col("confidence") * 8, "noise_sigma": F.col("value") / 19, "histogram_bimodality": F.col("aesthetic") / 3,
+        "mean_saturation": F.col("saturation"), "shadow_clipped": F.col("clipped"), "is_silhouette": F.col("silhouette").cast("int"), "is_blink": F.col("blink"), "eye_sharpness": F.col("eyes"), "face_quality": F.col("face_quality"),
+    }
+    return scoring.rescored(p, "photo", "kind", raw, _FULL_SHARES, _FULL_FLAGS)
+
+
 @sql("SELECT photo, CASE WHEN isnan(x) OR isinf(x) OR abs(x) > 100 THEN 5 ELSE x END AS guarded FROM (SELECT photo, CASE WHEN photo % 10 = 3 THEN 'nan'::DOUBLE WHEN photo % 10 = 4 THEN 'inf'::DOUBLE ELSE value END AS x FROM @photos)")
 def value_guard(s, d):
     p = _photos(s, d).withColumn("x", F.expr("CASE WHEN photo % 10 = 3 THEN double('NaN') WHEN photo % 10 = 4 THEN double('Infinity') ELSE value END"))
@@ -800,6 +848,40 @@ def map_points(s, d):
     return p.orderBy(F.col("aggregate").desc_nulls_last(), "photo").limit(500).select("photo", "lat", "lon")
 
 
+@query(f"""WITH s AS (SELECT a.vec_id, a.label AS own, b.label, CASE WHEN a.label % 3 = 0 THEN 'caption' ELSE 'image' END AS signal, max(list_cosine_similarity(a.v, b.v)) AS s FROM {_V} a JOIN {_V} b ON b.vec_id < 12 GROUP BY 1, 2, 3, 4),
+x AS (SELECT *, s + .5 * (CASE WHEN own >= 5 AND label = 1 THEN .1 ELSE 0 END + CASE WHEN own < 3 AND label IN (2, 4) THEN .08 * CASE WHEN signal = 'caption' THEN .5 ELSE 1 END ELSE 0 END) AS a FROM s),
+c AS (SELECT vec_id, signal, max(s) AS top, list(s ORDER BY s DESC)[2] AS second, arg_min(label, (-a, label)) AS label, arg_min(s, (-a, label)) AS chosen, max(a) AS most, sum(exp((a - (SELECT max(a) FROM x y WHERE y.vec_id = x.vec_id)) / .05)) AS whole FROM x GROUP BY 1, 2)
+SELECT vec_id, signal, CASE WHEN opened THEN 'm' || label ELSE 'other' END AS moment, round(CASE WHEN opened THEN chosen ELSE top END, 6) AS confidence, round(1 / whole, 6) AS chance
+FROM (SELECT *, top >= CASE signal WHEN 'caption' THEN .2 ELSE .15 END AND top - second >= CASE signal WHEN 'caption' THEN .02 ELSE .01 END AS opened FROM c)""")
+def classified_moments(s, d):
+    """A moment for every vector, by the prompts of twelve others; every third label has captions."""
+    e = tables.table(s, d, "embeddings")
+    prompts = e.where("vec_id < 12").select(F.concat(F.lit("m"), "label").alias("label"), F.col("embedding").alias("prompt"))
+    names = sorted(r[0] for r in prompts.select("label").distinct().collect())  # at most twelve
+    signal = e.select("vec_id", F.when(F.col("label") % 3 == 0, "caption").otherwise("image").alias("signal"))
+    scored = similarity.zero_shot(e, "vec_id", "embedding", prompts).join(signal, "vec_id")
+    priors = [moments.Prior(F.col("label") >= 5, {"m1": 0.1}), moments.Prior(F.col("label") < 3, {"m2": 0.08, "m4": 0.08, "unknown": 1.0}, tag=True)]
+    found = moments.classified(scored, e.select("vec_id", "label"), "vec_id", names, priors, 0.5, {"image": (0.15, 0.01), "caption": (0.2, 0.02)}, 0.05, 0.5)
+    return found.select("vec_id", "signal", "moment", F.round("confidence", 6).alias("confidence"), F.round(F.array_max("chances"), 6).alias("chance"))
+
+
+@query("""WITH w AS (SELECT source, lower(unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term FROM documents), c AS (SELECT source, term, count(*) AS tf FROM w WHERE source IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY 1), r AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY round(tf * (ln((1 + (SELECT count(DISTINCT source) FROM c)) / (1 + df)) + 1), 9) DESC, term) AS rank FROM c JOIN f USING (term))
+SELECT source, string_agg(term, ' ' ORDER BY rank) AS terms FROM r WHERE rank <= 3 GROUP BY source""")
+def group_names(s, d):
+    """What each source's texts are about, against the others'."""
+    return moments.cluster_names(tables.table(s, d, "documents"), "source", "text").select("source", F.array_join("terms", " ").alias("terms"))
+
+
+@query()
+def discovered_moments(s, d):
+    """Dense groups of vectors, named by the texts of the documents with the same numbers."""
+    e = tables.table(s, d, "embeddings").select("vec_id", "embedding")
+    said = tables.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    found = moments.discovered(e.join(said, "vec_id", "left"), "vec_id", "embedding", "text")
+    return found.select("cluster", "size", F.array_join("terms", " ").alias("terms"), F.size("captions").alias("examples"))
+
+
 @query()
 def moment_scenes(s, d):
     p = _photos(s, d).where((F.coalesce("burst_lead", F.lit(1)) == 1) & gallery.toggle("rejected"))
