@@ -65,8 +65,8 @@ def exposure_score(luma: Column | str, bimodality: Column, silhouette: Column, s
     silhouettes), more for spread; the stored score where there is no histogram or an empty one."""
     p = exposure_parts(luma)
     clipped = F.when(silhouette, 0.0).otherwise(p["shadow"] * 4.0 + p["highlight"] * 5.0)
-    score = 7.0 - F.abs(p["mean"] / 255 - 0.5) * 8 + F.least(F.lit(4.0), p["spread"] / 20.0) - F.greatest(F.lit(0.0), F.coalesce(bimodality, F.lit(0.0)) - 1.0) * 0.6 - clipped
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)), stored)
+    score = 7.0 - F.abs(p["mean"] / 255 - 0.5) * 8 + F.when(p["spread"] < 80, p["spread"] / 20.0).otherwise(4.0) - F.greatest(F.lit(0.0), F.coalesce(bimodality, F.lit(0.0)) - 1.0) * 0.6 - clipped
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), score))).otherwise(stored)
 
 
 # ------------------------------------------------------------------------------------------ pixel kernels

@@ -13,6 +13,7 @@ from lumenfold.operators.windows import group_top_k
 # --- Fixed values ---------------------------------------------------------------------------------------------
 VIVID, MUTED, MONO_SHARE = 0.5, 0.25, 0.5
 SEED_DAYS, SEED_KM = 7, 10.0
+STORY_COSINE, STORY_LEAST = 0.75, 8
 # -------------------------------------------------------------------------------------------------------------
 
 
@@ -138,3 +139,20 @@ def crossed(photos: DataFrame, first: str, second: str, key: str, k: int, least:
     rows = photos.select(key, "aggregate", d[first].cast("string").alias("x"), d[second].cast("string").alias("y")).where("x is not null and y is not null")
     top = rows.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "x", "y").limit(groups)
     return best_of(rows.join(F.broadcast(top.select("x", "y")), ["x", "y"], "left_semi"), ["x", "y"], F.col("aggregate"), key, k, least).select("x", "y", key, "rank")
+
+
+def colour_stories(photos: DataFrame, key: str, vector: str, tags: str, score: str, alike: float = STORY_COSINE, least: int = STORY_LEAST, stories: int = 5, k: int = 40) -> DataFrame:
+    """The largest groups of photos that look alike, each with its best photos and its two most frequent tags as name.
+
+    Groups are components of pairs within ``alike``, over all photos; rows (story, name, n, key, rank)."""
+    from lumenfold.operators.grouping import components
+    from lumenfold.operators.similarity import pairs_above
+
+    member = components(pairs_above(photos, key, vector, alike)).select(F.col("node").alias(key), F.col("component").alias("story"))
+    top = member.groupBy("story").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "story").limit(stories)
+    rows = member.join(F.broadcast(top), "story").join(photos.select(key, tags, score), key)  # a handful of stories
+    counts = rows.select("story", F.explode(tags).alias("tag")).groupBy("story", "tag").agg(F.count("*").alias("t"))
+    first = group_top_k(counts, ["story"], [F.col("t").desc(), F.col("tag")], 2)
+    name = first.groupBy("story").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: F.initcap(x["tag"])), " & ").alias("name"))
+    best = group_top_k(rows.select("story", "n", key, score), ["story"], [F.col(score).desc_nulls_last(), F.col(key)], k)
+    return best.join(name, "story", "left").select("story", F.coalesce("name", F.lit("Visual Story")).alias("name"), "n", key, "rank")

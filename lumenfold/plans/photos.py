@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import exprs, images
-from lumenfold.operators import capsules, density, feeds, fitting, gallery, grouping, moments, reports, scoring, similarity, stats
+from lumenfold.operators import calibration, capsules, density, feeds, fitting, gallery, grouping, moments, reports, scoring, similarity, stats
 from lumenfold.plans.catalog import query
 from lumenfold.sources import runs, tables
 
@@ -71,6 +71,7 @@ def sql(text: str):
     return query(text.replace("@photos", _P))
 
 
+_V = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _NOT_BURST = "(coalesce(burst_lead, 0) = 1 OR burst_lead IS NULL OR burst IS NULL OR coalesce(sequence_lead, 0) = 1)"
 _NOT_TWIN = "(coalesce(twin_lead, 0) = 1 OR twin_lead IS NULL OR twin IS NULL)"
 _NOT_BRACKET = "(coalesce(sequence_kind <> 'bracket', true) OR coalesce(ev_offset = 0, false))"
@@ -565,7 +566,7 @@ g AS (SELECT kind, max(CASE WHEN rn = least(floor(c * .95), c - 1) + 1 THEN valu
 o AS (SELECT max(CASE WHEN rn = least(floor(c * .95), c - 1) + 1 THEN value END) AS o FROM (SELECT value, row_number() OVER (ORDER BY value) AS rn, count(*) OVER () AS c FROM p WHERE value IS NOT NULL)),
 h AS (SELECT photo, list_sum(list_transform(luma, lambda x, i: x * (i - 1))) / list_sum(luma) AS mean, list_sum(list_transform(luma, lambda x, i: x * (i - 1) * (i - 1))) / list_sum(luma) AS square, list_sum(luma[1:30]) / list_sum(luma) AS low, list_sum(luma[226:256]) / list_sum(luma) AS high FROM p),
 e AS (SELECT photo, mean, sqrt(square - mean * mean) AS spread, low, high FROM h),
-m AS (SELECT p.*, e.spread AS spread0, coalesce(e.spread, 0) AS spread, coalesce({_C("7 - abs(e.mean / 255 - .5) * 8 + least(4, e.spread / 20) - greatest(0, humps - 1) * .6 - CASE WHEN silhouette THEN 0 ELSE e.low * 4 + e.high * 5 END")}, expression) AS exposure,
+m AS (SELECT p.*, e.spread AS spread0, coalesce(e.spread, 0) AS spread, CASE WHEN e.mean IS NULL THEN expression ELSE {_C("7 - abs(e.mean / 255 - .5) * 8 + least(4, e.spread / 20) - greatest(0, humps - 1) * .6 - CASE WHEN silhouette THEN 0 ELSE e.low * 4 + e.high * 5 END")} END AS exposure,
   {_C("value / coalesce(g.g, o.o) * 10")} AS normal, 1 + stars / 2.0 AS own, CASE WHEN mono = 1 THEN 5 ELSE expression END AS colour, least(10, confidence * 8 * 1.77) AS lines FROM p JOIN e USING (photo) LEFT JOIN g USING (kind), o),
 n AS (SELECT *, CASE WHEN iso > 800 THEN least(10, normal + .5 * log2(iso / 800)) ELSE normal END AS sharp, least(10, (CASE WHEN f_stop <= 2.8 THEN least(3, own * CASE WHEN f_stop <= 2 THEN 1.5 ELSE 1.3 END) ELSE own END - 1) * 5) AS isolated,
   CASE WHEN lines > 0 THEN least(10, face_quality + .3 * lines) ELSE face_quality END AS comp_lines FROM m),
@@ -597,7 +598,6 @@ def value_guard(s, d):
 
 # -------------------------------------------------------------------------------------- people and vectors
 
-_V = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
 @query("SELECT vec_id AS photo, CAST(1.0 AS DOUBLE) AS score FROM embeddings WHERE vec_id <> 4 AND label = (SELECT label FROM embeddings WHERE vec_id = 4) ORDER BY vec_id DESC LIMIT 20")
@@ -670,6 +670,54 @@ def face_clusters(s, d):
     return density.people_of(faces.join(found, "vec_id"), "vec_id", "embedding", persons, "owner")
 
 
+# ------------------------------------------------------------------------------------------------- calibration
+
+_CANDIDATES = ((0.2, 0.2, 0.2, 0.2, 0.2), (0.0, 0.6, 0.0, 0.4, 0.0), (0.5, 0.1, 0.1, 0.1, 0.2))
+_FIVE = ("aesthetic", "sharpness", "face_quality", "eyes", "expression")
+
+
+def _rated(s, d):
+    """Photos with an outside rating that follows sharpness and eyes, and something that nobody measured."""
+    rating = (2 * F.col("sharpness") + F.col("eyes") + 2 * F.col("stars")) / 4
+    return _photos(s, d).withColumn("metrics", F.array(*map(F.col, _FIVE))).withColumn("rating", F.when(F.col("photo") % 19 > 0, rating))
+
+
+@sql(f"""WITH p AS (SELECT photo, (2 * sharpness + eyes + 2 * stars) / 4 AS y, {", ".join(_FIVE)} FROM @photos WHERE photo % 19 > 0), c AS ({" UNION ALL ".join(f"SELECT {k} AS candidate, round(" + " + ".join(f"{w} * {m}" for w, m in zip(c, _FIVE, strict=True)) + ", 2) AS p, y FROM p" for k, c in enumerate(_CANDIDATES))}),
+r AS (SELECT candidate, p, y, rank() OVER (PARTITION BY candidate ORDER BY p) + (count(*) OVER (PARTITION BY candidate, p) - 1) / 2 AS rp, rank() OVER (PARTITION BY candidate ORDER BY y) + (count(*) OVER (PARTITION BY candidate, y) - 1) / 2 AS ry FROM c)
+SELECT candidate, round(corr(rp, ry), 6) AS spearman, round(corr(p, y), 6) AS pearson, round(avg(abs(p - y)), 6) AS error FROM r GROUP BY candidate""")
+def candidate_correlations(s, d):
+    """How three candidates' scores go with the ratings, from one pass over the photos."""
+    import numpy as np
+
+    found = calibration.measured(tables.checkpointed(calibration.rated(_rated(s, d), "metrics", "rating")), np.array(_CANDIDATES))
+    return s.createDataFrame([(k, *(round(float(x), 6) for x in row)) for k, row in enumerate(found)], "candidate int, spearman double, pearson double, error double")
+
+
+@query()
+def calibrated_weights(s, d):
+    """Weights that rank all rated photos most like their ratings, beside equal ones."""
+    found = calibration.search(calibration.rated(_rated(s, d), "metrics", "rating"), [1.0] * len(_FIVE))
+    rows = [(m, round(float(w), 4), round(found["before"], 6), round(found["after"], 6)) for m, w in zip(_FIVE, found["weights"], strict=True)]
+    return s.createDataFrame(rows, "metric string, weight double, before double, after double")
+
+
+@sql("""WITH p AS (SELECT CASE WHEN photo % 3 > 0 THEN moment END AS t, coalesce(CASE WHEN photo % 5 > 0 THEN moment ELSE category END, 'default') AS s FROM @photos), r AS (SELECT * FROM p WHERE t IS NOT NULL), c AS (SELECT t AS category FROM r UNION SELECT s FROM r),
+n AS (SELECT category, (SELECT count(*) FROM r WHERE t = category) AS true, (SELECT count(*) FROM r WHERE s = category) AS said, (SELECT count(*) FROM r WHERE s = category AND t = category) AS right FROM c)
+SELECT category, n.true, said, n.right, round(CASE WHEN said > 0 THEN n.right / said ELSE 0 END, 6) AS precision, round(CASE WHEN n.true > 0 THEN n.right / n.true ELSE 0 END, 6) AS recall, round(CASE WHEN n.right > 0 THEN 2.0 * n.right / (said + n.true) ELSE 0 END, 6) AS f1 FROM n""")
+def category_confusion(s, d):
+    p = _photos(s, d).select(F.when(F.col("photo") % 3 > 0, F.col("moment")).alias("t"), F.when(F.col("photo") % 5 > 0, F.col("moment")).otherwise(F.col("category")).alias("s"))
+    return calibration.confusion(p, "t", "s")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM {_V} a JOIN {_V} b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.v, b.v) >= .35), w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM w UNION SELECT r.a, w.b FROM r JOIN w ON w.a = r.b), m AS (SELECT a AS vec_id, min(b) AS story FROM r GROUP BY a),
+t AS (SELECT story, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 8 ORDER BY 2 DESC, 1 LIMIT 5), x AS (SELECT story, n, vec_id, label, ['tag' || label % 4, 'kind' || label % 3] AS tags FROM m JOIN t USING (story) JOIN embeddings USING (vec_id)),
+g AS (SELECT story, tag, count(*) AS c FROM (SELECT story, unnest(tags) AS tag FROM x) GROUP BY 1, 2), f AS (SELECT story, tag, row_number() OVER (PARTITION BY story ORDER BY c DESC, tag) AS rn FROM g), nm AS (SELECT story, string_agg(upper(tag[1]) || tag[2:], ' & ' ORDER BY rn) AS name FROM f WHERE rn <= 2 GROUP BY 1)
+SELECT story, name, n, vec_id, rank FROM (SELECT story, name, n, vec_id, row_number() OVER (PARTITION BY story ORDER BY label DESC, vec_id) AS rank FROM x JOIN nm USING (story)) WHERE rank <= 40""")
+def colour_stories(s, d):
+    e = tables.table(s, d, "embeddings").withColumn("tags", F.array(F.concat(F.lit("tag"), F.col("label") % 4), F.concat(F.lit("kind"), F.col("label") % 3)))
+    return capsules.colour_stories(e, "vec_id", "embedding", "tags", "label", 0.35)
+
+
 # ------------------------------------------------------------------------------- scan runs, index and exports
 
 _EVENTS = """(SELECT o_orderkey AS run, o_orderdate AS said, 'started' AS event, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS status FROM orders UNION ALL SELECT l_orderkey, l_shipdate, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'progress' END, CAST(l_partkey AS VARCHAR), NULL FROM lineitem
