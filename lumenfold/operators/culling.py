@@ -94,12 +94,3 @@ def dimension_collections(df: DataFrame, dimensions: dict[str, Column], score: s
         out = out.unionByName(p)
     return out.select("dimension", "value", key, "rank", "group_size")
 
-
-def drop_overlapping(collections: list[tuple[str, list]], most: float = 0.6) -> list[str]:
-    """Names of collections that do not overlap an earlier kept one by more than a share of the smaller."""
-    kept: list[tuple[str, set]] = []
-    for name, members in collections:
-        s = set(members)
-        if s and all(len(s & o) / min(len(s), len(o)) <= most for _, o in kept):
-            kept.append((name, s))
-    return [n for n, _ in kept]

@@ -147,7 +147,7 @@ def journeys(df: DataFrame, by: list[str], ts: str, tie: str, lat: str, lon: str
     """Stretches away from home, the densest tenth-of-a-degree cell."""
     cells = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*by, F.round(F.col(lat) / 0.1).alias("y"), F.round(F.col(lon) / 0.1).alias("x")).agg(F.count("*").alias("n"))
     home = cells.groupBy(*by).agg(F.min_by(F.struct("y", "x"), F.struct(-F.col("n"), F.col("y"), F.col("x"))).alias("h"))
-    rows = df.join(F.broadcast(home), by).where(exprs.haversine_km(F.col("h.y") * 0.1, F.col("h.x") * 0.1, lat, lon) >= away_km)
+    rows = df.join(home, by).where(exprs.haversine_km(F.col("h.y") * 0.1, F.col("h.x") * 0.1, lat, lon) >= away_km)
     return gap_sessions(rows, by, ts, tie, gap_h * 3600, "journey").groupBy(*by, "journey").agg(F.count("*").alias("n"), F.min(ts).alias("start"), F.max(ts).alias("end")).where(F.col("n") >= least)
 
 
@@ -270,17 +270,4 @@ def built_scenes(df: DataFrame, by: list[str], ts: str, key: str, score: str, mo
     return rows.groupBy(*by, "_run").applyInPandas(build, ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", n bigint, start timestamp, end timestamp, best {kinds[key]}, moment string, share double")
 
 
-def split_scenes(df: DataFrame, by: list[str], ts: str, key: str, most: int = 60) -> DataFrame:
-    """Scenes cut to at most ``most`` frames; adds ``part`` within each scene."""
-
-    def split(pdfs: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdfs.sort_values([ts, key], kind="stable").reset_index(drop=True)
-        part = np.zeros(len(pdf), np.int64)
-        for k, rows in enumerate(split_scene(pd.to_datetime(pdf[ts]).astype("int64").to_numpy(), most)):
-            part[rows] = k
-        return pdf[[*by, key]].assign(part=part)
-
-    kinds = dict(df.dtypes)
-    return df.groupBy(*by).applyInPandas(split, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, key]) + ", part bigint")
-
 

@@ -19,7 +19,7 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 def outliers(df: DataFrame, key: str, value: str, group: str, sigmas: float = 3.0) -> DataFrame:
     """Values further from their group's mean than so many standard deviations."""
     about = df.groupBy(group).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    return df.join(F.broadcast(about), group).where(F.abs(F.col(value) - F.col("m")) > sigmas * F.col("s")).select(key, group, value)
+    return df.join(about, group).where(F.abs(F.col(value) - F.col("m")) > sigmas * F.col("s")).select(key, group, value)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

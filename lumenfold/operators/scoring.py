@@ -210,8 +210,10 @@ def changed(old: DataFrame, new: DataFrame, key: str, least: float = 0.005) -> D
     return new.join(o, key).where(moved).select(*new.columns)
 
 
-def suggested_bounds(df: DataFrame, group: str, metrics: list[str], low: float = 0.1, high: float = 0.9, least: int = 20) -> DataFrame:
-    """Ranges that hold the middle of each category's metrics, as rules to start from; percentiles are approximate
-    sketches of bounded size that merge, so no category is gathered."""
-    rows = df.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("m")).select(group, "m.*").where("v is not null")
-    return rows.groupBy(group, "metric").agg(F.count("*").alias("n"), F.percentile_approx("v", [low, high], 10_000).alias("p")).where(F.col("n") >= least).select(group, "metric", "n", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+def suggested_bounds(df: DataFrame, group: str, metrics: list[str], low: int = 10, high: int = 90, least: int = 20) -> DataFrame:
+    """Ranges that hold the middle of each category's metrics, as rules to start from: (group, metric, low, high), by
+    the nearest rank; values are counted and dealt by range, so no category is gathered."""
+    from lumenfold.operators.stats import nearest_rank
+
+    rows = df.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("m")).select(group, "m.*")
+    return nearest_rank(rows, [group, "metric"], "v", [low, high], least).select(group, "metric", F.col(f"p{low}").alias("low"), F.col(f"p{high}").alias("high"))

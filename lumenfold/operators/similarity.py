@@ -26,11 +26,6 @@ def unit(vector: str, out: str = "unit") -> Column:
     return F.when(size > 0, F.transform(v, lambda e: e / size)).alias(out)
 
 
-def majority_dimension(df: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector has the most common length (the smaller among equals)."""
-    sizes = df.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").limit(1)
-    return df.join(F.broadcast(sizes.select("d")), F.size(vector) == F.col("d"), "left_semi")
-
 
 def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int, least: float = -1.0) -> DataFrame:
     """The k nearest rows by cosine.  Filters apply before, so nothing is fetched in excess."""

@@ -152,6 +152,3 @@ def map_clusters(df: DataFrame, lat: str, lon: str, zoom: int, key: str, score:
     cell = 180.0 / 2 ** max(zoom, 2)
     return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(F.round(F.col(lat) / cell).cast("long").alias("y"), F.round(F.col(lon) / cell).cast("long").alias("x")).agg(F.count("*").alias("n"), mean(lat).alias("lat"), mean(lon).alias("lon"), F.min_by(key, F.struct(-F.col(score), F.col(key))).alias("best"))
 
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -127,5 +127,4 @@ def on_this_day(df: DataFrame, ts: str, month: int, day: int, before_year: int,
     """Earlier years' rows around a calendar day: the best k of each year with the year's total."""
     near = F.abs(F.datediff(F.make_date(F.year(ts), F.lit(month), F.lit(day)), F.to_date(ts))) <= spread
     rows = df.where(near & (F.year(ts) < before_year)).withColumn("year", F.year(ts))
-    w = Window.partitionBy("year")
-    return rows.withColumn("total", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(*order))).where(F.col("rank") <= k)
+    return group_top_k(rows, ["year"], order, k).withColumnRenamed("group_size", "total")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import exprs, images
-from lumenfold.operators import calibration, capsules, density, feeds, fitting, gallery, grouping, moments, reports, scoring, similarity, stats
+from lumenfold.operators import calibration, capsules, density, feeds, fitting, gallery, grouping, moments, persons, quality, reports, scoring, similarity, stats
 from lumenfold.plans.catalog import query
 from lumenfold.sources import runs, tables
 
@@ -670,6 +670,55 @@ def face_clusters(s, d):
     return density.people_of(faces.join(found, "vec_id"), "vec_id", "embedding", persons, "owner")
 
 
+# --------------------------------------------------------------------------------------- people, rules, journeys
+
+
+def _people(s, d):
+    """Everybody who shows on photos; every third has no name yet, every second was found by clustering."""
+    n = _photos(s, d).groupBy("person").agg(F.count("*").alias("face_count"))
+    return n.withColumn("name", F.when(F.col("person") % 3 > 0, F.concat(F.lit("p"), "person"))).withColumn("auto_clustered", (F.col("person") % 2).cast("int"))
+
+
+@sql("SELECT person, count(*) AS face_count FROM @photos GROUP BY person HAVING count(*) >= 60 AND person % 3 = 0 AND person % 2 = 1")
+def people_to_name(s, d):
+    return persons.needs_naming(_people(s, d), 60).select("person", "face_count")
+
+
+@sql("SELECT burst, min(eyes) AS eyes_open, round(avg(expression), 6) AS expression FROM @photos WHERE burst IS NOT NULL GROUP BY burst")
+def face_signals_of_photos(s, d):
+    faces = _photos(s, d).where("burst is not null").withColumnRenamed("eyes", "eyes_open")
+    return persons.photo_signals(faces, "burst").select("burst", "eyes_open", F.round("expression", 6).alias("expression"))
+
+
+@query("""WITH u AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM u), m AS (SELECT label, i, avg(v[i]) AS x, count(*) AS c FROM n, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2)
+SELECT label, any_value(c) AS face_count, round(max(x) / sqrt(sum(x * x)), 6) AS peak FROM m GROUP BY label""")
+def people_recounted(s, d):
+    """Faces and centre of each person after merges: the centre by its largest component."""
+    e = tables.table(s, d, "embeddings")
+    return persons.counted(e, "embedding", "label").select("label", "face_count", F.round(F.array_max("centroid"), 6).alias("peak"))
+
+
+@sql("""SELECT 'lens' AS "column", round(1 - count(lens) / count(*), 6) AS share FROM @photos UNION ALL SELECT 'iso', round(1 - count(iso) / count(*), 6) FROM @photos UNION ALL SELECT 'category', round(1 - count(category) / count(*), 6) FROM @photos UNION ALL SELECT 'value', round(1 - count(value) / count(*), 6) FROM @photos""")
+def missing_shares(s, d):
+    return quality.null_shares(_photos(s, d).select("lens", "iso", "category", "value"))
+
+
+@sql("""WITH v AS (SELECT category, unnest(['aesthetic', 'value']) AS metric, unnest([aesthetic, value]) AS v FROM @photos WHERE category IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY category, metric ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY category, metric) AS n FROM v WHERE v IS NOT NULL)
+SELECT category, metric, max(CASE WHEN i = least(floor(n * .1), n - 1) THEN v END) AS low, max(CASE WHEN i = least(floor(n * .9), n - 1) THEN v END) AS high FROM r WHERE n >= 20 GROUP BY category, metric""")
+def suggested_rules(s, d):
+    return scoring.suggested_bounds(_photos(s, d), "category", ["aesthetic", "value"])
+
+
+@sql("""WITH p AS (SELECT photo, camera, taken, lat, lon FROM @photos), c AS (SELECT camera, round(lat / .1) AS y, round(lon / .1) AS x, count(*) AS n FROM p GROUP BY 1, 2, 3), h AS (SELECT camera, arg_min(struct_pack(y := y, x := x), (-n, y, x)) AS h FROM c GROUP BY 1),
+a AS (SELECT p.*, radians(h.h.y * .1) AS f0, radians(lat) AS f1, radians(lat - h.h.y * .1) AS df, radians(lon - h.h.x * .1) AS dl FROM p JOIN h USING (camera)), t AS (SELECT * FROM a WHERE 2 * 6371 * asin(sqrt(sin(df / 2) ** 2 + cos(f0) * cos(f1) * sin(dl / 2) ** 2)) >= 9000),
+n AS (SELECT *, CASE WHEN epoch_us(taken) - lag(epoch_us(taken)) OVER (PARTITION BY camera ORDER BY taken, photo) > 36e8 THEN 1 ELSE 0 END AS new FROM t), j AS (SELECT *, sum(new) OVER (PARTITION BY camera ORDER BY taken, photo) AS journey FROM n)
+SELECT camera, journey, count(*) AS n, strftime(min(taken), '%Y-%m-%d %H:%M') AS start FROM j GROUP BY 1, 2 HAVING count(*) >= 8""")
+def journeys(s, d):
+    """Far from where a camera is most of the time, without an hour's pause."""
+    found = grouping.journeys(_photos(s, d), ["camera"], "taken", "photo", "lat", "lon", 9000.0, 1.0)
+    return found.select("camera", "journey", "n", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"))
+
+
 # ------------------------------------------------------------------------------------------------- calibration
 
 _CANDIDATES = ((0.2, 0.2, 0.2, 0.2, 0.2), (0.0, 0.6, 0.0, 0.4, 0.0), (0.5, 0.1, 0.1, 0.1, 0.2))

@@ -128,10 +128,6 @@ def merged_export(source: DataFrame, exported: DataFrame, key: str, stripped: li
     return out.select(key, "_a.*", change.alias("change"))
 
 
-def export_scores(photos: DataFrame, scores: list[str], order: str, key: str) -> DataFrame:
-    """Rows with their scores nested, best first."""
-    return photos.select(key, order, F.struct(*scores).alias("scores")).orderBy(F.col(order).desc(), key)
-
 
 def tag_rows(photos: DataFrame, key: str, tags: str) -> DataFrame:
     """(key, tag), once each."""
