@@ -29,13 +29,20 @@ def group_top_k(df: DataFrame, groups: list[Column | str], order: list[Column],
     return same(best, sizes, keys).select(*df.columns, "group_size", "rank")
 
 
+#: Distinct values of all groups that one task may sort: some megabytes.
+FEW = 200_000
+
+
 def value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Each distinct value of each group with its rows (_n), the group's rows below it (_below) and in all (_size).
 
     Equal values are counted before they travel and values are dealt by range, so a group of any size is many tasks.
     The ranges are written before they are numbered: bounds are sampled, and two reads could sample two ways.  Nulls
-    stand first, as a value."""
-    counted = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    stand first, as a value.  Up to ``FEW`` distinct values in all are numbered as they are, without ranges."""
+    counted = checkpointed(df.groupBy(*groups, value).agg(F.count("*").alias("_n")))
+    if counted.count() <= FEW:
+        all_of = Window.partitionBy(*(groups or [F.lit(0)]))
+        return counted.select(*groups, value, "_n", (F.sum("_n").over(all_of.orderBy(value)) - F.col("_n")).alias("_below"), F.sum("_n").over(all_of).alias("_size"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = checkpointed(counted.repartitionByRange(parts, *groups, value).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy(*groups, "_part").agg(F.sum("_n").alias("_held"))

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from lumenfold.operators import learning, similarity, stats, windows
 
 
+@pytest.fixture(autouse=True, params=[windows.FEW, 10])
+def few(request, monkeypatch):
+    """Both ways: few distinct values, and ranges."""
+    monkeypatch.setattr(windows, "FEW", request.param)
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     draw = np.random.default_rng(5)
