@@ -1,5 +1,6 @@
 """What is kept between runs: batches after silence, scan runs, measures by generation, the text index, exports."""
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -134,7 +135,7 @@ def test_index_equals_a_scan_and_reads_little(spark, data, tmp_path):
         assert got == want
     assert index.texts().count() == n
     plan = index.postings(["idiot"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,idiot)]" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = ", plan) and "EqualTo(term,idiot)" in plan
     held = spark.read.parquet(f"{tmp_path}/index/postings")
     of = held.where(F.col("term") == "idiot").select("bucket").distinct().collect()
     assert len(of) == 1 and held.where(F.col("bucket") == of[0][0]).count() < held.count() / 6
