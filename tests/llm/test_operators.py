@@ -648,5 +648,5 @@ def test_pipeline(spark, data):
 def test_subpackage_queries_are_registered():
     import __spark_entry__
 
-    assert {q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in __spark_entry__.queries()

@@ -10,7 +10,7 @@ import pytest
 
 from lumenfold.llm import bpe, queries, token_ids
 
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")
