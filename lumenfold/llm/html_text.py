@@ -3,15 +3,15 @@
 Markup is stripped into lines, one for each block element.  A line weighs the characters that stand outside links, and
 the weights are summed over windows of ``LINES`` lines from each line on.  A window sum above the surge threshold opens a
 region, at a line that itself has a window's share of it, and the first window sum below that share, the dive, closes
-it: what has weight between surge and dive is the main text.  The threshold is ``SURGE``, or half the page's largest
-window sum where that is less, so that short pages have a text as well.
+it.  The threshold is ``SURGE``, or half the page's largest window sum where that is less, so that short pages have a
+text as well.  A region grows to the edges of the block that it lies in, so a headline, a short paragraph or a list of
+links inside an article stays, and a block in which no window surges is no text.
 
-What the markup says goes in as a prior on the weights.  Lines in elements that are, or call themselves, menus,
+What the markup says goes in as factors of the weights.  Lines in elements that are, or call themselves, menus,
 headers, footers, sidebars, notices, adverts, forms or comments weigh nothing; a name counts when all its parts speak of
-such things or of places ("site-footer", not "search-algorithms").  Lines in the page's main container gain
-``BONUS`` characters, so short first, last and linked lines of an article can pass the threshold.  It is the page's
-article elements, else its main elements, and lines outside them weigh nothing; without either, it is the innermost
-element that holds three fifths of the weight, or the body itself, and lines outside weigh a quarter.
+such things or of places ("site-footer", not "search-algorithms").  Blocks are the page's article elements, else its
+main elements, and lines outside them weigh nothing; without either, the block is the innermost element that holds three
+fifths of the weight, or the body itself, and lines outside weigh a quarter.
 
 Defined results: null and empty html, and pages without text that has weight, give the empty text; unclosed and stray
 tags and quotes are read as a browser would; equal rows give equal rows; a null page_id or url is passed on.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm.common import map_batches, prepare, table
 
-LINES, SURGE, BONUS = 3, 80, 100
+LINES, SURGE, OUTSIDE = 3, 120, 0.25
 _SKIP = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|audio|video"
 # what cannot match at its end runs to the end of the page, so no part of a page is tried twice
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({_SKIP})\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'))?+)*+)(?:>|\Z)", re.S | re.I)
@@ -142,12 +142,16 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def weights(found: list[Line]) -> list[int]:
-    """What each line weighs: characters outside links, with the markup's prior."""
+def weights(found: list[Line]) -> tuple[list[float], list[int]]:
+    """What each line weighs: characters outside links, times the markup's prior; and the block that each line is of.
+
+    Blocks are the page's article elements, else its main elements, else the innermost element that holds three fifths
+    of the weight, or the body itself; 0 for lines outside."""
     free = [x for x in found if not x.named]
     for tag in ("article", "main"):
         if any(t == tag for x in free for _, t in x.held):
-            return [0 if x.named or all(t != tag for _, t in x.held) else x.plain + BONUS for x in found]
+            block = [0 if x.named else max((c for c, t in x.held if t == tag), default=0) for x in found]
+            return [x.plain if c else 0 for x, c in zip(found, block, strict=True)], block
     mass: dict[int, int] = {}
     for x in free:
         for c, tag in x.held:
@@ -159,10 +163,11 @@ def weights(found: list[Line]) -> list[int]:
     def main(x: Line) -> bool:
         return any(c == inner for c, _ in x.held) if inner is not None else all(t in ("html", "body") for _, t in x.held)
 
-    return [0 if x.named else x.plain + BONUS if main(x) else x.plain // 4 for x in found]
+    block = [0 if x.named or not main(x) else inner or -1 for x in found]
+    return [0 if x.named else x.plain * (1 if c else OUTSIDE) for x, c in zip(found, block, strict=True)], block
 
 
-def regions(weight: list[int], surge: float = SURGE) -> list[tuple[int, int]]:
+def regions(weight: list[float], surge: float = SURGE) -> list[tuple[int, int]]:
     """Line ranges [from, to) between surge and dive of the window sums."""
     n = len(weight)
     sums, found, at = [sum(weight[i : i + LINES]) for i in range(n)], [], 0
@@ -178,11 +183,18 @@ def regions(weight: list[int], surge: float = SURGE) -> list[tuple[int, int]]:
     return found
 
 
+def grown(found: list[tuple[int, int]], block: list[int]) -> list[int]:
+    """The lines of regions and of the blocks that regions lie in, in page order."""
+    inside = {block[k] for a, b in found for k in range(a, b)} - {0}
+    own = {k for a, b in found for k in range(a, b)}
+    return [k for k in range(len(block)) if block[k] in inside or k in own]
+
+
 def main_text(page: str, surge: float = SURGE) -> str:
     """The page's main text: blocks in page order, one a line."""
     found = lines(page)
-    weight = weights(found)
-    return "\n".join(found[k].text for a, b in regions(weight, surge) for k in range(a, b) if weight[k])
+    weight, block = weights(found)
+    return "\n".join(found[k].text for k in grown(regions(weight, surge), block) if not found[k].named and (weight[k] or block[k]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -481,17 +481,44 @@ def test_margins_do_not_depend_on_the_hash_seed():
 
 
 def test_surge_and_dive_decide(data):
-    """Without any telling names, the distribution of text alone finds nearly all articles."""
+    """Without any telling names, the distribution of text alone finds nearly all articles, and its threshold decides."""
     import re
 
     import pyarrow.parquet as pq
 
     pages = pq.read_table(f"{data}/pages.parquet").column("html").to_pylist()
     bare = [re.sub(r"<(/?)(nav|article|footer|header|main|aside)\b[^>]*>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
-    same = [html_text.main_text(a) == html_text.main_text(b) for a, b in zip(pages, bare, strict=True)]
-    assert np.mean(same) >= 0.85
-    for some in (pages, bare):
-        assert sum(html_text.main_text(p) != html_text.main_text(p, 10**9) for p in some) > len(some) / 2
+    whole = [html_text.main_text(p) for p in pages]
+    right = lambda surge: np.mean([html_text.main_text(p, surge) == t for p, t in zip(bare, whole, strict=True)])
+    assert right(html_text.SURGE) >= 0.85 and right(40) < 0.2 and right(10) == 0
+
+
+def test_blocks_without_a_surge_are_no_text():
+    long = "A paragraph that is long enough to be the text of a page, and goes on for a while after that. " * 3
+    page = f"<article><h2>Short</h2><p>teaser</p></article><article><h1>Title</h1><p>{long}</p><p>So.</p></article>"
+    assert html_text.main_text(page) == f"Title\n{long.strip()}\nSo." and html_text.main_text(page, 5) == f"Short\nteaser\nTitle\n{long.strip()}\nSo."
+
+
+def brute_text(page):
+    """Windows, regions and blocks by the plain definitions, line by line."""
+    found = html_text.lines(page)
+    weight, block = html_text.weights(found)
+    window = lambda k: sum(weight[j] for j in range(k, min(k + 3, len(weight))))
+    least = min(html_text.SURGE, max((window(k) for k in range(len(found))), default=0) / 2)
+    open_, seeds = False, set()
+    for k in range(len(found)):
+        open_ = window(k) * 3 > least if open_ else window(k) > least and weight[k] * 3 > least
+        if open_:
+            seeds.add(k)
+    kept = [k for k in range(len(found)) if k in seeds or block[k] and any(block[j] == block[k] for j in seeds)]
+    return "\n".join(found[k].text for k in kept if not found[k].named and (weight[k] or block[k]))
+
+
+def test_texts_of_all_pages_against_brute_force(spark, data):
+    rows = spark.read.parquet(f"{data}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(rows).collect()}
+    want = {r["page_id"]: brute_text(r["html"] or "") for r in rows.collect()}
+    assert got == want and sum(map(bool, want.values())) > 0.9 * len(want)
 
 
 def test_regions_against_brute_force():
@@ -499,12 +526,12 @@ def test_regions_against_brute_force():
     for _ in range(300):
         w = [rng.choice([0, 0, 5, 20, 60, 200]) for _ in range(rng.randint(0, 30))]
         window = lambda k, w=w: sum(w[k : k + html_text.LINES])
-        least, inside, want = min(80, max(map(window, range(len(w))), default=0) / 2), False, []
+        least, inside, want = min(html_text.SURGE, max(map(window, range(len(w))), default=0) / 2), False, []
         for k in range(len(w)):
             inside = window(k) * html_text.LINES > least if inside else window(k) > least and w[k] * html_text.LINES > least
             want.append(inside)
         got = [any(a <= k < b for a, b in html_text.regions(w)) for k in range(len(w))]
-        assert [g for g, x in zip(got, w, strict=True) if x] == [g for g, x in zip(want, w, strict=True) if x]
+        assert got == want
 
 
 def test_broken_markup_takes_linear_time():
