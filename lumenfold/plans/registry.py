@@ -355,9 +355,13 @@ def bracket_base_offsets(s, d):
     return grouping.bracket_base(_t(s, d, "events"), "user_id", "ts", "event_id", "value").select("event_id", "base", F.round("ev_offset", 6).alias("ev_offset"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT event_id, epoch_us(ts) / 1e6 AS t, (user_id % 20) * 6148914691236517 AS h, row_number() OVER (ORDER BY ts, event_id) AS k FROM events),
+near AS (SELECT a.k, max(b.k) AS j FROM p a JOIN p b ON b.k < a.k AND b.t >= a.t - 600 WHERE bit_count(xor(a.h, b.h)) <= 16 OR a.t - b.t <= 5 AND bit_count(xor(a.h, b.h)) <= 32 GROUP BY 1),
+x AS MATERIALIZED (SELECT p.k, coalesce(j, 0) AS j FROM p LEFT JOIN near USING (k)), r AS (SELECT 1::BIGINT AS k, 1::BIGINT AS start UNION ALL SELECT x.k, CASE WHEN x.j >= r.start THEN r.start ELSE x.k END FROM r JOIN x ON x.k = r.k + 1),
+n AS (SELECT start, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 2)
+SELECT event_id, min(event_id) OVER (PARTITION BY start) AS burst, n FROM r JOIN n USING (start) JOIN p USING (k)""")
 def burst_runs(s, d):
-    rows = _t(s, d, "events").withColumn("phash", F.xxhash64(F.col("user_id") % 20))
+    rows = _t(s, d, "events").withColumn("phash", (F.col("user_id") % 20) * 6148914691236517)
     return grouping.burst_runs(rows, "ts", "event_id", "phash", window_s=600.0, bits=16)
 
 
