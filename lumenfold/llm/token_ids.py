@@ -10,18 +10,20 @@ their texts, in the files and by ``start``; a null doc_id comes first; an empty
 
 from __future__ import annotations
 
+import codecs
 import functools
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.llm.bpe import byte_alphabet
 from lumenfold.llm.common import Bounded, list_column, map_batches, parts_for, prepare, stage_path, table
 
 END_ID = 2
@@ -34,104 +36,132 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(2)  # a worker that is used again keeps what it has learnt
-def _encoder(path: str, cache: int):
-    """A function from texts to their ids, packed as uint16 or uint32, and that type.
+#: Texts that go to the library whole: white space other than single spaces and one or two line ends between two characters.
+_ODD = r"\A[ \n]| \z|  | \n|\n |\n\n\n|\n\n\z|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Latin letters, behind a line end or else a space, and plain marks behind them.
+_WORD = r"\A(?P<stem>\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,!?;:|#%&*$()\-]*)\z"
+#: Longer pieces, in bytes, are encoded each time they come.
+_LONG = 64
+
+
+def _packed(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Runs of ``ids`` as binary values."""
+    offsets = np.ascontiguousarray(offsets, np.int64) * ids.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+class _Encoder:
+    """Encodes columns of texts and remembers up to ``cache`` pieces of them.
 
     A single space between two characters that are not white space always starts a new pre-token of this
-    family of tokenizers, so texts are cut there and each distinct piece is encoded once, many in one call
-    with a special token between them.  So does a mark that follows a letter: a piece of Latin letters with plain marks
-    behind is made of the ids of both, and only the letters are learnt.  Latin letters behind a space are one pre-token,
-    so they go to the library's model directly.  Texts with white space of any other form go to the library whole.
-    At most twice ``cache`` pieces are remembered.
+    family of tokenizers, and a line end before such a character is a pre-token of its own, so texts are cut before both.
+    Arrow cuts and numbers the pieces of a column and puts their ids in the places of the pieces; only distinct ones that are
+    not remembered are encoded.  A mark that follows a letter starts a pre-token too: a piece of Latin letters
+    with plain marks behind is made of the ids of both.  The letters are one pre-token, so they go to the library's model
+    directly; other pieces go through the whole library.  Both go many in one call: only the first token of a piece begins
+    with a space or a line end.  Texts with white space of any other form go to the library one by one.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    kind = np.uint16 if tok.get_vocab_size() <= 65_536 else np.uint32
-    mark, mark_id = next((t.content, i) for i, t in tok.get_added_tokens_decoder().items())
-    rare = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-    def odd(t: str) -> bool:
-        return t[:1] == " " or t[-1:] == " " or "  " in t or " \n" in t or "\n " in t or mark in t or rare.search(t) is not None
-
-    young: dict[str, bytes] = {}
-    old: dict[str, bytes] = {}
-
-    def whole(text: str) -> bytes:
-        return np.asarray(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
-
-    heads, tails = Bounded(whole, 50_000), Bounded(whole, 50_000)
-    marked = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#%&*$()\\-]*)")
-    model, code = tok.model, "H" if kind is np.uint16 else "I"
-    # byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    byte_level = {b: 256 + n for n, b in enumerate(hidden)}
-
-    def learn(pieces: list[str]) -> None:
-        nonlocal young, old
-        if len(young) + len(pieces) > cache:
-            young, old = {}, young
-        new, words, composed, stems = [], [], [], set()
-        for p in pieces:
-            if (v := old.get(p)) is not None:
-                young[p] = v
-            elif m := marked.fullmatch(p):
-                if m[2]:
-                    composed.append((p, *m.groups()))
-                    stems.add(m[1])
-                else:
-                    words.append(p)
-            else:
-                new.append(p)
-        for p in stems.difference(words):
-            if p not in young:
-                if (v := old.get(p)) is not None:
-                    young[p] = v
-                else:
-                    words.append(p)
-        for p in words:
-            found = model.tokenize((" " + p).encode().decode("latin-1").translate(byte_level))
-            young[p] = array(code, [t.id for t in found]).tobytes()
-        for k in range(0, len(new), 256):
-            part = new[k : k + 256]
-            ids = np.asarray(tok.encode_batch_fast([" " + (mark + " ").join(part) + mark], add_special_tokens=False)[0].ids, kind)
-            ends = np.flatnonzero(ids == mark_id)
-            packed, w = ids.tobytes(), kind().itemsize
-            at = 0
-            for p, end in zip(part, ends.tolist(), strict=True):
-                young[p] = packed[at * w : end * w]
-                at = end + 1
-        for p, stem, tail in composed:
-            young[p] = young[stem] + tails[tail]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(texts), 256):
-            missing: set[str] = set()
-            cut = []
-            for text in texts[k : k + 256]:
-                if odd(text):
-                    cut.append(whole(text))
-                    continue
-                pieces = text.split(" ")
-                missing.update(set(pieces[1:]).difference(young))
-                cut.append(pieces)
-            found = young
-            if missing:
-                kept = young
-                learn(list(missing))
-                found = young if young is kept else {**kept, **young}
-            for c in cut:
-                out.append(c if isinstance(c, bytes) else heads[c[0]] + b"".join(map(found.__getitem__, c[1:])))
+
+    def __init__(self, path: str, cache: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        self.library, self.cache, self.turn = Tokenizer.from_file(path), cache, 0
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 65_536 else np.uint32
+        self.odd = "|".join([_ODD, *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())])
+        # byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on
+        self.alphabet = "".join(byte_alphabet())
+        space, line = self.alphabet[32], self.alphabet[10]
+        self.letters = Tokenizer(self.library.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Split(Regex(f"{line}|{space}?[^{space}{line}]+"), "isolated")
+        tokens = self.library.get_vocab()
+        self.begins = np.zeros(max(tokens.values()) + 1, bool)
+        self.begins[[i for t, i in tokens.items() if t[0] in (space, line)]] = True
+        self.marks, self.line = Bounded(self._whole, 50_000), self._whole("\n")
+        self.words, self.ids, self.used = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, pieces: pa.Array, plain: bool) -> pa.Array:
+        """Packed ids of distinct pieces; ``plain`` ones are letters alone."""
+        behind = pc.if_else(pc.starts_with(pieces, "\n"), pieces, pc.binary_join_element_wise(" ", pieces, ""))
+        ids = [np.zeros(0, self.kind)]
+        for k in range(0, len(behind), 512):
+            joined = "".join(behind[k : k + 512].to_pylist())
+            if plain:
+                joined = codecs.charmap_decode(joined.encode(), "strict", self.alphabet)[0]
+            ids.append(np.asarray((self.letters if plain else self.library).encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind))
+        flat = np.concatenate(ids)
+        starts = np.flatnonzero(self.begins[flat])
+        if len(starts) != len(behind):
+            raise ValueError(f"{len(behind)} pieces, but {len(starts)} beginnings of pieces")
+        return _packed(flat, np.append(starts, len(flat)))
+
+    def _stems(self, stems: pa.Array, plain: pa.Array) -> pa.Array:
+        """Packed ids of pieces without marks: remembered ones come first in one dictionary with them, others are learnt."""
+        self.turn += 1
+        found = pa.concat_arrays([self.words, stems]).dictionary_encode()
+        codes = found.indices[len(self.words) :].to_numpy()
+        words, kinds = found.dictionary, np.zeros(len(found.dictionary), bool)
+        kinds[codes] = plain.to_numpy(zero_copy_only=False)
+        new = np.arange(len(self.words), len(words))
+        new = np.concatenate([letters := new[kinds[new]], others := new[~kinds[new]]])
+        known = pa.concat_arrays([self.ids, self._learn(words.take(pa.array(letters)), True), self._learn(words.take(pa.array(others)), False)])
+        place = np.arange(len(words))
+        place[new] = np.arange(len(self.words), len(words))
+        out = known.take(pa.array(place[codes]))
+
+        used = np.append(self.used, np.zeros(len(new), np.int64))
+        used[codes] = self.turn
+        keep = np.flatnonzero(pc.binary_length(words).to_numpy() <= _LONG)
+        if len(keep) > self.cache:  # the half that came last stays
+            keep = np.sort(keep[np.argsort(-used[keep], kind="stable")[: self.cache // 2]])
+        self.words, self.ids, self.used = words.take(pa.array(keep)), known.take(pa.array(place[keep])), used[keep]
         return out
 
-    return encode, kind
+    def _pieces(self, pieces: pa.Array, end: bytes) -> pa.Array:
+        """Packed ids of distinct pieces; the empty one stands for the end of a text."""
+        parts = pc.extract_regex(pieces, _WORD)
+        plain = parts.is_valid()
+        marks = pc.if_else(plain, pc.struct_field(parts, "marks"), "").dictionary_encode()
+        behind = pa.array([self.marks[m] for m in marks.dictionary.to_pylist()], pa.large_binary()).take(marks.indices)
+        empty = pc.equal(pieces, "")
+        stems = self._stems(pc.if_else(empty, "\n", pc.if_else(plain, pc.struct_field(parts, "stem"), pieces)), plain)
+        none = pa.scalar(b"", pa.large_binary())
+        return pc.if_else(empty, pa.scalar(end, pa.large_binary()), pc.binary_join_element_wise(stems, behind, none))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end``, and the places in them where texts begin and the last one ends."""
+        width, last = self.kind().itemsize, np.asarray([end], self.kind)
+        odd = pc.match_substring_regex(texts, self.odd)
+        # a line end before every text: an empty piece and one that holds the text's first
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", pc.if_else(odd, "", texts), ""), "\n", " \n"), " ")
+        starts = lists.offsets.to_numpy()
+        pieces = lists.flatten().dictionary_encode()
+        codes, values = pieces.indices.to_numpy().copy(), self._pieces(pieces.dictionary, last.tobytes())
+        first = [v[len(self.line) :] for v in values.take(pa.array(codes[starts[:-1] + 1])).to_pylist()]
+        for k in pc.indices_nonzero(odd).to_pylist():
+            first[k] = self._whole(texts[k].as_py())
+        codes[starts[:-1] + 1] = len(values) + np.arange(len(first))
+        _, offsets, data = pa.concat_arrays([values, pa.array(first, pa.large_binary())]).take(pa.array(codes)).buffers()
+        begin = np.frombuffer(offsets, np.int64)[starts] // width
+        return np.append(np.frombuffer(data, self.kind, begin[-1])[1:], last), begin
+
+
+@functools.lru_cache(2)  # a worker that is used again keeps what it has learnt
+def _encoder(path: str, cache: int) -> _Encoder:
+    return _Encoder(path, cache)
+
+
+def _chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows that begin within the same ``size`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), len(ends)]
+    return zip(cuts[:-1], cuts[1:], strict=True)
 
 
-def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = END_ID, partition_bytes: int = 8 << 20, cache: int = 700_000) -> None:
+def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = END_ID, partition_bytes: int = 8 << 20, cache: int = 700_000, chunk_bytes: int = 8 << 20) -> None:
     """Encode ``docs`` (doc_id, text) and write ORC files whose rows ascend by doc_id over the files' order.
 
     The range partitioning comes before the encoding, so that sampling its bounds reads texts but encodes
@@ -140,20 +170,18 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
     vocab = vocab or vocabulary()
 
     def make():
-        encode, kind = _encoder(vocab, cache)
-        end = np.asarray([end_id], kind).tobytes()
+        encode = _encoder(vocab, cache).encode
         row = 0
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             nonlocal row
-            texts = batch.column("text").to_pylist()
-            packed = [ids + end for ids in encode([t or "" for t in texts])]
-            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // kind().itemsize
-            flat = np.frombuffer(b"".join(packed), kind).astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            place = np.arange(row, row + len(packed))
-            row += len(packed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), list_column(flat, offsets, pa.int32()), pa.array(place)], names=["doc_id", "n_tokens", "ids", "row"])
+            texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
+            for a, b in _chunks(texts, chunk_bytes):
+                packed, offsets = encode(texts[a:b], end_id)
+                place = np.arange(row, row := row + b - a)
+                ids = list_column(packed.astype(np.int32), offsets, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(np.diff(offsets)), ids, pa.array(place)], names=["doc_id", "n_tokens", "ids", "row"])
+                pa.default_memory_pool().release_unused()  # tables of pieces come and go with each chunk
 
         return each
 

@@ -3,12 +3,14 @@
 import hashlib
 import math
 import random
+import sys
 import time
 import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,55 @@ def test_token_ids(spark, corpus, tmp_path):
     assert sorted(tuple(r) for r in token_ids.layout(back).collect()) == sorted(starts)
 
 
+def token_columns(spark, path, monkeypatch, **more):
+    """What ``write_tokens`` does with the columns of one task, to be called here."""
+    made = []
+    with monkeypatch.context() as m:
+        m.setattr(token_ids, "map_batches", lambda df, make, schema: made.append(make) or df)
+        token_ids.write_tokens(documents(spark, [(1, "a")]), path, **more)
+    return made[0]()
+
+
+def test_token_ids_of_pieces_by_column(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(token_ids.vocabulary()), random.Random(17)
+    words = sorted({"".join(rng.choice("aeinorsthé") for _ in range(rng.randint(5, 9))) for _ in range(4000)})
+    texts = ["".join(w + rng.choice([" ", " ", ", ", ".\n", "\n\n"]) for w in rng.sample(words, 400)) + "x" for _ in range(20)]
+    each = token_columns(spark, str(tmp_path / "ids"), monkeypatch)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": texts})
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        out = list(each(batch))
+    finally:
+        sys.setprofile(None)
+    assert [x for b in out for x in b.column("ids").to_pylist()] == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    # the interpreter does nothing piece by piece: its work grows with texts, and pieces are Arrow's and the library's
+    assert calls["call"] + calls["c_call"] < len(set(" ".join(texts).split())) // 2
+
+
+def test_token_ids_with_little_memory(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(token_ids.vocabulary()), random.Random(23)
+    atoms = ["the", "Foo", "Über", "été", "ÿ", "×", "ª", "'s", "don't", "42", "3.14", "...", "!?", "(", "\\", "€", "漢字", "e\u0301", "\u200b", "\x00", "<|endoftext|>", "<|endoftext", "Ġ", "ĊFoo", "w" * 200]
+    gaps = [*[" "] * 8, "", "\n", "\n", "\n\n", "\n\n\n", "  ", " \n", "\n ", "\t", "\r\n", "\x1c", "\x85", "\u2003"]
+    texts = ["".join(rng.choice(atoms) + rng.choice(gaps[: rng.choice([12, 21])]) for _ in range(rng.choice([0, 1, 2, 5, 20]))) for _ in range(600)]
+    texts += [rng.choice(gaps) + t for t in texts] + [t.rstrip() for t in texts] + [None, "", "\n", "\n\n", " ", "a\n", "\na"]
+    want = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    for cache, size in ((0, 1), (3, 50), (40, 3000), (700_000, 1 << 20)):
+        each = token_columns(spark, str(tmp_path / f"{cache}"), monkeypatch, cache=cache, chunk_bytes=size)
+        got = []
+        for k in range(0, len(texts), 500):
+            for b in each(pa.RecordBatch.from_pydict({"doc_id": list(range(k, min(k + 500, len(texts)))), "text": pa.array(texts[k : k + 500], pa.string())})):
+                assert b.column("row").to_pylist() == b.column("doc_id").to_pylist()
+                assert b.column("n_tokens").to_pylist() == list(map(len, b.column("ids").to_pylist()))
+                got += b.column("ids").to_pylist()
+        assert got == want
+        assert len(token_ids._encoder(token_ids.vocabulary(), cache).words) <= cache
+
+
 def test_bpe(spark, corpus):
     from tokenizers import Tokenizer
 
