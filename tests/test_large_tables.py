@@ -29,3 +29,16 @@ def test_hashes_of_large_keys_wrap(spark, twins):
     folder, _, edges = twins
     assert {tuple(r) for r in QUERIES["duplicate_edges"](spark, folder).collect()} == edges
     assert any(a > 4_500 for a, _, _ in edges)
+
+
+def test_groups_of_large_keys(spark, twins):
+    folder, keys, edges = twins
+    root = {k: k for k in keys}
+    for _ in keys:  # labels fall until they rest
+        for a, b, _ in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    paired = {k for a, b, _ in edges for k in (a, b)}
+    roots = sorted({root[k] for k in paired})
+    want = {(k, 1 + roots.index(root[k]), sum(root[x] == root[k] for x in paired)) for k in paired}
+    got = QUERIES["near_duplicate_groups"](spark, folder).select("vec_id", "number", "n").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and max(k for k, _, _ in want) > 4_500
