@@ -42,3 +42,44 @@ def test_groups_of_large_keys(spark, twins):
     want = {(k, 1 + roots.index(root[k]), sum(root[x] == root[k] for x in paired)) for k in paired}
     got = QUERIES["near_duplicate_groups"](spark, folder).select("vec_id", "number", "n").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and max(k for k, _, _ in want) > 4_500
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((240, 8))
+    x[100:140] = x[:40] + 0.1 * r.standard_normal((40, 8))
+    rows = [(3 * k, k % 4, [float(y) for y in x[k]]) for k in range(240)] + [(1, 1, None), (2, None, [1.0] * 8), (4, 1, [float("nan")] * 8)]
+    u = np.vstack([x, [[1.0] * 8]])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    keys, labels = [*range(0, 720, 3), 2], [*(k % 4 for k in range(240)), None]
+    s = u @ u.T
+    pairs = {(min(keys[i], keys[j]), max(keys[i], keys[j])): (s[i, j], labels[i], labels[j]) for i in range(241) for j in range(i) if s[i, j] >= 0.8}
+    return spark.createDataFrame(rows, "id long, label int, v array<double>"), pairs
+
+
+def test_blocks_meet_without_copies(vectors):
+    """Vectors are not copied once for every block that they meet: no row is multiplied before tiles are compared."""
+    from lumenfold.operators import similarity
+
+    df, pairs = vectors
+    found = similarity.pairs_above(df, "id", "v", 0.8, block=20)
+    assert {(r["a"], r["b"]) for r in found.collect()} == set(pairs)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+
+
+def roots_of(pairs):
+    root = {k: k for p in pairs for k in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_turned_down_in_either_order(spark):
+    from lumenfold.operators import similarity
+
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    no = spark.createDataFrame([(2, 1), (3, 2), (2, 3)], "a long, b long")
+    assert [tuple(r) for r in similarity.without_rejected(pairs, no).collect()] == [(1, 3)]
