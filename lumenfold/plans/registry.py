@@ -379,7 +379,7 @@ _COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(li
 
 @query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM {_E} a JOIN {_E} b ON a.vec_id <> b.vec_id AND {_COS} >= 0.4), r(node, reach) AS (SELECT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def similarity_components(s, d):
-    return grouping.components(similarity.pairs_above(_t(s, d, "embeddings"), "vec_id", "embedding", 0.4))
+    return grouping.components(similarity.linked_above(_t(s, d, "embeddings"), "vec_id", "embedding", 0.4))
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS score FROM {_E} a JOIN {_E} b ON a.vec_id < b.vec_id AND {_COS} >= 0.45")

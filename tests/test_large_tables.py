@@ -77,6 +77,20 @@ def roots_of(pairs):
     return root
 
 
+def test_links_join_what_pairs_join(vectors):
+    """A task hands on a row for each of its rows at most, and no pairs."""
+    from lumenfold.operators import grouping, similarity
+
+    df, pairs = vectors
+    for rows, block in ((df, 20), (df.coalesce(1), 2048)):
+        links = similarity.linked_above(rows, "id", "v", 0.8, block=block)
+        assert {r["node"]: r["component"] for r in grouping.components(links).collect()} == roots_of(pairs)
+        total = links.selectExpr("sum(n)", "min(least)", "max(most)", "sum(total)").first()
+        scores = [x for x, _, _ in pairs.values()]
+        assert total[0] == len(pairs) and np.allclose(total[1:], [min(scores), max(scores), sum(scores)])
+    assert links.select("a").distinct().count() == links.count()  # of one task
+
+
 def test_turned_down_in_either_order(spark):
     from lumenfold.operators import similarity
 
