@@ -146,9 +146,9 @@ def colour_stories(photos: DataFrame, key: str, vector: str, tags: str, score: s
 
     Groups are components of pairs within ``alike``, over all photos; rows (story, name, n, key, rank)."""
     from lumenfold.operators.grouping import components
-    from lumenfold.operators.similarity import pairs_above
+    from lumenfold.operators.similarity import linked_above
 
-    member = components(pairs_above(photos, key, vector, alike)).select(F.col("node").alias(key), F.col("component").alias("story"))
+    member = components(linked_above(photos, key, vector, alike)).select(F.col("node").alias(key), F.col("component").alias("story"))
     top = member.groupBy("story").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "story").limit(stories)
     rows = member.join(F.broadcast(top), "story").join(photos.select(key, tags, score), key)  # a handful of stories
     counts = rows.select("story", F.explode(tags).alias("tag")).groupBy("story", "tag").agg(F.count("*").alias("t"))
