@@ -91,6 +91,19 @@ def test_links_join_what_pairs_join(vectors):
     assert links.select("a").distinct().count() == links.count()  # of one task
 
 
+def test_merge_groups_count_edges_where_they_are_found(vectors):
+    from lumenfold.operators import grouping, similarity
+
+    df, pairs = vectors
+    root = roots_of(pairs)
+    found = similarity.merge_groups(similarity.linked_above(df, "id", "v", 0.8, block=20), grouping.components).collect()
+    for r in found:
+        scores = [s for (a, _), (s, _, _) in pairs.items() if root[a] == r["component"]]
+        assert (r["members"], r["edges"]) == (sum(c == r["component"] for c in root.values()), len(scores))
+        assert np.allclose([r["least"], r["most"], r["mean"]], [min(scores), max(scores), np.mean(scores)], atol=1e-6)
+    assert {r["component"] for r in found} == set(root.values())
+
+
 def test_turned_down_in_either_order(spark):
     from lumenfold.operators import similarity
 
