@@ -104,6 +104,15 @@ def test_merge_groups_count_edges_where_they_are_found(vectors):
     assert {r["component"] for r in found} == set(root.values())
 
 
+def test_pairs_of_different_labels(vectors):
+    """As in the SQL, a missing label is neither the same nor different."""
+    from lumenfold.operators import similarity
+
+    df, pairs = vectors
+    found = similarity.pairs_above(df, "id", "v", 0.8, block=20, apart="label").collect()
+    assert {(r["a"], r["b"]) for r in found} == {p for p, (_, x, y) in pairs.items() if x is not None and y is not None and x != y}
+
+
 def test_turned_down_in_either_order(spark):
     from lumenfold.operators import similarity
 
