@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.plans.registry import QUERIES
 
@@ -119,3 +120,43 @@ def test_turned_down_in_either_order(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
     no = spark.createDataFrame([(2, 1), (3, 2), (2, 3)], "a long, b long")
     assert [tuple(r) for r in similarity.without_rejected(pairs, no).collect()] == [(1, 3)]
+
+
+def test_bursts_across_many_buckets(spark):
+    """Runs that end in, before and long before the window of a bucket, with people and missing hashes."""
+    import datetime as dt
+
+    from lumenfold.operators import grouping
+
+    r = np.random.default_rng(4)
+    for gap, values in ((20.0, 6), (90.0, 40), (3.0, 400)):
+        t = np.round(np.cumsum(r.exponential(gap, 900)), 3)
+        t[200:220] = t[200]
+        h = r.integers(0, 2**62, values)[r.integers(0, values, 900)]
+        rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=float(t[k])), None if k % 50 == 3 else int(h[k]), None if k % 7 == 0 else k % 3) for k in range(900)]
+        df = spark.createDataFrame(rows, "id long, ts timestamp, h long, p int")
+        for person in (None, "p"):
+            members, want = [], {}
+            for k in range(900):
+                def near(i):
+                    far = 999 if rows[i][2] is None or rows[k][2] is None else (rows[i][2] ^ rows[k][2]).bit_count()
+                    d = (rows[k][1] - rows[i][1]).total_seconds()
+                    same = person is None or None in (rows[i][3], rows[k][3]) or rows[i][3] == rows[k][3]
+                    return d <= 5 and same and far <= 44 or d <= 60 and far <= 22
+                members = [*members, k] if any(map(near, members)) else [k]
+                want[k] = members[0]
+            sizes = {s: [*want.values()].count(s) for s in set(want.values())}
+            got = {x["id"]: (x["burst"], x["n"]) for x in grouping.burst_runs(df, "ts", "id", "h", person, 60.0, 5.0, 22).collect()}
+            assert got == {k: (s, sizes[s]) for k, s in want.items() if sizes[s] > 1}
+
+
+def test_one_long_burst_is_not_one_group(spark):
+    """60,000 frames in one run took the square of their number, in one task."""
+    import time
+
+    from lumenfold.operators import grouping
+
+    df = spark.range(60_000).select("id", F.timestamp_millis(F.col("id") * 500).alias("ts"), F.lit(7).cast("long").alias("h"))
+    began = time.time()
+    got = grouping.burst_runs(df, "ts", "id", "h", None, 600.0)
+    assert got.groupBy("burst", "n").count().collect() == [(0, 60_000, 60_000)] and time.time() - began < 60
