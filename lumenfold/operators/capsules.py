@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import exprs
 from lumenfold.operators.windows import group_top_k
+from lumenfold.sources.tables import checkpointed
 
 # --- Fixed values ---------------------------------------------------------------------------------------------
 VIVID, MUTED, MONO_SHARE = 0.5, 0.25, 0.5
@@ -78,28 +79,37 @@ def near_places(photos: DataFrame, places: DataFrame, key: str, km: float) -> Da
     return p.join(q, "_c").where(distance <= km).select("place", key, F.round(distance, 3).alias("km"))
 
 
-def near_times(photos: DataFrame, seeds: DataFrame, key: str, days: int = SEED_DAYS) -> DataFrame:
-    """Photos within some days of each seed (seed, seed_taken): an equi-join on spans of that many days and their
-    neighbours, then the exact bound."""
-    span = days * 86_400
-    p = photos.withColumn("_w", F.floor(F.unix_seconds(F.col("taken").cast("timestamp")) / span))
-    q = seeds.withColumn("_w", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.unix_seconds(F.col("seed_taken").cast("timestamp")) / span) + d)))
-    return p.join(q, "_w").where((F.abs(F.unix_micros(F.col("taken").cast("timestamp")) - F.unix_micros(F.col("seed_taken").cast("timestamp"))) <= span * 1_000_000) & (F.col(key) != F.col("seed"))).select("seed", key, "aggregate")
+def near_times(photos: DataFrame, seeds: DataFrame, days: int = SEED_DAYS) -> DataFrame:
+    """(seed, n, s): number and summed aggregate of the other photos within some days of each seed (seed, seed_taken, own).
+
+    Sums up to both ends of a seed's span are subtracted, so photos are not met by every seed: photos of one time are
+    added up, they and the ends are dealt by range, and what stands in earlier ranges is added."""
+    span, parts = days * 86_400_000_000, int(photos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    held = photos.select(micros("taken").alias("_t"), "aggregate").where("_t is not null").groupBy("_t").agg(F.count("*").alias("n"), F.count("aggregate").alias("m"), F.coalesce(F.sum("aggregate"), F.lit(0.0)).cast("double").alias("s"))
+    held = held.withColumn("_o", F.lit(1))
+    end = F.explode(F.array(F.struct((F.col("_at") - span).alias("_t"), F.lit(0).alias("_o")), F.struct((F.col("_at") + span).alias("_t"), F.lit(2).alias("_o"))))
+    ends = seeds.withColumn("_at", micros("seed_taken")).where("_at is not null").select("seed", F.col("own").cast("double").alias("own"), end.alias("_e")).select("seed", "own", "_e.*")
+    points = held.unionByName(ends.select("*", *(F.lit(0).cast(t).alias(c) for c, t in (("n", "long"), ("m", "long"), ("s", "double")))), allowMissingColumns=True)
+    dealt = checkpointed(points.repartitionByRange(parts, "_t", "_o").withColumn("_part", F.spark_partition_id()))  # bounds are sampled
+    own, ranges = Window.partitionBy("_part").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("_part")
+    before = dealt.groupBy("_part").agg(*(F.sum(c).alias(c) for c in "nms")).select("_part", *((F.sum(c).over(ranges) - F.col(c)).alias(f"_{c}") for c in "nms"))  # a row a range
+    upto = dealt.select("seed", "own", "_o", "_part", *(F.sum(c).over(own).alias(c) for c in "nms")).where(F.col("_o") != 1).join(before, "_part")
+    inside = upto.groupBy("seed").agg(F.max("own").alias("own"), *(F.sum((F.col(c) + F.col(f"_{c}")) * (F.col("_o") - 1)).alias(c) for c in "nms"))
+    m = F.col("m") - F.col("own").isNotNull().cast("int")
+    return inside.select("seed", (F.col("n") - 1).alias("n"), F.when(m > 0, F.col("s") - F.coalesce("own", F.lit(0.0))).alias("s"))
 
 
 def discovery(photos: DataFrame, seeds: DataFrame, key: str, axes: Mapping[str, str], days: int = SEED_DAYS, least: int = 3) -> DataFrame:
-    """For each seed the axis along which its company is largest and best: number of photos times mean aggregate.
-    Axes are equal columns, and nearness in time."""
-    parts = [near_times(photos, seeds.select(F.col(key).alias("seed"), F.col("taken").alias("seed_taken")), key, days).select("seed", F.lit("time").alias("axis"), "aggregate")]
+    """For each seed, one of the photos, the axis along which its company is largest and best: number of photos times mean
+    aggregate.  Axes are equal columns, and nearness in time; the company of a value is counted once, not once for each
+    seed.  Keys are unique."""
+    near = near_times(photos, seeds.select(F.col(key).alias("seed"), F.col("taken").alias("seed_taken"), F.col("aggregate").alias("own")), days)
+    every = near.select("seed", F.lit("time").alias("axis"), "n", "s")
     for axis, c in sorted(axes.items()):
-        # company of a value is counted once, not once for each seed
         about = photos.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"), F.sum("aggregate").alias("_s"))
         own = seeds.where(F.col(c).isNotNull()).select(F.col(key).alias("seed"), c, F.col("aggregate").alias("_own")).join(about, c)
-        parts.append(own.select("seed", F.lit(axis).alias("axis"), (F.col("_n") - 1).alias("n"), (F.col("_s") - F.col("_own")).alias("s")))
-    summed = [parts[0].groupBy("seed", "axis").agg(F.count("*").alias("n"), F.sum("aggregate").alias("s")), *parts[1:]]
-    every = summed[0]
-    for p in summed[1:]:
-        every = every.unionByName(p)
+        every = every.unionByName(own.select("seed", F.lit(axis).alias("axis"), (F.col("_n") - 1).alias("n"), (F.col("_s") - F.coalesce("_own", F.lit(0.0))).alias("s")))
     # number times mean is the sum
     return every.where(F.col("n") >= least).groupBy("seed").agg(F.min_by(F.struct("axis", "n", F.round("s", 3).alias("score")), F.struct(-F.round("s", 3), F.col("axis"))).alias("b")).select("seed", "b.axis", "b.n", "b.score")
 

@@ -160,3 +160,25 @@ def test_one_long_burst_is_not_one_group(spark):
     began = time.time()
     got = grouping.burst_runs(df, "ts", "id", "h", None, 600.0)
     assert got.groupBy("burst", "n").count().collect() == [(0, 60_000, 60_000)] and time.time() - began < 60
+
+
+def test_company_in_time_without_meeting_it(spark):
+    """Photos at the very ends of a seed's day count, missing values do not; no photo is copied for a seed."""
+    import datetime as dt
+
+    from lumenfold.operators import capsules
+
+    r = np.random.default_rng(6)
+    t0, day = dt.datetime(2024, 1, 1), 86_400
+    at = [*(int(x) for x in r.integers(0, 12 * day, 150)), 3 * day, 4 * day, 2 * day, 4 * day + 1, None]
+    rows = [(k, None if x is None else t0 + dt.timedelta(seconds=x), None if k % 9 == 2 else float(k % 10)) for k, x in enumerate(at)]
+    photos = spark.createDataFrame(rows, "photo long, taken timestamp, aggregate double")
+    seeds = [x for x in rows if x[0] % 5 == 0 or x[0] > 149]
+    found = capsules.near_times(photos, spark.createDataFrame(seeds, "seed long, seed_taken timestamp, own double"), 1)
+    want = {}
+    for seed, taken, _ in seeds:
+        if taken is not None:
+            mine = [a for k, u, a in rows if u is not None and k != seed and abs((u - taken).total_seconds()) <= day]
+            told = [a for a in mine if a is not None]
+            want[seed] = (len(mine), round(sum(told), 6) if told else None)
+    assert {x["seed"]: (x["n"], None if x["s"] is None else round(x["s"], 6)) for x in found.collect()} == want
