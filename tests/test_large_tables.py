@@ -182,3 +182,27 @@ def test_company_in_time_without_meeting_it(spark):
             told = [a for a in mine if a is not None]
             want[seed] = (len(mine), round(sum(told), 6) if told else None)
     assert {x["seed"]: (x["n"], None if x["s"] is None else round(x["s"], 6)) for x in found.collect()} == want
+
+
+def test_long_segments_are_smoothed_in_batches(spark):
+    """A segment of many batches comes out as from one pass, with no more than a batch in hand."""
+    from lumenfold.operators import grouping
+
+    n, labels = 5_000, ["a", "b", "c"]
+    p = np.random.default_rng(7).dirichlet([0.7] * 3, n)
+    rows = [("x" if k % 5 else None, k, k * 20 + 40_000 * (k > 3_000), [float(y) for y in p[k]]) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, id long, s long, chance array<double>").withColumn("ts", F.timestamp_seconds("s"))
+    step = 0.5 * np.log(grouping.transitions(3) + 1e-9)
+    want = {}
+    for part in ([k for k in range(n) if bool(k % 5) == some and (k > 3_000) == late] for some in (True, False) for late in (True, False)):
+        path, post = grouping.viterbi(np.log(p[part] + 1e-9), step)
+        want |= {k: (labels[x], post[i, x]) for i, (k, x) in enumerate(zip(part, path, strict=True))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 300)
+    try:
+        found = grouping.smooth_moments(df, ["g"], "ts", "id", "chance", labels)
+        got = {r["id"]: (r["moment"], r["confidence"]) for r in found.collect()}
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: m for k, (m, _) in got.items()} == {k: m for k, (m, _) in want.items()}
+    assert max(abs(got[k][1] - want[k][1]) for k in want) < 1e-9
