@@ -206,3 +206,38 @@ def test_long_segments_are_smoothed_in_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {k: m for k, (m, _) in got.items()} == {k: m for k, (m, _) in want.items()}
     assert max(abs(got[k][1] - want[k][1]) for k in want) < 1e-9
+
+
+def test_forests_of_tasks_are_no_larger_than_their_rows(spark):
+    """Tiles' forests are thinned in the task: with 15 blocks each row had an edge for every block before."""
+    from lumenfold.operators import density
+    from lumenfold.operators.tiles import packed_blocks
+
+    r = np.random.default_rng(9)
+    x = r.standard_normal((300, 5))
+    df = spark.createDataFrame([(k, -1, [float(y) for y in v]) for k, v in enumerate(x)], "id long, core long, v array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        blocks = packed_blocks(df.withColumn("core", F.lit(0)), "id", "v", 20, number="core")
+        edges = density.tile_forests(blocks, "<f8", density.EVERYTHING).collect()
+        near = {r["_k"]: r["core"] for r in density.core_distances(blocks, "<f8", 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    d = density.distances(*(x / np.linalg.norm(x, axis=1, keepdims=True),) * 2)
+    assert len(edges) <= 4 * 299  # two partitions a side, four tasks at most
+    np.fill_diagonal(d, np.inf)
+    assert all(np.isclose(near[k], np.sort(d[k])[2]) for k in range(300))
+    weights = np.sort(d[np.isfinite(d)])
+    for cut in (weights[len(weights) // 200], weights[len(weights) // 50]):  # the same rows are joined at every distance
+        root = list(range(300))
+        want = list(range(300))
+        for _ in range(300):
+            for e in edges:
+                if e["w"] <= cut:
+                    root[e["a"]] = root[e["b"]] = min(root[e["a"]], root[e["b"]])
+            new = [min(want[k], *(want[j] for j in np.flatnonzero(d[k] <= cut)), want[k]) for k in range(300)]
+            if new == want:
+                break
+            want = new
+        assert root == want
